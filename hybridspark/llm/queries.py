@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .bpe import op7_byte_level_bpe
 from .simhash import op6_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup, op7_byte_level_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
