@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op7_byte_level_bpe
+from .langid import op9_rank_order_language_id
+from .mixing import op5_systematic_mixing
+from .secrets import op8_secret_ownership
 from .simhash import op6_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup, op7_byte_level_bpe)}
+QUERIES = {f.__name__: f for f in (op5_systematic_mixing, op6_simhash_near_dedup, op7_byte_level_bpe, op8_secret_ownership, op9_rank_order_language_id)}
 
 ORACLE_SQL: dict[str, str] = {}
