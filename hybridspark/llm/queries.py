@@ -9,8 +9,9 @@ from .mixing import op5_systematic_mixing
 from .secrets import op8_secret_ownership
 from .sharding import op2_minimax_sharding
 from .simhash import op6_simhash_near_dedup
+from .substrings import OP4_SQL, op4_suffix_automaton_dedup
 from .warc import OP10_SQL, op10_warc_round_trip
 
-QUERIES = {f.__name__: f for f in (op1_minhash_fingerprints, op2_minimax_sharding, op5_systematic_mixing, op6_simhash_near_dedup, op7_byte_level_bpe, op8_secret_ownership, op9_rank_order_language_id, op10_warc_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_minhash_fingerprints, op2_minimax_sharding, op4_suffix_automaton_dedup, op5_systematic_mixing, op6_simhash_near_dedup, op7_byte_level_bpe, op8_secret_ownership, op9_rank_order_language_id, op10_warc_round_trip)}
 
-ORACLE_SQL: dict[str, str] = {"op10_warc_round_trip": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_suffix_automaton_dedup": OP4_SQL, "op10_warc_round_trip": OP10_SQL}
