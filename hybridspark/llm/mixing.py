@@ -12,10 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import count_words, read
+from .common import count_words, cut, read
 
-#: Rows of a bucket, about.
-BUCKET_ROWS = 50_000
 #: Copies of a document at most, and with that a target over its source's size.
 MOST = 3
 
@@ -25,8 +23,8 @@ def fraction(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
-    """(source, source_size, target) of totals (source, source_size): one row a source.
+def targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(source, source_size, target, *extra) of totals (source, source_size, *extra): one row a source.
 
     Sources by code point, null last, have the weights in turn and share the sum of all sizes. A target stops at most
     times its source's size; the excess goes to the others by weight. With the sources in the order in which they
@@ -42,40 +40,42 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     leveled = ranked.withColumn("level", left / weight).withColumn("free", F.col("level") * F.col("weight") <= cap)
     level = F.min(F.when(F.col("free"), F.struct((F.col("source_size") * most / F.col("weight")).alias("bound"), F.col("level").alias("level")))).over(Window.partitionBy())["level"]
     target = F.least(F.coalesce(level * F.col("weight"), cap.cast("double")), cap.cast("double"))
-    return leveled.select("source", "source_size", target.alias("target"))
+    return leveled.select("source", "source_size", target.alias("target"), *extra)
 
 
-def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 17, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 17) -> DataFrame:
     """docs without the text, with size, source_size, target and copies (long): how often the mix has the row.
 
     Null and empty texts have size 0; a source without any words has target 0 and no copies. Rows without a source
     make up one of their own. Repeated rows and equal keys are told apart by their texts, else they are alike and it
     does not matter which of them is taken. Columns of docs named like the new ones are replaced."""
-    new = ("size", "source_size", "target", "copies", "tie", "bin", "salt", "source")
+    new = ("size", "source_size", "target", "copies", "tie", "bin", "salt", "nth", "offset", "n", "source")
     others = [c for c in docs.columns if c not in (text, key, source, *new)]
     rows = docs.select(*(F.col(f"`{c}`") for c in others), F.col(key), F.col(source).alias("source"), count_words(F.col(text)).alias("size"), F.md5(F.coalesce(text, F.lit(""))).alias("tie"))
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    goals = targets(totals.select("source", "source_size"))
-    largest = totals.agg(F.max("n")).first()[0] or 0
-    salts = max(1, -(-largest // (16 * bucket_rows)))
-    digits = F.length(F.bin("size"))
+    totals = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
+    goals = targets(totals, extra=("n",)).withColumn("offset", fraction(F.lit(seed), F.coalesce(F.col("source"), F.lit(""))))
+    # rows of a bucket: a cell of rows of one source, of about one size
+    most = max(256, min((totals.agg(F.sum("n")).first()[0] or 0) // 2048, 2_000_000))
     # about eight bins for each doubling of the size
-    bin_ = (digits * 8 + F.expr("shiftright(size * 8, cast(length(bin(size)) - 1 as int))") - 8).cast("int")
-    rows = rows.withColumn("bin", bin_).withColumn("salt", F.floor(fraction(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("tie")) * salts))
+    bin_ = F.expr("length(bin(size)) * 8 + shiftright(size * 8, length(bin(size)) - 1) - 8").cast("int")
+    g = goals.alias("g")
+    rows = rows.alias("r").join(g, F.col("r.source").eqNullSafe(F.col("g.source"))).select("r.*", "g.source_size", "g.target", "g.offset", "g.n")
+    salt = F.floor(fraction(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("tie")) * F.ceil(F.col("n") / most)).cast("long")
+    rows = rows.withColumn("bin", bin_).withColumn("salt", salt).drop("n")
     cell = ["source", "bin", "salt"]
     cells = rows.groupBy(*cell).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("source").orderBy("bin", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(*cell, F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    goals = goals.withColumn("offset", fraction(F.lit(seed), F.coalesce(F.col("source"), F.lit(""))))
-    g = goals.alias("g")
-    cells = cells.alias("c").join(g, F.col("c.source").eqNullSafe(F.col("g.source"))).select(*(F.col(f"c.{x}") for x in (*cell, "before")), "g.source_size", "g.target", "g.offset")
+    bins = cells.groupBy("source", "bin").agg(F.sum("n").alias("n"))
+    earlier = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.select("source", "bin", earlier(["source"], "bin").alias("base"))
+    cells = cells.withColumn("before", earlier(["source", "bin"], "salt"))
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.col(f"{a}.bin") == F.col(f"{b}.bin"))
+    cells = cells.alias("c").join(bins.alias("b"), same("c", "b")).select("c.source", "c.bin", "c.salt", (F.col("before") + F.col("base")).alias("before"))
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*cell).orderBy("size", F.col(key).asc_nulls_last(), "tie")))
-    on = F.col("r.source").eqNullSafe(F.col("k.source")) & (F.col("r.bin") == F.col("k.bin")) & (F.col("r.salt") == F.col("k.salt"))
-    out = rows.alias("r").join(cells.alias("k"), on)
-    rate = F.when(F.col("k.source_size") > 0, F.col("k.target") / F.col("k.source_size")).otherwise(0.0)
+    out = rows.alias("r").join(cells.alias("k"), same("r", "k") & (F.col("r.salt") == F.col("k.salt")))
+    rate = F.when(F.col("r.source_size") > 0, F.col("r.target") / F.col("r.source_size")).otherwise(0.0)
     nth = F.col("k.before") + F.col("r.nth")
-    copies = F.floor(F.col("k.offset") + nth * rate) - F.floor(F.col("k.offset") + (nth - 1) * rate)
-    return out.select(*(F.col(f"r.`{c}`") for c in (*others, key)), F.col("r.source").alias(source), "r.size", "k.source_size", "k.target", copies.cast("long").alias("copies"), F.col("r.tie").alias("tie"))
+    copies = F.floor(F.col("r.offset") + nth * rate) - F.floor(F.col("r.offset") + (nth - 1) * rate)
+    return out.select(*(F.col(f"r.`{c}`") for c in (*others, key)), F.col("r.source").alias(source), "r.size", "r.source_size", "r.target", copies.cast("long").alias("copies"), F.col("r.tie").alias("tie"))
 
 
 def op5_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
