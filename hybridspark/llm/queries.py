@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op3_hash_prefix_forest
 from .bpe import op7_byte_level_bpe
 from .langid import op9_rank_order_language_id
 from .minhash import op1_minhash_fingerprints
@@ -12,6 +13,6 @@ from .simhash import op6_simhash_near_dedup
 from .substrings import OP4_SQL, op4_suffix_automaton_dedup
 from .warc import OP10_SQL, op10_warc_round_trip
 
-QUERIES = {f.__name__: f for f in (op1_minhash_fingerprints, op2_minimax_sharding, op4_suffix_automaton_dedup, op5_systematic_mixing, op6_simhash_near_dedup, op7_byte_level_bpe, op8_secret_ownership, op9_rank_order_language_id, op10_warc_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_minhash_fingerprints, op2_minimax_sharding, op3_hash_prefix_forest, op4_suffix_automaton_dedup, op5_systematic_mixing, op6_simhash_near_dedup, op7_byte_level_bpe, op8_secret_ownership, op9_rank_order_language_id, op10_warc_round_trip)}
 
 ORACLE_SQL: dict[str, str] = {"op4_suffix_automaton_dedup": OP4_SQL, "op10_warc_round_trip": OP10_SQL}
