@@ -117,10 +117,10 @@ def with_next(rows: DataFrame, key: str, bring: dict[str, Column]) -> DataFrame:
     before = F.struct(F.when(F.col("__range") == 1, len(starts)).otherwise(F.col("__range") - 1).alias("range"), F.lit(1).alias("guest"))
     first = (F.col("__range") > 0) & (F.get(table, F.col("__range") - 1) == F.col(key))
     placed = rows.select("*", F.explode(F.when(first, F.array(home, before)).otherwise(F.array(home))).alias("__place")).drop("__range")
-    placed = placed.select(*rows.columns[:-1], "__place.range", "__place.guest")
-    w = Window.partitionBy("range").orderBy("guest", key, F.xxhash64(*[c for c in rows.columns[:-1] if c != key]))
+    placed = placed.select(*rows.columns[:-1], F.col("__place.range").alias("__range"), F.col("__place.guest").alias("__guest"))
+    w = Window.partitionBy("__range").orderBy("__guest", key, F.xxhash64(*[c for c in rows.columns[:-1] if c != key]))
     # one window: every further one would shuffle the texts again
-    placed = placed.withColumn("__next", F.lead(F.struct(*(v.alias(n) for n, v in bring.items()))).over(w)).where("guest = 0")
+    placed = placed.withColumn("__next", F.lead(F.struct(*(v.alias(n) for n, v in bring.items()))).over(w)).where("__guest = 0")
     following = [F.when(F.col(key).isNotNull(), F.col("__next")[n]).alias(n) for n in bring]
     return placed.select(*rows.columns[:-1], *following)
 

@@ -139,7 +139,7 @@ def shard(docs: DataFrame, shards: int = 40, text: str = "text", key: str = "doc
     Equal texts stay together, null and empty ones too; within that, the largest shard is as small as any contiguous
     partition allows. A group above the even share makes a shard larger than others. With fewer groups than shards,
     some shards are empty. Slots follow no order but are the same in each run; rows alike in key and text may swap."""
-    new = ("size", "text_crc32", "shard", "slot", "hash", "part")
+    new = ("size", "text_crc32", "shard", "slot", "hash", "part", "nth", "base")
     others = [c for c in docs.columns if c not in (text, *new)]
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*(F.col(f"`{c}`") for c in others), size_of(F.col(text)).alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.md5(t).alias("hash"))
