@@ -24,15 +24,18 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCK = 65536
 
 
-def simhash(text: str | None, k: int = 3) -> int:
-    """The 64-bit fingerprint of a text's k-word shingles, as a signed integer; 0 for a text without words.
+#: Odd factors that give further hashes of a shingle.
+_FACTORS = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1) | 1) % 2**64) for i in range(16)]
 
-    A bit is 1 if it is set in over half of the shingles' XXH64 (seed 42); repeats count."""
+
+def _majority(text: str | None, k: int, hashes: int) -> np.ndarray:
+    """For each of so many hashes the 64 bits that are set in over half of a text's shingles; zeros without words."""
     w = (text or "").encode().translate(_LOWER).split()
+    out = np.zeros((hashes, 8), dtype=np.uint8)
     if not w:
-        return 0
+        return out
     n = max(1, len(w) - k + 1)
-    ones = np.zeros(64, dtype=np.int64)
+    ones = np.zeros((hashes, 64), dtype=np.int64)
     joined = b" ".join(w)
     ends = np.cumsum([len(x) + 1 for x in w]).tolist()
     starts = [0, *ends]
@@ -40,8 +43,28 @@ def simhash(text: str | None, k: int = 3) -> int:
     last = min(k, len(w)) - 1
     for at in range(0, n, _BLOCK):
         h = np.array([digest(joined[starts[i] : ends[i + last] - 1], 42) for i in range(at, min(n, at + _BLOCK))], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((ones * 2 > n).astype(np.uint8), bitorder="little").view("<i8")[0])
+        for j in range(hashes):
+            x = h
+            if j:
+                x = (h ^ (h >> np.uint64(31))) * _FACTORS[j]
+                x = x ^ (x >> np.uint64(29))
+            ones[j] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits((ones * 2 > n).astype(np.uint8), axis=1, bitorder="little")
+
+
+def simhash(text: str | None, k: int = 3) -> int:
+    """The 64-bit fingerprint of a text's k-word shingles, as a signed integer; 0 for a text without words.
+
+    A bit is 1 if it is set in over half of the shingles' XXH64 (seed 42); repeats count."""
+    return int(_majority(text, k, 1).view("<i8")[0, 0])
+
+
+def simhash_tables(text: str | None, k: int, tables: int, bits: int) -> list[int]:
+    """Independent fingerprints of bits bits each (64 at most)."""
+    flat = np.unpackbits(_majority(text, k, -(-tables * bits // 64)), bitorder="little")[: tables * bits].reshape(tables, bits)
+    wide = np.zeros((tables, 64), dtype=np.uint8)
+    wide[:, :bits] = flat
+    return np.packbits(wide, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
 def fingerprints(docs: DataFrame, k: int = 3, text: str = "text") -> DataFrame:
@@ -51,9 +74,9 @@ def fingerprints(docs: DataFrame, k: int = 3, text: str = "text") -> DataFrame:
     return docs.select(*(F.col(f"`{c}`") for c in keep), udf(F.col(text)).alias("fingerprint"))
 
 
-def ball(fp: Column, radius: int) -> Column:
-    """All 64-bit values within radius bits of fp, fp included."""
-    masks = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(64), r)]
+def ball(fp: Column, radius: int, width: int = 64) -> Column:
+    """All values of width bits within radius bits of fp, fp included."""
+    masks = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     return F.transform(F.expr(f"array({','.join(f'{m}L' if m != -(1 << 63) else '(-9223372036854775807L - 1L)' for m in signed)})"), lambda m: fp.bitwiseXOR(m))
 
@@ -73,6 +96,24 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
+def candidates(texts: DataFrame, k: int = 5, tables: int = 12, radius: int = 2, least_bits: int = 32) -> DataFrame:
+    """(a, b) with a < b: pairs of ids of texts (id, text) that some of several short fingerprints bring together.
+
+    One fingerprint of 64 bits finds hardly any copies at a similarity of 0.8, where some ten bits differ. Several of
+    32 bits find them as long as one of them differs in radius bits or fewer: 0.8 in about four of five cases, 0.9
+    nearly always. They have more bits the more texts there are, so that the pairs a text gets by chance stay few.
+    Texts with one fingerprint are linked to the smallest of them; balls are those of the distinct fingerprints."""
+    n = texts.count()
+    bits = min(64, max(least_bits, 2 * n.bit_length() - 12))
+    udf = F.pandas_udf(lambda s: pd.Series([simhash_tables(t, k, tables, bits) for t in s]), "array<long>")
+    rows = cut(texts.select("id", udf("text").alias("fps"))).select("id", F.posexplode("fps").alias("table", "fp"))
+    heads = rows.groupBy("table", "fp").agg(F.min("id").alias("head"), F.count("*").alias("n"))
+    same = rows.join(heads.where("n > 1"), ["table", "fp"]).select(F.col("head").alias("a"), F.col("id").alias("b"))
+    spread = heads.select("table", "head", F.explode(ball(F.col("fp"), radius // 2, bits)).alias("variant"))
+    buckets = spread.groupBy("table", "variant").agg(F.min("head").alias("a"), F.max("head").alias("z"), F.collect_set("head").alias("members")).where("a < z")
+    return same.union(buckets.select("a", F.explode("members").alias("b"))).where("a < b").distinct()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): each node of edges (a, b) with the smallest node that it is connected to.
 
