@@ -1,5 +1,4 @@
 import random
-import re
 import zlib
 from collections import Counter
 
@@ -25,17 +24,33 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-def test_profiles_count_every_row(spark):
+def code(gram):
+    return sum(((0 if x == " " else ord(x)) + 1) << 21 * (2 - i) for i, x in enumerate(gram))
+
+
+def counted(texts):
+    count = Counter()
+    for t in texts:
+        words = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        count.update(code(g) for w in words for k in (1, 2, 3) for i in range(len(w) + 3 - k) if (g := f" {w} "[i : i + k]) != " ")
+    return count
+
+
+def best(count, top):
+    return sorted(sorted(count), key=count.__getitem__, reverse=True)[:top]
+
+
+def test_profiles_count_every_row(spark, monkeypatch):
+    monkeypatch.setattr(M, "_HELD", 500)
     rng = random.Random(6)
     rows = [(text(rng, "aa", 30), "aa") for _ in range(50)] + [(None, "aa"), ("", "aa"), ("the", None)]
-    count = Counter()
-    for t, lang in rows:
-        for w in re.findall(r"[^\W\d_]+", (t or "").lower()) if lang else ():
-            w = f"_{w}_"
-            count.update(w[i : i + k] for k in (1, 2, 3) for i in range(len(w) - k + 1))
-    want = sorted(sorted(count), key=count.__getitem__, reverse=True)[:50]
     df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
-    assert M.learn(df, top=50) == {"aa": want}
+    assert M.learn(df, top=50) == {"aa": best(counted(t for t, lang in rows if lang), 50)}
+
+
+def test_rankings_agree_with_counting(rows):
+    for t in [t for _, t, *_ in rows if t and len(t) < 3000] + ["a", "x² ½ y_z 3d é'É ǅ ŉ", "１２ ٣", "a b  c"]:
+        assert M.ranking(t, 40).tolist() == best(counted([t]), 40)
 
 
 def test_edges(docs, none, rows):
