@@ -77,7 +77,9 @@ def parse(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFra
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(doc_id, path, content) of the files below a folder; ids come from the paths, so they stay the same."""
+    """(doc_id, path, content) of the files below a folder; ids come from the paths, so they stay the same.
+
+    Spark skips files without a byte, so they have no row."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
     return files.select(F.xxhash64("path").alias("doc_id"), "path", "content")
