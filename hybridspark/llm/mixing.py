@@ -81,3 +81,22 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
 def op5_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+OP5_SQL = r"""
+WITH r AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS tie FROM documents),
+tot AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM r GROUP BY 1),
+w AS (SELECT *, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM tot),
+o AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level
+  FROM w WINDOW before AS (ORDER BY (3 * source_size)::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT arg_min(level, (3 * source_size)::DOUBLE / weight) AS level FROM o WHERE level * weight <= 3 * source_size),
+t AS (SELECT source, source_size, n, least(coalesce(l.level * weight, 3 * source_size), 3 * source_size)::DOUBLE AS target,
+  ('0x' || substr(md5('17|' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS off FROM o LEFT JOIN l ON TRUE),
+m AS (SELECT greatest(256, least(count(*) // 2048, 2000000)) AS most FROM r),
+p AS (SELECT r.*, source_size, target, off, row_number() OVER (PARTITION BY r.source ORDER BY
+  length(bin(size)) * 8 + ((size * 8) >> (length(bin(size)) - 1)) - 8,
+  floor(('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || tie), 1, 8))::BIGINT / 4294967296.0::DOUBLE * ceil(n / most::DOUBLE)),
+  size, doc_id NULLS LAST, tie) AS k FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source, m),
+c AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM p)
+SELECT doc_id, size, source_size, target, (floor(off + k * rate) - floor(off + (k - 1) * rate))::BIGINT * size AS taken FROM c
+"""

@@ -6,7 +6,7 @@ from .ann import op3_hash_prefix_forest
 from .bpe import op7_byte_level_bpe
 from .langid import op9_rank_order_language_id
 from .minhash import op1_minhash_fingerprints
-from .mixing import op5_systematic_mixing
+from .mixing import OP5_SQL, op5_systematic_mixing
 from .secrets import op8_secret_ownership
 from .sharding import op2_minimax_sharding
 from .simhash import op6_simhash_near_dedup
@@ -15,4 +15,4 @@ from .warc import OP10_SQL, op10_warc_round_trip
 
 QUERIES = {f.__name__: f for f in (op1_minhash_fingerprints, op2_minimax_sharding, op3_hash_prefix_forest, op4_suffix_automaton_dedup, op5_systematic_mixing, op6_simhash_near_dedup, op7_byte_level_bpe, op8_secret_ownership, op9_rank_order_language_id, op10_warc_round_trip)}
 
-ORACLE_SQL: dict[str, str] = {"op4_suffix_automaton_dedup": OP4_SQL, "op10_warc_round_trip": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_suffix_automaton_dedup": OP4_SQL, "op5_systematic_mixing": OP5_SQL, "op10_warc_round_trip": OP10_SQL}
