@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut, read
 
 #: Words of a window, and of an anchor.
 WINDOW, GRAM = 35, 8
@@ -225,11 +225,13 @@ def _windows(words: DataFrame, window: int) -> DataFrame:
     return rows.where("n < 2").join(often, "hash").groupBy("anchor", "sig").agg(F.collect_list(F.struct(F.col("i").alias("a"), F.col("i").alias("b"))).alias("spans"))
 
 
-def repeats(texts: DataFrame, shards: int, window: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """(t1, t2, spans): for each text that has any, spans of windows (first, last) whose words also start elsewhere."""
-    pieces = _pieces(texts, window)
+def repeats(docs: DataFrame, text: str, texts: DataFrame, shards: int, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+    """(t1, t2, spans): for each text that has any, spans of windows (first, last) whose words also start elsewhere.
+
+    Pieces are cut where documents are read and written once; texts (t1, t2, n, text) are those to fetch words from."""
+    pieces = cut(_pieces(docs.select(*_halves(text), F.lit(1).cast("long").alias("n"), F.coalesce(text, F.lit("")).alias("text")), window))
     known = pieces.groupBy("anchor").agg(F.sum("n").alias("times")).where("times > 1").select("anchor")
-    some = pieces.join(known, "anchor", "left_semi")
+    some = cut(pieces.join(known, "anchor", "left_semi").groupBy("anchor", "sig", "t1", "t2", "place").agg(F.sum("n").alias("n")))
     # the first text of each distinct piece stands for it
     kinds = some.groupBy("anchor", "sig").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "place")).alias("at"))
     each = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
@@ -251,7 +253,7 @@ def kept(docs: DataFrame, text: str = "text", window: int = WINDOW, hot: int = H
     t1 and t2 are the halves of the text's MD5. A null text counts as empty. Copies of a text repeat one another."""
     texts = _texts(docs, text)
     shards = max(64, docs.count() // 200)
-    found = repeats(texts, shards, window, hot)
+    found = repeats(docs, text, texts, shards, window, hot)
 
     def run(batches):
         for batch in batches:
