@@ -11,10 +11,7 @@ from pyspark.sql import functions as F
 
 from hybridspark.functions.numbers import cosine
 from hybridspark.functions.text import tokens
-from hybridspark.operators.sparse import metadata_test, top_per_query
-
-#: Queries that are broadcast at most; larger sets go in blocks against all points.
-QUERY_BLOCK = 2000
+from hybridspark.operators.sparse import metadata_test, query_blocks, top_per_query
 
 
 def point_id(document: Column, chunk_index: Column) -> Column:
@@ -30,15 +27,10 @@ def index_points(chunks: DataFrame, vector: Column, document: str = "document_id
 def dense_search(points: DataFrame, queries: DataFrame, top_k: int = 20, filters: Mapping[str, object] | None = None, key: str = "point_id", vector: str = "vector", digits: int | None = None) -> DataFrame:
     """(query_id, rank, score, *columns of points) of the nearest points of each query (query_id, vector), by cosine.
 
-    Filters come before the search. The query set is counted: up to QUERY_BLOCK queries are broadcast to the points;
-    more are dealt to blocks and each block is broadcast in turn. Each task keeps its best before the shuffle."""
+    Filters come before the search. The query set is counted; larger ones are dealt to blocks and each is broadcast. Each task keeps its best before the shuffle."""
     points = points.where(metadata_test(filters or {}))
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    asked = queries.select("query_id", F.col("vector").alias("__query"))
-    parts = [asked] if blocks == 1 else [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
     found = None
-    for part in parts:
+    for part in query_blocks(queries.select("query_id", F.col("vector").alias("__query"))):
         score = cosine(F.col(vector), F.col("__query"))
         scored = points.crossJoin(F.broadcast(part)).withColumn("score", F.round(score, digits) if digits is not None else score).drop("__query")
         best = top_per_query(scored, top_k, F.desc("score"), F.col(key))

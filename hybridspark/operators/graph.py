@@ -7,13 +7,14 @@ certification, category (name), requirement (id, text, category, priority). Edge
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hybridspark.functions.text import contains_folded
 from hybridspark.operators.relational import upsert_latest
-from hybridspark.operators.sparse import top_per_query
+from hybridspark.operators.sparse import query_blocks, top_per_query
 
 PROJECT_SCORE, MEMBER_SCORE, TOP_K = 1.0, 0.9, 10
 
@@ -80,8 +81,8 @@ def _lines(*lines: Column) -> Column:
 
 def _matching(nodes: DataFrame, queries: DataFrame, test: Column, top_k: int) -> DataFrame:
     """Nodes that a query occurs in, top_k of each query by id; the nodes' neighbours are fetched after this cut."""
-    hits = nodes.join(F.broadcast(queries.select("query_id", "query")), F.coalesce(test, F.lit(False)))
-    return top_per_query(hits, top_k, F.col("id")).drop("rank")
+    parts = [nodes.join(F.broadcast(q), F.coalesce(test, F.lit(False))) for q in query_blocks(queries.select("query_id", "query"))]
+    return top_per_query(reduce(DataFrame.unionByName, parts), top_k, F.col("id")).drop("rank")
 
 
 _OUT = ["query_id", "text", "score", "entity_type", "entity_id", "relationships"]
@@ -91,7 +92,7 @@ def search_projects(graph: Graph, queries: DataFrame, top_k: int = TOP_K) -> Dat
     """Projects whose name, description or category contains the whole query, as text with their relationships.
 
     Each relation is gathered by node before the join, so relations don't multiply. A project with two clients
-    gives one result for each. queries: a batch of at most a few thousand; it is broadcast."""
+    gives one result for each."""
     q = F.col("query")
     hits = _matching(graph.projects, queries, contains_folded(F.col("name"), q) | contains_folded(F.col("description"), q) | contains_folded(F.col("category"), q), top_k)
     clients = graph.edges.where("type = 'FOR_CLIENT'").select(F.col("src").alias("__id"), F.col("dst").alias("client"))

@@ -46,6 +46,18 @@ def metadata_test(filters: Mapping[str, object]) -> Column:
     return F.coalesce(reduce(Column.__and__, tests), F.lit(False)) if tests else F.lit(True)
 
 
+#: Queries that are broadcast together.
+QUERY_BLOCK = 2000
+
+
+def query_blocks(queries: DataFrame, most: int = QUERY_BLOCK) -> list[DataFrame]:
+    """queries in parts of about most rows, each small enough to be broadcast; they are counted first."""
+    blocks = max(1, -(-queries.count() // most))
+    if blocks == 1:
+        return [queries]
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
+
+
 def top_per_query(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows of each query, with their rank from 1."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
