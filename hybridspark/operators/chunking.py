@@ -39,17 +39,26 @@ def boundaries(parts: Column, similar: Callable[[Column, Column], Column] = term
     return F.filter(places, lambda i: similar(F.get(parts, i - 1), F.get(parts, i)) < threshold)
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once for a row, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def split_oversize(text: Column, max_size: int = MAX_SIZE) -> Column:
-    """Runs of words whose lengths and spaces stay within max_size; a longer word stands alone."""
-    start = F.struct(_none().alias("done"), _none().alias("now"), F.lit(0).alias("size"))
+    """Runs of words whose lengths and spaces stay within max_size; a longer word stands alone.
+
+    The fold keeps where runs begin and the size of the last one, not the words themselves."""
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("i"), F.lit(0).alias("size"))
+
+    def step(acc: Column, size: Column) -> Column:
+        begins = (acc["i"] == 0) | (acc["size"] + size + 1 > max_size)
+        return F.struct(F.when(begins, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"), (acc["i"] + 1).alias("i"), (F.when(begins, 0).otherwise(acc["size"]) + size + 1).alias("size"))
 
-    def step(acc: Column, word: Column) -> Column:
-        full = (acc["size"] + F.length(word) + 1 > max_size) & (F.size(acc["now"]) > 0)
-        return F.when(full, F.struct(F.concat(acc["done"], F.array(_joined(acc["now"]))).alias("done"), F.array(word).alias("now"), (F.length(word) + 1).alias("size"))).otherwise(
-            F.struct(acc["done"].alias("done"), F.concat(acc["now"], F.array(word)).alias("now"), (acc["size"] + F.length(word) + 1).alias("size"))
-        )
+    def runs(words: Column) -> Column:
+        starts = F.aggregate(F.transform(words, lambda w: F.length(w)), start, step, lambda acc: acc["starts"])
+        return _once(starts, lambda s: F.transform(s, lambda a, i: _joined(F.slice(words, a + 1, F.coalesce(F.get(s, i + 1), F.size(words)) - a))))
 
-    return F.aggregate(split_words(text), start, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["done"], F.array(_joined(acc["now"])))).otherwise(acc["done"]))
+    return _once(split_words(text), runs)
 
 
 def fixed_chunks(parts: Column, max_size: int = MAX_SIZE, overlap: int = OVERLAP) -> Column:

@@ -17,10 +17,9 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """postings (doc, token, tf), lengths (doc, dl), vocabulary (token, df, idf), stats (n, avgdl)."""
+    """postings (doc, token, tf, dl), vocabulary (token, df, idf), stats (n, avgdl)."""
 
     postings: DataFrame
-    lengths: DataFrame
     vocabulary: DataFrame
     stats: DataFrame
 
@@ -29,15 +28,17 @@ def build_bm25(chunks: DataFrame, key: str = "doc_id", text: str = "text", epsil
     """The index of chunks. Chunks without tokens count towards n and the mean length.
 
     A token in over half the chunks would have a negative weight; it gets epsilon times the mean of all raw weights."""
+    # the texts are tokenised for the postings alone; all statistics come from those
     listed = chunks.select(F.col(key).alias("doc"), tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
-    lengths = listed.select("doc", F.size("tokens").cast("long").alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = listed.select("doc", F.explode("tokens").alias("token")).groupBy("doc", "token").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(stats.select("n")))
+    postings = listed.select("doc", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("token")).groupBy("doc", "token", "dl").agg(F.count("*").alias("tf"))
+    df = postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    size = df.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("size"))
+    stats = chunks.agg(F.count("*").alias("n")).join(F.broadcast(size)).select("n", F.when(F.col("n") > 0, F.col("size") / F.col("n")).alias("avgdl"))
+    df = df.join(F.broadcast(chunks.agg(F.count("*").alias("n"))))
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.agg((F.avg("raw") * epsilon).alias("floor"))
     vocabulary = raw.join(F.broadcast(floor)).select("token", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, lengths, vocabulary, stats)
+    return Bm25Index(postings, vocabulary, stats)
 
 
 def metadata_test(filters: Mapping[str, object]) -> Column:
@@ -70,7 +71,7 @@ def bm25_search(index: Bm25Index, chunks: DataFrame, queries: DataFrame, top_k:
     A token that a query repeats counts as often. Scores of 0 or less never match. Filters choose among the scored
     chunks and leave the corpus statistics alone. Ties go to the smaller key. digits rounds scores before ranking."""
     asked = queries.select("query_id", F.explode(tokens(F.col(query))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    hits = asked.join(index.vocabulary, "token").join(index.postings, "token").join(index.lengths, "doc").join(F.broadcast(index.stats.select("avgdl")))
+    hits = asked.join(index.vocabulary, "token").join(index.postings, "token").join(F.broadcast(index.stats.select("avgdl")))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "doc").agg(F.sum(F.col("qtf") * weight).alias("score")).where("score > 0")
     if digits is not None:
