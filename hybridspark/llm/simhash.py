@@ -96,21 +96,31 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
-def candidates(texts: DataFrame, k: int = 5, tables: int = 12, radius: int = 2, least_bits: int = 32) -> DataFrame:
-    """(a, b) with a < b: pairs of ids of texts (id, text) that some of several short fingerprints bring together.
+def table_bits(n: int, least: int = 32) -> int:
+    """Bits of a short fingerprint for n texts: so many that the pairs a text gets by chance stay few."""
+    return min(58, max(least, 2 * n.bit_length() - 12))
+
+
+def table_prints(text: Column, n: int, k: int = 5, tables: int = 12) -> Column:
+    """The short fingerprints of a text, one of n."""
+    bits = table_bits(n)
+    return F.pandas_udf(lambda s: pd.Series([simhash_tables(t, k, tables, bits) for t in s]), "array<long>")(text)
+
+
+def candidates(prints: DataFrame, n: int, radius: int = 2) -> DataFrame:
+    """(a, b) with a < b: pairs of ids of prints (id, fps) that some of their short fingerprints bring together.
 
     One fingerprint of 64 bits finds hardly any copies at a similarity of 0.8, where some ten bits differ. Several of
     32 bits find them as long as one of them differs in radius bits or fewer: 0.8 in about four of five cases, 0.9
-    nearly always. They have more bits the more texts there are, so that the pairs a text gets by chance stay few.
-    Texts with one fingerprint are linked to the smallest of them; balls are those of the distinct fingerprints."""
-    n = texts.count()
-    bits = min(64, max(least_bits, 2 * n.bit_length() - 12))
-    udf = F.pandas_udf(lambda s: pd.Series([simhash_tables(t, k, tables, bits) for t in s]), "array<long>")
-    rows = cut(texts.select("id", udf("text").alias("fps"))).select("id", F.posexplode("fps").alias("table", "fp"))
+    nearly always. Texts with one fingerprint are linked to the smallest of them; balls are those of the distinct
+    fingerprints, so a bucket has at most as many members as a ball. Rows of balls are shuffled as they are, a key
+    (variant and table in one number) and an id: most keys come once, and partial aggregates would only widen them."""
+    rows = prints.select("id", F.posexplode("fps").alias("table", "fp"))
     heads = rows.groupBy("table", "fp").agg(F.min("id").alias("head"), F.count("*").alias("n"))
     same = rows.join(heads.where("n > 1"), ["table", "fp"]).select(F.col("head").alias("a"), F.col("id").alias("b"))
-    spread = heads.select("table", "head", F.explode(ball(F.col("fp"), radius // 2, bits)).alias("variant"))
-    buckets = spread.groupBy("table", "variant").agg(F.min("head").alias("a"), F.max("head").alias("z"), F.collect_set("head").alias("members")).where("a < z")
+    spread = heads.select("head", "table", F.explode(ball(F.col("fp"), radius // 2, table_bits(n))).alias("variant"))
+    spread = spread.select((F.shiftleft("variant", 4) + F.col("table")).alias("key"), "head").repartition("key")
+    buckets = spread.groupBy("key").agg(F.min("head").alias("a"), F.max("head").alias("z"), F.collect_list("head").alias("members")).where("a < z")
     return same.union(buckets.select("a", F.explode("members").alias("b"))).where("a < b").distinct()
 
 
