@@ -230,12 +230,13 @@ def repeats(docs: DataFrame, text: str, texts: DataFrame, shards: int, window: i
 
     Pieces are cut where documents are read and written once; texts (t1, t2, n, text) are those to fetch words from."""
     pieces = cut(_pieces(docs.select(*_halves(text), F.lit(1).cast("long").alias("n"), F.coalesce(text, F.lit("")).alias("text")), window))
-    known = pieces.groupBy("anchor").agg(F.sum("n").alias("times")).where("times > 1").select("anchor")
+    # written, so that the joins below shuffle both sides and a hot anchor's partition can be split
+    known = cut(pieces.groupBy("anchor").agg(F.sum("n").alias("times")).where("times > 1").select("anchor"))
     some = cut(pieces.join(known, "anchor", "left_semi").groupBy("anchor", "sig", "t1", "t2", "place").agg(F.sum("n").alias("n")))
     # the first text of each distinct piece stands for it
     kinds = some.groupBy("anchor", "sig").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "place")).alias("at"))
-    each = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    mixed = kinds.join(each.where("kinds > 1"), "anchor").select("anchor", "sig", "n", "at.t1", "at.t2", "at.place", "kinds")
+    each = cut(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    mixed = kinds.join(each, "anchor").select("anchor", "sig", "n", "at.t1", "at.t2", "at.place", "kinds")
     cold = _words(texts, mixed.where(F.col("kinds") <= hot), window).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     cold = cold.groupBy("shard").applyInPandas(_shard(window), f"anchor long, sig long, spans {_SPANS}").where("spans is not null and size(spans) > 0")
     warm = _windows(_words(texts, mixed.where(F.col("kinds") > hot), window), window)

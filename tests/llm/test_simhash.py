@@ -77,3 +77,18 @@ def test_empty_table(none):
 
 def test_hex(spark):
     assert spark.range(1).select(M.hex64(F.lit(5)).alias("h")).first().h == "0000000000000005"
+
+
+def test_candidates_bring_near_copies_together(spark):
+    rng = random.Random(7)
+    texts = []
+    for i in range(40):
+        words = [f"w{rng.randrange(500)}" for _ in range(200)]
+        other = list(words)
+        for _ in range(2):
+            other[rng.randrange(200)] = "changed"
+        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    df = spark.createDataFrame(texts, "id long, text string")
+    got = {(r.a, r.b) for r in M.candidates(df.select("id", M.table_prints(F.col("text"), 80).alias("fps")), 80).collect()}
+    assert sum((2 * i, 2 * i + 1) in got for i in range(40)) >= 36
+    assert all(a < b for a, b in got) and M.table_bits(80) == 32 and M.table_bits(10**9) == 48
