@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,13 +36,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. Where that is unset, as in tests, it is set to a temporary one."""
-    spark.sparkContext._jsc.sc()  # fails early on a session that has ended
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+    """A new folder below spark.checkpoint.dir; where that is unset, as in tests, below a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
