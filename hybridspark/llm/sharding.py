@@ -95,17 +95,19 @@ class Summary:
         return [*out, total]
 
 
+def regions(ranges: list[tuple[int, int]], most: int = 64) -> list[tuple[int, int]]:
+    """The ranges, those with the least gaps between them joined until there are only so many."""
+    ranges = sorted(ranges)
+    gaps = sorted(range(1, len(ranges)), key=lambda i: ranges[i][0] - ranges[i - 1][1], reverse=True)
+    firsts = [0, *sorted(gaps[: most - 1])]
+    return [(ranges[i][0], ranges[j - 1][1]) for i, j in zip(firsts, [*firsts[1:], len(ranges)], strict=True)]
+
+
 def cells(sums: DataFrame, width: int, within: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
-    """The cells of that width, all or those inside the given ranges; at most CELLS or SPLIT times the ranges."""
+    """The cells of that width, all or those inside a few ranges; at most CELLS or SPLIT times what was split."""
     if within is not None:
-        joined: list[list[int]] = []
-        for a, b in within:
-            if joined and a - joined[-1][1] <= width:
-                joined[-1][1] = b
-            else:
-                joined.append([a, b])
         test = F.lit(False)
-        for a, b in joined:
+        for a, b in within:
             test = test | F.col("end").between(a, b)
         sums = sums.where(test)
     found = sums.groupBy(F.expr(f"end div {width}L")).agg(F.min("end").alias("a"), F.max("end").alias("b"))
@@ -125,8 +127,10 @@ def minimax_cuts(sums: DataFrame, shards: int) -> tuple[int, list[int]]:
         if not unclear:
             return high, known.even(shards, total, high)
         width = max(1, width // SPLIT)
-        gone = set(unclear)
-        known = Summary([c for c in known.cells if c not in gone] + cells(sums, width, unclear))
+        inside = regions(unclear)
+        low = [a for a, _ in inside]
+        kept = [c for c in known.cells if not ((i := bisect_right(low, c[0]) - 1) >= 0 and c[1] <= inside[i][1])]
+        known = Summary(kept + cells(sums, width, inside))
 
 
 def size_of(text: Column) -> Column:
