@@ -8,6 +8,8 @@ members are linked to its smallest one, which keeps every connection with a numb
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -22,6 +24,8 @@ from .common import cut, read
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose bits are counted at a time, which bounds memory for very long texts.
 _BLOCK = 65536
+#: Members of a bucket that meet all others in a round of decide().
+HEADS = 32
 
 
 #: Odd factors that give further hashes of a shingle.
@@ -107,21 +111,51 @@ def table_prints(text: Column, n: int, k: int = 5, tables: int = 12) -> Column:
     return F.pandas_udf(lambda s: pd.Series([simhash_tables(t, k, tables, bits) for t in s]), "array<long>")(text)
 
 
-def candidates(prints: DataFrame, n: int, radius: int = 2) -> DataFrame:
-    """(a, b) with a < b: pairs of ids of prints (id, fps) that some of their short fingerprints bring together.
+def buckets(prints: DataFrame, n: int, radius: int = 2) -> DataFrame:
+    """(key, ids) of prints (id, fps), n texts: the ids that a key of some short fingerprint brings together, two or more.
 
     One fingerprint of 64 bits finds hardly any copies at a similarity of 0.8, where some ten bits differ. Several of
     32 bits find them as long as one of them differs in radius bits or fewer: 0.8 in about four of five cases, 0.9
-    nearly always. Texts with one fingerprint are linked to the smallest of them; balls are those of the distinct
-    fingerprints, so a bucket has at most as many members as a ball. Rows of balls are shuffled as they are, a key
-    (variant and table in one number) and an id: most keys come once, and partial aggregates would only widen them."""
+    nearly always. Rows of balls are shuffled as they are, a key (variant and table in one number) and an id: most keys
+    come once, and partial aggregates would only widen them."""
     rows = prints.select("id", F.posexplode("fps").alias("table", "fp"))
-    heads = rows.groupBy("table", "fp").agg(F.min("id").alias("head"), F.count("*").alias("n"))
-    same = rows.join(heads.where("n > 1"), ["table", "fp"]).select(F.col("head").alias("a"), F.col("id").alias("b"))
-    spread = heads.select("head", "table", F.explode(ball(F.col("fp"), radius // 2, table_bits(n))).alias("variant"))
-    spread = spread.select((F.shiftleft("variant", 4) + F.col("table")).alias("key"), "head").repartition("key")
-    buckets = spread.groupBy("key").agg(F.min("head").alias("a"), F.max("head").alias("z"), F.collect_list("head").alias("members")).where("a < z")
-    return same.union(buckets.select("a", F.explode("members").alias("b"))).where("a < b").distinct()
+    spread = rows.select("id", "table", F.explode(ball(F.col("fp"), radius // 2, table_bits(n))).alias("variant"))
+    spread = spread.select((F.shiftleft("variant", 4) + F.col("table")).alias("key"), "id").repartition("key")
+    met = spread.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.collect_list("id").alias("ids"))
+    return met.where("a < z").select("key", "ids")
+
+
+def _stars(met: DataFrame) -> DataFrame:
+    return met.select(F.array_min("ids").alias("a"), F.explode("ids").alias("b")).where("a < b").distinct()
+
+
+def candidates(prints: DataFrame, n: int) -> DataFrame:
+    """(a, b) with a < b: each bucket's least id with the others. Where some of these pairs may fail, see decide()."""
+    return _stars(buckets(prints, n))
+
+
+def decide(met: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root), as components(), of all pairs of a bucket of met (key, ids) that pass.
+
+    alike takes pairs (a, b) and returns those that pass. First each bucket's least id meets the others. Then, as long
+    as a bucket holds several components, its members of the smallest ones meet all members of the others, HEADS at a
+    time, which is linear in rows each round, and have met all that they could. So each pair of a bucket either was
+    tried or lies within one component."""
+    found = [cut(alike(_stars(met)))]
+    left = met.where(F.size("ids") > 2).select("key", F.array_except("ids", F.array(F.array_min("ids"))).alias("ids"))
+    while True:
+        roots = cut(components(reduce(DataFrame.unionByName, found)))
+        ids = left.select("key", F.explode("ids").alias("id")).join(roots.withColumnRenamed("node", "id"), "id", "left")
+        parts = ids.withColumn("root", F.coalesce("root", "id")).groupBy("key", "root").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
+        parts = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "root", "ids"))).alias("parts")).where(F.size("parts") > 1)
+        members = F.flatten(F.transform("parts", lambda p: F.transform(p["ids"], lambda i: F.struct(p["root"].alias("root"), i.alias("id")))))
+        left = cut(parts.select("key", members.alias("members")))
+        if left.isEmpty():
+            return roots
+        pairs = left.select(F.explode(F.slice("members", 1, HEADS)).alias("head"), "members").select("head", F.explode("members").alias("m")).where("head.root <> m.root")
+        found.append(cut(alike(pairs.select(F.least("head.id", "m.id").alias("a"), F.greatest("head.id", "m.id").alias("b")).distinct())))
+        rest = F.filter("members", lambda m, i: i >= HEADS)
+        left = left.where(F.size("members") > HEADS + 1).select("key", F.transform(rest, lambda m: m["id"]).alias("ids"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

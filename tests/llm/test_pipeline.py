@@ -1,6 +1,8 @@
+import random
 from collections import Counter
 
 import corpus_pipeline as P
+from hybridspark.llm import simhash
 from hybridspark.llm.common import cut
 
 from .conftest import SCHEMA
@@ -36,6 +38,20 @@ def test_near_copies_go_and_others_stay(spark, rows):
     assert 5 in kept and not {6, 7} & kept and {4, 9, 10, 11} <= kept
 
 
+def test_near_copies_go_in_a_family_with_a_shared_passage(spark):
+    # the passage alone decides every fingerprint, so all texts share theirs; the tails decide the similarity
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        tail = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        for j, words in enumerate((tail, [*tail[:-1], "changed"])):
+            text = "alpha beta gamma delta epsilon " * 60 + " ".join(words)
+            rows.append((i + 100 * j, text, "en", "s1", len(text)))
+    assert len({tuple(simhash.simhash_tables(r[1], P.SHINGLE, 12, 32)) for r in rows}) == 1
+    kept = P.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(40))
+
+
 def test_empty_tables(spark, none):
     for _, stage in P.STAGES:
         assert stage(spark, none, "").count() == 0
