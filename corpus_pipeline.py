@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     md5 = F.md5(F.coalesce("text", F.lit(""))).alias("md5")
     number = F.conv(F.substring("md5", 1, 16), 16, -10).cast("long").alias("id")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "md5")
-    n = docs.count()
+    n = docs.select(md5).distinct().count()
     rows = docs.select("doc_id", md5, simhash.table_prints(F.col("text"), n, SHINGLE).alias("fps"))
     texts = cut(rows.groupBy("md5").agg(F.min(rank).alias("first"), F.first("fps").alias("fps")).select(number, "md5", "first", "fps"))
     met = cut(simhash.buckets(texts.select("id", "fps"), n))

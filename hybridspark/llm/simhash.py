@@ -8,12 +8,14 @@ members are linked to its smallest one, which keeps every connection with a numb
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +26,16 @@ from .common import cut, read
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose bits are counted at a time, which bounds memory for very long texts.
 _BLOCK = 65536
+#: Share of the pairs at this similarity that buckets() brings together, whatever the number of texts.
+RECALL, SIMILAR = 0.95, 0.8
+#: Texts whose keys are made at a time.
+_TEXTS = 1024
 #: Members of a bucket that meet all others in a round of decide().
 HEADS = 32
 
 
 #: Odd factors that give further hashes of a shingle.
-_FACTORS = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1) | 1) % 2**64) for i in range(16)]
+_FACTORS = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1) | 1) % 2**64) for i in range(32)]
 
 
 def _majority(text: str | None, k: int, hashes: int) -> np.ndarray:
@@ -101,27 +107,82 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def table_bits(n: int, least: int = 32) -> int:
-    """Bits of a short fingerprint for n texts: so many that the pairs a text gets by chance stay few."""
+    """Bits of a short fingerprint for n texts, compared by balls: so many that the pairs a text gets by chance stay few."""
     return min(58, max(least, 2 * n.bit_length() - 12))
 
 
-def table_prints(text: Column, n: int, k: int = 5, tables: int = 12) -> Column:
-    """The short fingerprints of a text, one of n."""
-    bits = table_bits(n)
-    return F.pandas_udf(lambda s: pd.Series([simhash_tables(t, k, tables, bits) for t in s]), "array<long>")(text)
-
-
-def buckets(prints: DataFrame, n: int, radius: int = 2) -> DataFrame:
-    """(key, ids) of prints (id, fps), n texts: the ids that a key of some short fingerprint brings together, two or more.
-
-    One fingerprint of 64 bits finds hardly any copies at a similarity of 0.8, where some ten bits differ. Several of
-    32 bits find them as long as one of them differs in radius bits or fewer: 0.8 in about four of five cases, 0.9
-    nearly always. Rows of balls are shuffled as they are, a key (variant and table in one number) and an id: most keys
-    come once, and partial aggregates would only widen them."""
-    rows = prints.select("id", F.posexplode("fps").alias("table", "fp"))
-    spread = rows.select("id", "table", F.explode(ball(F.col("fp"), radius // 2, table_bits(n))).alias("variant"))
-    spread = spread.select((F.shiftleft("variant", 4) + F.col("table")).alias("key"), "id").repartition("key")
-    met = spread.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.collect_list("id").alias("ids"))
+def words(n: int) -> int:
+    """Words of the long fingerprint from which the keys of n texts are drawn."""
+    return 16 if table_bits(n) <= 36 else 32
+
+
+def table_prints(text: Column, n: int, k: int = 5) -> Column:
+    """The long fingerprint of a text, one of n: words(n) of 64 bits."""
+    size = words(n)
+    return F.pandas_udf(lambda s: pd.Series([simhash_tables(t, k, size, 64) for t in s]), "array<long>")(text)
+
+
+def tables(bits: int, size: int) -> int:
+    """How many keys of so many bits, drawn from so many words, bring RECALL of the pairs at SIMILAR together.
+
+    A bit of two texts differs with the angle of their shingle sets, here of like size; keys of one long fingerprint
+    depend on how many of its bits differ, so the recall is the mean over that number."""
+    wide = 64 * size
+    q = math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
+    d = np.arange(wide - bits + 1)
+    choose = np.array([math.lgamma(wide + 1) - math.lgamma(x + 1) - math.lgamma(wide - x + 1) for x in d])
+    share = np.exp(choose + d * math.log(q) + (wide - d) * math.log1p(-q))
+    agree = np.prod([(wide - d - i) / (wide - i) for i in range(bits)], axis=0)
+    low, high = 0, 1
+    while high - low > 1 or share @ (1 - agree) ** high > 1 - RECALL:
+        if share @ (1 - agree) ** high > 1 - RECALL:
+            low, high = high, 2 * high
+        elif share @ (1 - agree) ** ((low + high) // 2) > 1 - RECALL:
+            low = (low + high) // 2
+        else:
+            high = (low + high) // 2
+    return high
+
+
+@lru_cache(maxsize=8)
+def plan(n: int) -> tuple[int, int]:
+    """Bits of a key and number of keys for n texts: recall stays, and a text gets about one pair by chance at most."""
+    bits = 16
+    while tables(bits, words(n)) * n > 2 * 2**bits:
+        bits += 1
+    return bits, tables(bits, words(n))
+
+
+def keys(prints: np.ndarray, bits: int, number: int) -> np.ndarray:
+    """So many keys (columns) of each long fingerprint (row): its bits at places drawn once for all, and the key's number."""
+    ones = np.unpackbits(np.ascontiguousarray(prints, dtype="<i8").view(np.uint8), axis=1, bitorder="little")
+    drawn = np.random.RandomState(bits).rand(number, ones.shape[1]).argsort(axis=1, kind="stable")[:, :bits]
+    out = np.tile(np.arange(number, dtype=np.uint64) << np.uint64(bits), (len(ones), 1))
+    for i in range(bits):
+        out += ones[:, drawn[:, i]].astype(np.uint64) << np.uint64(i)
+    return out.view(np.int64)
+
+
+def buckets(prints: DataFrame, n: int) -> DataFrame:
+    """(key, ids) of prints (id, fps), n distinct texts: the ids that have a key in common, two or more.
+
+    One fingerprint of 64 bits finds hardly any copies at a similarity of 0.8, where some ten bits differ. Keys are
+    groups of bits of a longer one, and a pair is found if it agrees in one of them. More texts need longer keys, and
+    so more of them: their number follows from RECALL. A key that agrees whole finds more for each row that is shuffled
+    than a longer one with its ball. Rows are shuffled as they are, a key and an id: most keys come once, and partial
+    aggregates would only widen them."""
+    bits, number = plan(n)
+
+    def spread(batches):
+        for batch in batches:
+            ids, fps = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy()
+            for at in range(0, len(ids), _TEXTS):
+                some = ids[at : at + _TEXTS]
+                found = keys(fps.reshape(len(ids), -1)[at : at + _TEXTS], bits, number)
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(some, number))], names=["key", "id"])
+
+    rows = prints.select("id", "fps").mapInArrow(spread, "key long, id long").repartition("key")
+    met = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.collect_list("id").alias("ids"))
     return met.where("a < z").select("key", "ids")
 
 

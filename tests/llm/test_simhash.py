@@ -92,3 +92,17 @@ def test_candidates_bring_near_copies_together(spark):
     got = {(r.a, r.b) for r in M.candidates(df.select("id", M.table_prints(F.col("text"), 80).alias("fps")), 80).collect()}
     assert sum((2 * i, 2 * i + 1) in got for i in range(40)) >= 36
     assert all(a < b for a, b in got) and M.table_bits(80) == 32 and M.table_bits(10**9) == 48
+
+
+def test_recall_stays_as_the_corpus_grows(spark):
+    rng = random.Random(11)
+    texts = []
+    for i in range(100):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        # 21 of 196 shingles of five words differ: a similarity of 0.806
+        other = words[:90] + [f"w{rng.randrange(10**6)}" for _ in range(17)] + words[107:]
+        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    df = spark.createDataFrame(texts, "id long, text string")
+    for n in (200, 10**7, 10**9):
+        got = {(r.a, r.b) for r in M.candidates(df.select("id", M.table_prints(F.col("text"), n).alias("fps")), n).collect()}
+        assert sum((2 * i, 2 * i + 1) in got for i in range(100)) >= 88
