@@ -123,6 +123,24 @@ def dense_filtered(spark: SparkSession, d: str) -> DataFrame:
     return dense_search(points, queries, filters={"label": [1, 3]}, key="doc_id", digits=6).select("query_id", "rank", "doc_id", "score")
 
 
+def _many(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All points, and those whose id is divisible by 20 as queries."""
+    points, _ = _vectors(spark, d)
+    return points, points.where("doc_id % 20 = 0").select((F.col("doc_id") + 1).alias("query_id"), "vector")
+
+
+@query(f"WITH {_dense(queries='vec_id % 20 = 0')} SELECT query_id, rank::INT AS rank, doc_id, score FROM dense")
+def dense_topk_many(spark: SparkSession, d: str) -> DataFrame:
+    points, queries = _many(spark, d)
+    return dense_search(points, queries, key="doc_id", digits=6).select("query_id", "rank", "doc_id", "score")
+
+
+@query(f"WITH {_dense('p.label IN (1, 3)', 'vec_id % 20 = 0')} SELECT query_id, rank::INT AS rank, doc_id, score FROM dense")
+def dense_filtered_many(spark: SparkSession, d: str) -> DataFrame:
+    points, queries = _many(spark, d)
+    return dense_search(points, queries, filters={"label": [1, 3]}, key="doc_id", digits=6).select("query_id", "rank", "doc_id", "score")
+
+
 def _corpus(spark: SparkSession, d: str) -> tuple[Corpus, DataFrame]:
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
     points, queries = _vectors(spark, d)

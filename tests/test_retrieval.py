@@ -125,3 +125,14 @@ def test_prompts_by_mode(spark):
     got = {r.query_id: r for r in render_prompts(queries, contexts).collect()}
     assert [got[i].template for i in (1, 2, 3, 4)] == ["proposal_section", "requirement_analyzer", "general_qa", "compliance_checker"]
     assert "Instructions: q\n" in got[1].prompt and "ctx" in got[1].prompt and '{"text": ""' in got[2].prompt and "q2" in got[2].prompt and "must" in got[4].prompt
+
+
+def test_registered_searches_take_every_twentieth_row_in_blocks(spark, tmp_path):
+    from hybridspark.plans import catalog
+
+    n = 41000
+    df = spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.cos(F.col("id") / n), F.sin(F.col("id") / n)).alias("embedding"), (F.col("id") % 4).cast("int").alias("label"))
+    df.where(f"vec_id % 20 = 0 or vec_id >= {n - 20}").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name, labels in (("dense_topk_many", {0, 1, 2, 3}), ("dense_filtered_many", {1, 3})):
+        rows = catalog.QUERIES[name](spark, str(tmp_path)).select("query_id", "doc_id").collect()
+        assert {r.query_id - 1 for r in rows} == set(range(0, n, 20)) and {r.doc_id % 4 for r in rows} <= labels
