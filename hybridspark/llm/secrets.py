@@ -1,7 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidates are found by regular expressions. Their hashes are counted by distinct repositories and owners over the
-whole corpus: a value that many owners share is a copied example, one that few own looks live. The counts go through
+whole corpus: a value that many owners share, or that many repositories of few owners hold, is a copied example; one
+that few own looks live. The counts go through
 partial aggregates, so a value in a third of all rows costs no more than any other. Only spans and hashes are shuffled,
 never texts.
 """
@@ -26,6 +27,8 @@ _ORDER = [k for k, *_ in BASE] + [OPAQUE[0]]
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 #: Owners that a value may have before it counts as a widely copied example.
 MAX_OWNERS = 2
+#: Repositories that a value may be in, over all its owners, before it counts as copied: within one large owner too.
+MAX_REPOSITORIES = 50
 
 
 def find(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -71,19 +74,19 @@ def ownership(found: DataFrame) -> DataFrame:
     return seen.groupBy("value").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """For each row of docs its key, sha (of its text) and spans (start, kind, end, value hash, n_owners,
     n_repositories, live), by start and kind.
 
     Base spans are always there, whoever owns them; opaque ones only where they look live: max_owners own the value at
-    most. A null or empty text has no spans. Repeated rows come back as often as they are in docs."""
+    most, in max_repositories at most. A null or empty text has no spans. Repeated rows come back as often as they are in docs."""
     rows = docs.select(F.col(key).alias("key"), F.col(owner).alias("owner"), F.col(repository).alias("repository"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("sha"), candidates(F.col(text)).alias("c"))
     rows = rows.withColumn("c", F.transform("c", lambda s: s.withField("value", F.sha2(s["value"], 256))))
     some = rows.where(F.size("c") > 0)
     loose = some.select("key", "sha", "owner", "repository", F.explode("c").alias("s"))
     counts = ownership(loose.select(F.col("s.value").alias("value"), "owner", "repository"))
     judged = loose.select("key", "sha", "s", F.col("s.value").alias("value")).join(counts, "value")
-    live = F.col("n_owners") <= max_owners
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
     judged = judged.where((F.col("s.kind") < len(BASE)) | live)
     span = F.struct("s.start", "s.kind", "s.end", "value", "n_owners", "n_repositories", live.alias("live"))
     spans = judged.groupBy("key", "sha").agg(F.array_sort(F.collect_set(span)).alias("spans"))

@@ -43,3 +43,12 @@ def test_ownership_parts_examples_from_live_values(spark):
 def test_edges(docs, none, rows):
     assert M.scan(docs).count() == len(rows)
     assert M.scan(none).count() == 0
+
+
+def test_values_copied_within_one_owner_are_not_live(spark):
+    shown, kept = "Ab1" * 8, "Cd2" * 8
+    rows = [(i, f"see {shown} here", owner) for i, owner in enumerate(["hot"] * (M.MAX_REPOSITORIES + 1))]
+    rows += [(1000 + i, f"see {kept} here", None) for i in range(M.MAX_REPOSITORIES)]
+    got = M.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.key for r in got if r.spans} == set(range(1000, 1000 + M.MAX_REPOSITORIES))
+    assert all(s.live for r in got for s in r.spans)
