@@ -30,16 +30,28 @@ def rrf(ranked: DataFrame, weights: dict[str, float] | None = None, k: int = K,
     number = F.array_position(F.array(*map(F.lit, RETRIEVERS)), F.col("retriever")).cast("int")
     weight = F.element_at(F.array(*(F.lit(float(given[r])) for r in RETRIEVERS)), number)
     rows = ranked.withColumns({"key": identity_key(F.col("text")), "at": F.struct(number.alias("retriever"), F.col("rank").alias("rank")), "term": rrf_term(F.col("rank"), weight, k or K)}).where("key <> ''")
-    groups = rows.groupBy("query_id", "key").agg(
-        F.sum("term").alias("score"),
+    # one row without a name for the occurrence itself and one for each of its metadata keys: both go through partial
+    # aggregates, so a text that stands in any number of rows is never gathered
+    given_entries = F.coalesce(F.map_entries("metadata"), F.array().cast(_ENTRIES))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
+    rows = rows.withColumn("entries", given_entries).select("query_id", "key", "at", "term", "text", "entries", F.explode(F.concat(none, F.col("entries"))).alias("e"))
+    itself = F.col("e.key").isNull()
+    parts = rows.groupBy("query_id", "key", F.col("e.key").alias("name")).agg(
+        F.sum(F.when(itself, F.col("term"))).alias("score"),
         F.min("at").alias("first"),
-        F.min_by("text", "at").alias("text"),
-        F.array_sort(F.collect_list(F.struct("at", F.coalesce(F.map_entries("metadata"), F.array().cast(_ENTRIES)).alias("entries")))).alias("all"),
-        F.array_sort(F.collect_set(number)).alias("numbers"),
+        F.min_by(F.when(itself, F.col("text")), "at").alias("text"),
+        F.min_by(F.col("e.value"), F.struct("at", "entries")).alias("value"),
+        F.collect_set("at.retriever").alias("numbers"),
     )
-    entries = F.flatten(F.transform("all", lambda x: x["entries"]))
-    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    merged = F.map_from_arrays(names, F.transform(names, lambda n: F.filter(entries, lambda e: e["key"] == n)[0]["value"]))
+    named = F.when(F.col("name").isNotNull(), F.struct(F.struct("first", "name").alias("order"), F.col("name").alias("key"), F.col("value").alias("value")))
+    groups = parts.groupBy("query_id", "key").agg(
+        F.max("score").alias("score"),
+        F.min("first").alias("first"),
+        F.first("text", ignorenulls=True).alias("text"),
+        F.array_sort(F.collect_list(named)).alias("all"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("numbers")))).alias("numbers"),
+    )
+    merged = F.map_from_entries(F.transform("all", lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
     sources = F.transform("numbers", lambda i: F.element_at(F.array(*map(F.lit, RETRIEVERS)), i))
     fused = groups.select("query_id", "text", (F.round("score", digits) if digits is not None else F.col("score")).alias("score"), merged.alias("metadata"), sources.alias("sources"), "first")
     return top_per_query(fused, top_k or CUT, F.desc("score"), F.col("first")).drop("first")

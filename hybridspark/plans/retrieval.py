@@ -200,7 +200,7 @@ def rrf_dedup(spark: SparkSession, d: str) -> DataFrame:
 
     docs = table(spark, d, "documents").withColumn("query_id", F.lit(1))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    # ranks of a whole corpus: ids are sorted by range and numbered, not gathered in one task
+    # ranks of a whole corpus come from its ids alone; as in the SQL, the second holds for ids below 100,000,000
     ranks = {"dense": F.col("doc_id") + 1, "sparse": 100_000_000 - F.col("doc_id")}
     lists = [fusion.ranked_list(docs.withColumn("rank", r), name, none) for name, r in ranks.items()]
     return fusion.rrf(lists[0].unionByName(lists[1]), top_k=100, digits=9).select("rank", "score", F.md5(identity_key(F.col("text"))).alias("key_md5"))

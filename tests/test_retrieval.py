@@ -136,3 +136,13 @@ def test_registered_searches_take_every_twentieth_row_in_blocks(spark, tmp_path)
     for name, labels in (("dense_topk_many", {0, 1, 2, 3}), ("dense_filtered_many", {1, 3})):
         rows = catalog.QUERIES[name](spark, str(tmp_path)).select("query_id", "doc_id").collect()
         assert {r.query_id - 1 for r in rows} == set(range(0, n, 20)) and {r.doc_id % 4 for r in rows} <= labels
+
+
+def test_fusion_does_not_gather_the_copies_of_a_text(spark):
+    rows = [(1, "dense", i, "one text", {"a": str(i), f"b{i % 2}": "x"}) for i in range(1, 200)]
+    fused = fusion.rrf(ranked(spark, rows))
+    got = fused.collect()
+    assert [r.metadata for r in got] == [{"a": "1", "b1": "x", "b0": "x"}]
+    # what is collected comes after the first aggregate: a row for each key, not for each copy
+    plan = fused._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(at" not in plan
