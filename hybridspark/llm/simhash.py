@@ -8,44 +8,37 @@ members are linked to its smallest one, which keeps every connection with a numb
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
-from functools import lru_cache, reduce
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut, read
+from .common import cut, let, read
+from .minhash import shingle_hashes, sketch
 
 #: A-Z to a-z, all other bytes as they are.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose bits are counted at a time, which bounds memory for very long texts.
 _BLOCK = 65536
-#: Share of the pairs at this similarity that buckets() brings together, whatever the number of texts.
-RECALL, SIMILAR = 0.95, 0.8
-#: Texts whose keys are made at a time.
-_TEXTS = 1024
-#: Members of a bucket that meet all others in a round of decide().
-HEADS = 32
+#: Fingerprints whose balls a task makes.
+_FPS = 16384
 
 
-#: Odd factors that give further hashes of a shingle.
-_FACTORS = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1) | 1) % 2**64) for i in range(32)]
-
+def simhash(text: str | None, k: int = 3) -> int:
+    """The 64-bit fingerprint of a text's k-word shingles, as a signed integer; 0 for a text without words.
 
-def _majority(text: str | None, k: int, hashes: int) -> np.ndarray:
-    """For each of so many hashes the 64 bits that are set in over half of a text's shingles; zeros without words."""
+    A bit is 1 if it is set in over half of the shingles' XXH64 (seed 42); repeats count."""
     w = (text or "").encode().translate(_LOWER).split()
-    out = np.zeros((hashes, 8), dtype=np.uint8)
     if not w:
-        return out
+        return 0
     n = max(1, len(w) - k + 1)
-    ones = np.zeros((hashes, 64), dtype=np.int64)
+    ones = np.zeros(64, dtype=np.int64)
     joined = b" ".join(w)
     ends = np.cumsum([len(x) + 1 for x in w]).tolist()
     starts = [0, *ends]
@@ -53,28 +46,8 @@ def _majority(text: str | None, k: int, hashes: int) -> np.ndarray:
     last = min(k, len(w)) - 1
     for at in range(0, n, _BLOCK):
         h = np.array([digest(joined[starts[i] : ends[i + last] - 1], 42) for i in range(at, min(n, at + _BLOCK))], dtype="<u8")
-        for j in range(hashes):
-            x = h
-            if j:
-                x = (h ^ (h >> np.uint64(31))) * _FACTORS[j]
-                x = x ^ (x >> np.uint64(29))
-            ones[j] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits((ones * 2 > n).astype(np.uint8), axis=1, bitorder="little")
-
-
-def simhash(text: str | None, k: int = 3) -> int:
-    """The 64-bit fingerprint of a text's k-word shingles, as a signed integer; 0 for a text without words.
-
-    A bit is 1 if it is set in over half of the shingles' XXH64 (seed 42); repeats count."""
-    return int(_majority(text, k, 1).view("<i8")[0, 0])
-
-
-def simhash_tables(text: str | None, k: int, tables: int, bits: int) -> list[int]:
-    """Independent fingerprints of bits bits each (64 at most)."""
-    flat = np.unpackbits(_majority(text, k, -(-tables * bits // 64)), bitorder="little")[: tables * bits].reshape(tables, bits)
-    wide = np.zeros((tables, 64), dtype=np.uint8)
-    wide[:, :bits] = flat
-    return np.packbits(wide, axis=1, bitorder="little").view("<i8").ravel().tolist()
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((ones * 2 > n).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, k: int = 3, text: str = "text") -> DataFrame:
@@ -98,125 +71,105 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     radius is emitted for each distinct fingerprint (65 rows for radius 2)."""
     if radius % 2 or not 0 <= radius <= 4:
         raise ValueError("radius must be 0, 2 or 4")
-    fps = prints.select("fingerprint").distinct()
+    fps = cut(prints.select("fingerprint").distinct())
+    # as many tasks as their balls need: the fingerprints alone look small
+    fps = fps.repartition(max(1, fps.count() // _FPS), "fingerprint")
     spread = fps.select("fingerprint", F.explode(ball(F.col("fingerprint"), radius // 2)).alias("variant"))
-    # each bucket: its members, bounded by the size of a ball
-    buckets = spread.groupBy("variant").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("z"), F.collect_list("fingerprint").alias("members")).where("a < z")
+    # each bucket: its members, bounded by the size of a ball, so they are shuffled as they are
+    buckets = spread.repartition("variant").groupBy("variant").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("z"), F.collect_list("fingerprint").alias("members")).where("a < z")
     pairs = buckets.select("a", F.explode("members").alias("b")).where("a < b")
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
-def table_bits(n: int, least: int = 32) -> int:
-    """Bits of a short fingerprint for n texts, compared by balls: so many that the pairs a text gets by chance stay few."""
-    return min(58, max(least, 2 * n.bit_length() - 12))
-
-
-def words(n: int) -> int:
-    """Words of the long fingerprint from which the keys of n texts are drawn."""
-    return 16 if table_bits(n) <= 36 else 32
-
-
-def table_prints(text: Column, n: int, k: int = 5) -> Column:
-    """The long fingerprint of a text, one of n: words(n) of 64 bits."""
-    size = words(n)
-    return F.pandas_udf(lambda s: pd.Series([simhash_tables(t, k, size, 64) for t in s]), "array<long>")(text)
-
-
-def tables(bits: int, size: int) -> int:
-    """How many keys of so many bits, drawn from so many words, bring RECALL of the pairs at SIMILAR together.
-
-    A bit of two texts differs with the angle of their shingle sets, here of like size; keys of one long fingerprint
-    depend on how many of its bits differ, so the recall is the mean over that number."""
-    wide = 64 * size
-    q = math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
-    d = np.arange(wide - bits + 1)
-    choose = np.array([math.lgamma(wide + 1) - math.lgamma(x + 1) - math.lgamma(wide - x + 1) for x in d])
-    share = np.exp(choose + d * math.log(q) + (wide - d) * math.log1p(-q))
-    agree = np.prod([(wide - d - i) / (wide - i) for i in range(bits)], axis=0)
-    low, high = 0, 1
-    while high - low > 1 or share @ (1 - agree) ** high > 1 - RECALL:
-        if share @ (1 - agree) ** high > 1 - RECALL:
-            low, high = high, 2 * high
-        elif share @ (1 - agree) ** ((low + high) // 2) > 1 - RECALL:
-            low = (low + high) // 2
-        else:
-            high = (low + high) // 2
-    return high
-
-
-@lru_cache(maxsize=8)
-def plan(n: int) -> tuple[int, int]:
-    """Bits of a key and number of keys for n texts: recall stays, and a text gets about one pair by chance at most."""
-    bits = 16
-    while tables(bits, words(n)) * n > 2 * 2**bits:
-        bits += 1
-    return bits, tables(bits, words(n))
-
-
-def keys(prints: np.ndarray, bits: int, number: int) -> np.ndarray:
-    """So many keys (columns) of each long fingerprint (row): its bits at places drawn once for all, and the key's number."""
-    ones = np.unpackbits(np.ascontiguousarray(prints, dtype="<i8").view(np.uint8), axis=1, bitorder="little")
-    drawn = np.random.RandomState(bits).rand(number, ones.shape[1]).argsort(axis=1, kind="stable")[:, :bits]
-    out = np.tile(np.arange(number, dtype=np.uint64) << np.uint64(bits), (len(ones), 1))
-    for i in range(bits):
-        out += ones[:, drawn[:, i]].astype(np.uint64) << np.uint64(i)
-    return out.view(np.int64)
-
-
-def buckets(prints: DataFrame, n: int) -> DataFrame:
-    """(key, ids) of prints (id, fps), n distinct texts: the ids that have a key in common, two or more.
-
-    One fingerprint of 64 bits finds hardly any copies at a similarity of 0.8, where some ten bits differ. Keys are
-    groups of bits of a longer one, and a pair is found if it agrees in one of them. More texts need longer keys, and
-    so more of them: their number follows from RECALL. A key that agrees whole finds more for each row that is shuffled
-    than a longer one with its ball. Rows are shuffled as they are, a key and an id: most keys come once, and partial
-    aggregates would only widen them."""
-    bits, number = plan(n)
+#: Bins of a MinHash sketch that make up a band, and bands whose texts meet.
+ROWS, BANDS = 8, 24
+#: Members of a bucket that meet all others in the first round of decide(); twice as many in each further one, up to MOST.
+HEADS, MOST = 32, 1000
+#: Pairs of one text that a task compares.
+_SHARE = 512
 
-    def spread(batches):
-        for batch in batches:
-            ids, fps = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy()
-            for at in range(0, len(ids), _TEXTS):
-                some = ids[at : at + _TEXTS]
-                found = keys(fps.reshape(len(ids), -1)[at : at + _TEXTS], bits, number)
-                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(some, number))], names=["key", "id"])
 
-    rows = prints.select("id", "fps").mapInArrow(spread, "key long, id long").repartition("key")
-    met = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.collect_list("id").alias("ids"))
-    return met.where("a < z").select("key", "ids")
+def bands(bins: Column) -> Column:
+    """The keys of a MinHash sketch: ROWS bins of 4 bits each, behind the band's number.
 
+    A band of two texts agrees with a chance of (J + (1 - J) / 16) ** 8 whatever the size of the corpus, so BANDS of
+    them bring together 0.99 of the pairs at a similarity J of 0.8 and all but 6 in 10,000 at 0.85; a pair of unlike
+    texts shares one with a chance of 24 / 2 ** 32."""
+    return let(bins, lambda s: F.array(*(F.lit(j << 32).bitwiseOR(F.shiftrightunsigned(F.get(s, F.lit(j // 2)), 32 * (j % 2)).bitwiseAND(F.lit(0xFFFFFFFF))) for j in range(BANDS))))
 
-def _stars(met: DataFrame) -> DataFrame:
-    return met.select(F.array_min("ids").alias("a"), F.explode("ids").alias("b")).where("a < b").distinct()
 
+def shared(rows: DataFrame) -> DataFrame:
+    """(key, id, a) of rows (key, id): those whose key has several ids; a is the least of them.
 
-def candidates(prints: DataFrame, n: int) -> DataFrame:
-    """(a, b) with a < b: each bucket's least id with the others. Where some of these pairs may fail, see decide()."""
-    return _stars(buckets(prints, n))
+    Counted by partial minima, so that neither the many single keys nor a hot one are ever gathered."""
+    least = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
+    return rows.join(least, "key").select("key", "id", "a")
 
 
-def decide(met: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root), as components(), of all pairs of a bucket of met (key, ids) that pass.
+def decide(members: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root), as components(), of all pairs within a bucket of members (key, id, a: the bucket's least id) that pass.
 
     alike takes pairs (a, b) and returns those that pass. First each bucket's least id meets the others. Then, as long
-    as a bucket holds several components, its members of the smallest ones meet all members of the others, HEADS at a
-    time, which is linear in rows each round, and have met all that they could. So each pair of a bucket either was
-    tried or lies within one component."""
-    found = [cut(alike(_stars(met)))]
-    left = met.where(F.size("ids") > 2).select("key", F.array_except("ids", F.array(F.array_min("ids"))).alias("ids"))
+    as a bucket holds several components, members outside its largest one meet all members of other components, a
+    bounded number at a time, and are done. So each pair of a bucket either was tried or lies within one component. A
+    bucket is never gathered: its members stay rows, and what is picked from it is cut before the shuffle."""
+    found = [cut(alike(members.where("a < id").select("a", F.col("id").alias("b")).distinct()))]
+    left, heads = members.where("a < id").select("key", "id"), HEADS
     while True:
         roots = cut(components(reduce(DataFrame.unionByName, found)))
-        ids = left.select("key", F.explode("ids").alias("id")).join(roots.withColumnRenamed("node", "id"), "id", "left")
-        parts = ids.withColumn("root", F.coalesce("root", "id")).groupBy("key", "root").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
-        parts = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "root", "ids"))).alias("parts")).where(F.size("parts") > 1)
-        members = F.flatten(F.transform("parts", lambda p: F.transform(p["ids"], lambda i: F.struct(p["root"].alias("root"), i.alias("id")))))
-        left = cut(parts.select("key", members.alias("members")))
+        placed = left.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+        open_ = parts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", "top")
+        left = cut(placed.join(open_, "key"))
         if left.isEmpty():
             return roots
-        pairs = left.select(F.explode(F.slice("members", 1, HEADS)).alias("head"), "members").select("head", F.explode("members").alias("m")).where("head.root <> m.root")
-        found.append(cut(alike(pairs.select(F.least("head.id", "m.id").alias("a"), F.greatest("head.id", "m.id").alias("b")).distinct())))
-        rest = F.filter("members", lambda m, i: i >= HEADS)
-        left = left.where(F.size("members") > HEADS + 1).select("key", F.transform(rest, lambda m: m["id"]).alias("ids"))
+        order = F.row_number().over(Window.partitionBy("key").orderBy("root", "id"))
+        some = cut(left.where("root <> top").select("key", F.col("id").alias("head"), F.col("root").alias("own"), order.alias("nth")).where(F.col("nth") <= heads).drop("nth"))
+        pairs = some.join(left, "key").where("own <> root").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
+        found.append(cut(alike(pairs)))
+        left = left.join(some.select("key", F.col("head").alias("id")), ["key", "id"], "left_anti").select("key", "id")
+        heads = min(MOST, 2 * heads)
+
+
+def _bring(pairs: DataFrame, by: str, values: DataFrame, name: str) -> DataFrame:
+    """pairs with the value (id, s) of the text in column by. The pairs of a text that has many are dealt to several tasks."""
+    parts = pairs.groupBy(by).agg(F.ceil(F.count("*") / _SHARE).cast("int").alias("parts"))
+    dealt = pairs.join(parts, by).withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int")).drop("parts")
+    copies = values.withColumnRenamed("id", by).join(parts, by).select(by, F.col("s").alias(name), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.join(copies, [by, "part"]).drop("part")
+
+
+def near_texts(docs: DataFrame, k: int = 5, similar: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(md5, first, root): each distinct text of docs, the first row that has it and its group of near copies.
+
+    first is a struct (last, key, md5) that orders by key, nulls last. Texts are near copies if they share that much of
+    their distinct k-word shingles, without regard to case; groups are what such links connect. Null counts as empty,
+    and texts without words are alike. Texts are named by 64 bits of their MD5.
+
+    Candidates are the texts of one component of SimHash fingerprints (balls of radius 2) and those that share a band of
+    MinHash bins: at a similarity of 0.8 fingerprints of 64 bits differ in ten bits, which no ball reaches. Each pair of
+    candidates is verified by its shingles or lies within one group already."""
+    md5 = F.md5(F.coalesce(text, F.lit(""))).alias("md5")
+    number = F.conv(F.substring("md5", 1, 16), 16, -10).cast("long").alias("id")
+    rank = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), "md5")
+    prints = F.pandas_udf(lambda s: pd.Series([simhash(t, k) for t in s], dtype="int64"), "long")
+    rows = docs.select(key, md5, prints(F.col(text)).alias("fingerprint"), sketch(F.lower(F.coalesce(text, F.lit(""))), k).alias("sketch"))
+    texts = cut(rows.groupBy("md5").agg(F.min(rank).alias("first"), F.first("fingerprint").alias("fingerprint"), F.first("sketch").alias("sketch")).select(number, "md5", "first", "fingerprint", "sketch"))
+    groups = components(links(texts)).select(F.col("node").alias("fingerprint"), F.col("root").alias("group"))
+    balls = texts.select("id", "fingerprint").join(groups, "fingerprint", "left").select(F.coalesce("group", "fingerprint").alias("key"), "id")
+    banded = texts.select(F.explode(bands(F.col("sketch"))).alias("key"), "id")
+    members = cut(shared(banded).unionByName(shared(balls)))
+    wanted = texts.join(members.select("id").distinct(), "id", "left_semi").select("id", "md5")
+    shingles = docs.select(md5, F.col(text).alias("text")).join(wanted, "md5").dropDuplicates(["md5"])
+    shingles = cut(shingles.select("id", F.array_distinct(shingle_hashes(F.lower("text"), k)).alias("s")))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = _bring(_bring(cut(pairs), "a", shingles, "x"), "b", shingles, "y")
+        common = F.size(F.array_intersect("x", "y"))
+        return both.where(common >= similar * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+    roots = decide(members, alike)
+    return texts.select("id", "md5", "first").join(roots.withColumnRenamed("node", "id"), "id", "left").select("md5", "first", F.coalesce("root", "id").alias("root"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -1,9 +1,12 @@
+import hashlib
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from hybridspark.llm import simhash as M
+from hybridspark.llm.minhash import sketch
 
 
 def plain(text, k=3):
@@ -79,30 +82,66 @@ def test_hex(spark):
     assert spark.range(1).select(M.hex64(F.lit(5)).alias("h")).first().h == "0000000000000005"
 
 
-def test_candidates_bring_near_copies_together(spark):
-    rng = random.Random(7)
-    texts = []
-    for i in range(40):
-        words = [f"w{rng.randrange(500)}" for _ in range(200)]
-        other = list(words)
-        for _ in range(2):
-            other[rng.randrange(200)] = "changed"
-        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
-    df = spark.createDataFrame(texts, "id long, text string")
-    got = {(r.a, r.b) for r in M.candidates(df.select("id", M.table_prints(F.col("text"), 80).alias("fps")), 80).collect()}
-    assert sum((2 * i, 2 * i + 1) in got for i in range(40)) >= 36
-    assert all(a < b for a, b in got) and M.table_bits(80) == 32 and M.table_bits(10**9) == 48
-
-
-def test_recall_stays_as_the_corpus_grows(spark):
-    rng = random.Random(11)
-    texts = []
-    for i in range(100):
+def made_pairs(rng, n, changed):
+    """Pairs of 200 words that differ in one run of so many words: 196 + 4 + changed shingles, 192 - changed in common."""
+    rows = []
+    for i in range(n):
         words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
-        # 21 of 196 shingles of five words differ: a similarity of 0.806
-        other = words[:90] + [f"w{rng.randrange(10**6)}" for _ in range(17)] + words[107:]
-        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
-    df = spark.createDataFrame(texts, "id long, text string")
-    for n in (200, 10**7, 10**9):
-        got = {(r.a, r.b) for r in M.candidates(df.select("id", M.table_prints(F.col("text"), n).alias("fps")), n).collect()}
-        assert sum((2 * i, 2 * i + 1) in got for i in range(100)) >= 88
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:90] + [f"w{rng.randrange(10**6)}" for _ in range(changed)] + words[90 + changed :]))]
+    return rows
+
+
+@pytest.mark.parametrize("changed,share", [(17, 0.95), (11, 0.98), (5, 1.0)])
+def test_bands_find_pairs_at_the_threshold(spark, changed, share):
+    # similarities of 0.807, 0.858 and 0.912; the keys don't depend on how many texts there are
+    rows = made_pairs(random.Random(11), 200, changed)
+    keys = spark.createDataFrame(rows, "id long, text string").select(F.explode(M.bands(sketch(F.col("text"), 5))).alias("key"), "id")
+    met = {}
+    for r in M.shared(keys).collect():
+        met.setdefault(r.key, set()).add(r.id)
+    assert sum(any({2 * i, 2 * i + 1} <= m for m in met.values()) for i in range(200)) >= share * 200
+
+
+def test_groups_agree_with_brute_force(spark):
+    rng = random.Random(13)
+    texts = []
+    for _ in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([6, 30, 150]))]
+        for _ in range(5):
+            texts.append(" ".join(words))
+            for _ in range(rng.choice([0, 1, 1, 4])):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+    rng.shuffle(texts)
+    shingles = {t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts}
+    alike = [(a, b) for a in shingles for b in shingles if a < b and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    want = groups(set(shingles), alike)
+    got = M.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == len(shingles)
+    names = {hashlib.md5(t.encode()).hexdigest(): t for t in texts}
+    roots = {}
+    for r in got:
+        assert r.first.key == texts.index(names[r.md5])
+        roots.setdefault(r.root, set()).add(names[r.md5])
+    whole = {}
+    for t, r in want.items():
+        whole.setdefault(r, set()).add(t)
+    # no group joins texts that are not connected; pairs at the very threshold may be missed
+    assert all(any(g <= w for w in whole.values()) for g in roots.values())
+    assert len(roots) <= len(whole) + 1
+
+
+def test_every_pair_of_a_bucket_is_decided(spark, monkeypatch):
+    # the least member is a stranger to all others, which make up two groups and two loners
+    monkeypatch.setattr(M, "HEADS", 1)
+    monkeypatch.setattr(M, "MOST", 1)
+    ids = [0, 11, 12, 13, 21, 22, 30, 40]
+    members = spark.createDataFrame([("k", i, 0) for i in ids], "key string, id long, a long")
+    tried = []
+
+    def alike(pairs):
+        tried.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.where("a div 10 = b div 10")
+
+    roots = {r.node: r.root for r in M.decide(members, alike).collect()}
+    assert roots == {11: 11, 12: 11, 13: 11, 21: 21, 22: 21}
+    assert all((a, b) in tried or roots.get(a) == roots.get(b) for a in ids for b in ids if a < b)
