@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridspark.llm import bpe, langid, minhash, mixing, secrets, simhash
+from hybridspark.llm import bpe, langid, mixing, secrets, simhash
 from hybridspark.llm.common import cut, read
 
 #: Texts that are less like every known language than this are rejected, as are those without letters.
@@ -33,32 +33,14 @@ def _same(a: str, b: str, *names: str) -> Column:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id, null last.
-
-    Copies of a text are one text. All pairs of texts that SimHash brings together are verified: they are linked if they
-    share 0.8 of their five-word shingles, without regard to case, so that clean documents are left alone."""
-    md5 = F.md5(F.coalesce("text", F.lit(""))).alias("md5")
-    number = F.conv(F.substring("md5", 1, 16), 16, -10).cast("long").alias("id")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "md5")
-    n = docs.select(md5).distinct().count()
-    rows = docs.select("doc_id", md5, simhash.table_prints(F.col("text"), n, SHINGLE).alias("fps"))
-    texts = cut(rows.groupBy("md5").agg(F.min(rank).alias("first"), F.first("fps").alias("fps")).select(number, "md5", "first", "fps"))
-    met = cut(simhash.buckets(texts.select("id", "fps"), n))
-    ids = met.select(F.explode("ids").alias("id")).distinct()
-    wanted = texts.join(ids, "id", "left_semi").select("id", "md5")
-    shingles = docs.select(md5, "text").join(wanted, "md5").dropDuplicates(["id"])
-    shingles = cut(shingles.select("id", F.array_distinct(minhash.shingle_hashes(F.lower("text"), SHINGLE)).alias("s")))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(shingles.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(shingles.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return both.where(common >= SIMILAR * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-    roots = simhash.decide(met, alike)
-    heads = texts.select("id", "first").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    stay = heads.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.md5")
-    out = docs.withColumn("md5", md5).alias("d").join(stay.alias("s"), _same("d", "s", "doc_id") & (F.col("d.md5") == F.col("s.md5")), "left_semi")
-    return out.dropDuplicates(["md5"]).select(docs.columns)
+    """One document of each group of near copies: the one with the smallest doc_id, null last, and once if repeated.
+
+    Texts that SimHash or its bands bring together are linked if they share 0.8 of their five-word shingles, without
+    regard to case, so that clean documents are left alone. Null, empty and blank texts are copies of one another."""
+    place = F.md5(F.concat_ws("|", F.md5(F.coalesce("text", F.lit(""))), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))).alias("__place")
+    stay = simhash.near_texts(docs, SHINGLE, SIMILAR).groupBy("root").agg(F.min("first").alias("first"))
+    stay = stay.select(F.md5(F.concat_ws("|", "first.md5", F.coalesce(F.col("first.key").cast("string"), F.lit("none")))).alias("__place"))
+    return docs.select("*", place).join(stay, "__place").dropDuplicates(["__place"]).select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
