@@ -28,7 +28,7 @@ CHUNK, OVERLAP = 1 << 16, 2048
 #: A boundary this far from the cut end of a chunk does not depend on what follows it: the pattern looks at most two characters ahead.
 _MARGIN = 8
 #: Half the distinct pre-tokens that a worker remembers, and tokens that it holds before it hands over a batch.
-_CACHE, _FLUSH = 200_000, 2_000_000
+_CACHE, _FLUSH = 60_000, 1_000_000
 
 
 #: Letters and numbers that Unicode gained after version 16, to which the rank files' usual library keeps.
@@ -75,8 +75,9 @@ class Bpe:
         for name, meaning in _CLASSES.items():
             pattern = pattern.replace(name, meaning)
         self.any = regex.compile(f"(?V1){pattern}").findall
-        self.known: dict[str, list[int]] = {}
-        self.before: dict[str, list[int]] = {}
+        # tuples take less memory than lists; a worker lives on after its task
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def split(self, text: str) -> list[str]:
         return self.ascii(text) if text.isascii() else self.any(text)
@@ -132,7 +133,7 @@ class Bpe:
         for piece in self.split(text):
             got = known.get(piece)
             if got is None:
-                got = self.before.get(piece) or self.pre_token(piece)
+                got = self.before.get(piece) or tuple(self.pre_token(piece))
                 if len(piece) <= 64:
                     if len(known) >= _CACHE:  # what has been used since the last time stays for one more round
                         self.before, self.known = known, {}

@@ -19,7 +19,7 @@ TOP = 400
 #: The answer for texts without letters.
 UNKNOWN = "und"
 #: n-grams that a task holds before it counts them.
-_HELD = 4_000_000
+_HELD = 1_000_000
 
 
 @lru_cache(maxsize=1)
