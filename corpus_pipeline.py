@@ -75,7 +75,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ranks = public.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), "text"), ranks, public.PATTERN)
-    back = bpe.decode(encoded, ranks, public.PATTERN)
+    # written between the two, else each task would keep two Python workers with the ranks
+    back = bpe.decode(cut(encoded), ranks, public.PATTERN)
     return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"))
 
 
