@@ -41,9 +41,35 @@ def _own_dir() -> str:
     return f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
 
 
+def running(values: Column) -> Column:
+    """For each value of an array the sum of those before it. Folded in blocks, as a fold copies what it has built."""
+    block = 256
+    zero = lambda of: F.aggregate(of, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out")), lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda b: F.slice(values, b * block + 1, F.lit(block)))
+
+    def of(parts: Column) -> Column:
+        sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x))
+        return F.flatten(F.zip_with(parts, zero(sums), lambda p, base: F.transform(zero(p), lambda x: x + base)))
+
+    return F.when(F.size(values) > 0, let(blocks, of)).otherwise(F.array().cast("array<long>"))
+
+
+def rank_in(value: Column, bounds: list) -> Column:
+    """How many of the sorted bounds (longs or strings) are less than value, by halving a literal array."""
+    if not bounds:
+        return F.lit(0)
+    table = F.array(*map(F.lit, bounds))
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(len(bounds).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda acc, s: F.when(F.get(table, acc + s - 1) < value, acc + s).otherwise(acc))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, as in tests, below a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """A new folder below spark.checkpoint.dir. Only a local session may leave that unset: a temporary one takes its place."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _own_dir()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 

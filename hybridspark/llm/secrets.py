@@ -2,9 +2,8 @@
 
 Candidates are found by regular expressions. Their hashes are counted by distinct repositories and owners over the
 whole corpus: a value that many owners share, or that many repositories of few owners hold, is a copied example; one
-that few own looks live. The counts go through
-partial aggregates, so a value in a third of all rows costs no more than any other. Only spans and hashes are shuffled,
-never texts.
+that few own looks live. The counts go through partial aggregates, so a value in a third of all rows costs no more than
+any other. The patterns run once over each text; only spans and hashes are written and shuffled, never texts.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut, let, read, running
 
 #: kind, pattern, group of the value, least length of the value; listed in order of precedence at one start. Shorter
 #: runs of access and hex can't match in part, so their length stands in the pattern.
@@ -36,17 +35,20 @@ def find(text: Column, kind: str, pattern: str, group: int, least: int) -> Colum
 
     What lies between the matches comes from split(), so that running sums of lengths give the places."""
     p = F.lit(pattern)
-    whole, value, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group)), F.split(text, pattern, -1)
-    steps = F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("gap"), F.transform(whole, lambda m: F.length(m)).alias("size"), value.alias("value"))
-    steps = F.filter(steps, lambda s: s["size"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    matches = F.arrays_zip(gaps.alias("gap"), F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda m: F.length(m)).alias("size"), F.regexp_extract_all(text, p, F.lit(group)).alias("value"))
+    matches = F.filter(matches, lambda m: m["size"].isNotNull())
 
-    def step(acc, s):
-        begin = acc["at"] + s["gap"]
-        span = F.struct(begin.alias("start"), F.lit(_ORDER.index(kind)).alias("kind"), (begin + s["size"]).alias("end"), s["value"].alias("value"))
-        return F.struct((begin + s["size"]).alias("at"), F.when(F.length(s["value"]) >= least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+    def spans(found: Column) -> Column:
+        before = running(F.transform(found, lambda m: m["gap"] + m["size"]))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(_SPAN))
+        def span(m: Column, at: Column) -> Column:
+            begin = (at + m["gap"]).cast("int")
+            return F.struct(begin.alias("start"), F.lit(_ORDER.index(kind)).alias("kind"), (begin + m["size"]).alias("end"), m["value"].alias("value"))
+
+        return F.filter(F.zip_with(found, before, span), lambda s: F.length(s["value"]) >= least)
+
+    return F.when(text.rlike(pattern), let(matches, spans)).otherwise(F.array().cast(_SPAN))
 
 
 def candidates(text: Column) -> Column:
@@ -80,8 +82,9 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str =
 
     Base spans are always there, whoever owns them; opaque ones only where they look live: max_owners own the value at
     most, in max_repositories at most. A null or empty text has no spans. Repeated rows come back as often as they are in docs."""
-    rows = docs.select(F.col(key).alias("key"), F.col(owner).alias("owner"), F.col(repository).alias("repository"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("sha"), candidates(F.col(text)).alias("c"))
-    rows = rows.withColumn("c", F.transform("c", lambda s: s.withField("value", F.sha2(s["value"], 256))))
+    hashed = F.transform(candidates(F.col(text)), lambda s: s.withField("value", F.sha2(s["value"], 256)))
+    # written once, as each use would run the patterns over all texts again
+    rows = cut(docs.select(F.col(key).alias("key"), F.col(owner).alias("owner"), F.col(repository).alias("repository"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("sha"), hashed.alias("c")))
     some = rows.where(F.size("c") > 0)
     loose = some.select("key", "sha", "owner", "repository", F.explode("c").alias("s"))
     counts = ownership(loose.select(F.col("s.value").alias("value"), "owner", "repository"))
