@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, read
+from .common import cut, rank_in, read
 
 #: Cells of the first summary, and parts that a cell is split into.
 CELLS, SPLIT = 1 << 15, 32
+#: Cells that a round of splitting may bring to the driver.
+BUDGET = 1 << 18
 
 
 def ends(groups: DataFrame, digits: int = 3) -> DataFrame:
@@ -95,42 +97,38 @@ class Summary:
         return [*out, total]
 
 
-def regions(ranges: list[tuple[int, int]], most: int = 64) -> list[tuple[int, int]]:
-    """The ranges, those with the least gaps between them joined until there are only so many."""
-    ranges = sorted(ranges)
-    gaps = sorted(range(1, len(ranges)), key=lambda i: ranges[i][0] - ranges[i - 1][1], reverse=True)
-    firsts = [0, *sorted(gaps[: most - 1])]
-    return [(ranges[i][0], ranges[j - 1][1]) for i, j in zip(firsts, [*firsts[1:], len(ranges)], strict=True)]
-
-
-def cells(sums: DataFrame, width: int, within: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
-    """The cells of that width, all or those inside a few ranges; at most CELLS or SPLIT times what was split."""
+def cells(sums: DataFrame, width: int, within: tuple[int, list[int]] | None = None) -> list[tuple[int, int]]:
+    """The cells of that width, all or those inside some wider cells: their width and numbers."""
     if within is not None:
-        test = F.lit(False)
-        for a, b in within:
-            test = test | F.col("end").between(a, b)
-        sums = sums.where(test)
+        wide, numbers = within
+        some = sums.sparkSession.createDataFrame([(x,) for x in numbers], "cell long")  # BUDGET at most
+        sums = sums.withColumn("cell", F.expr(f"end div {wide}L")).join(F.broadcast(some), "cell", "left_semi")
     found = sums.groupBy(F.expr(f"end div {width}L")).agg(F.min("end").alias("a"), F.max("end").alias("b"))
     return [(r["a"], r["b"]) for r in found.select("a", "b").collect()]
 
 
-def minimax_cuts(sums: DataFrame, shards: int) -> tuple[int, list[int]]:
-    """The smallest capacity, and where the shards end (as sums); sums: column end."""
+def minimax_cuts(sums: DataFrame, shards: int, budget: int = BUDGET) -> tuple[int, list[int]]:
+    """The smallest capacity, and where the shards end (as sums); sums: column end.
+
+    Where a cut may fall is uncertain by as many cells as there are shards before it, so up to about half the square of
+    shards cells have to be split. Where that would bring more than budget cells to the driver (with the default from
+    some 700 shards on), splitting ends and the capacity is above the smallest one by less than a cell's width, which
+    is the total over a quarter of budget at most. Widths are powers of two, so that narrow cells lie within wide ones."""
     total = sums.agg(F.max("end")).first()[0] or 0
     if not total:
         return 0, [0] * shards
-    width = max(1, total // CELLS)
+    width = 1 << max(0, (total // CELLS).bit_length() - 1)
     known = Summary(cells(sums, width))
     while True:
         low, high = known.capacity(shards, total, False), known.capacity(shards, total, True)
         unclear = known.open(shards, low, high)
-        if not unclear:
+        split = min(SPLIT, width, 1 << max(0, (budget // max(1, len(unclear))).bit_length() - 1))
+        if not unclear or split < 2:
             return high, known.even(shards, total, high)
-        width = max(1, width // SPLIT)
-        inside = regions(unclear)
-        low = [a for a, _ in inside]
-        kept = [c for c in known.cells if not ((i := bisect_right(low, c[0]) - 1) >= 0 and c[1] <= inside[i][1])]
-        known = Summary(kept + cells(sums, width, inside))
+        inside = {c[0] // width for c in unclear}
+        kept = [c for c in known.cells if c[0] // width not in inside]
+        known = Summary(kept + cells(sums, width // split, (width, sorted(inside))))
+        width //= split
 
 
 def size_of(text: Column) -> Column:
@@ -142,28 +140,27 @@ def shard(docs: DataFrame, shards: int = 40, text: str = "text", key: str = "doc
 
     Equal texts stay together, null and empty ones too; within that, the largest shard is as small as any contiguous
     partition allows. A group above the even share makes a shard larger than others. With fewer groups than shards,
-    some shards are empty. Slots follow no order but are the same in each run; rows alike in key and text may swap."""
-    new = ("size", "text_crc32", "shard", "slot", "hash", "part", "nth", "base")
+    some shards are empty. The columns size, text_crc32, shard and slot are replaced. Slots follow no order but are the same in each run; rows alike in key and text may swap."""
+    new = ("size", "text_crc32", "shard", "slot")
     others = [c for c in docs.columns if c not in (text, *new)]
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*(F.col(f"`{c}`") for c in others), size_of(F.col(text)).alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.md5(t).alias("hash"))
-    groups = rows.select("hash", "size").groupBy("hash").agg(F.sum("size").alias("size"))
+    # written once: all that follows needs no texts
+    rows = cut(docs.select(*(F.col(f"`{c}`") for c in others), size_of(F.col(text)).alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.md5(t).alias("__hash")))
+    groups = rows.select(F.col("__hash").alias("hash"), "size").groupBy("hash").agg(F.sum("size").alias("size"))
     sums = cut(ends(groups))
     _, stops = minimax_cuts(sums, shards)
-    where = {r["end"]: r["hash"] for r in sums.where(F.col("end").isin(sorted(set(stops)))).collect()}  # one row a shard
-    number = F.lit(0)
-    for s in stops[:-1]:
-        number = number + (F.col("hash") > F.lit(where.get(s, ""))).cast("int")
-    rows = rows.withColumn("shard", number.cast("int"))
+    some = docs.sparkSession.createDataFrame([(s,) for s in sorted(set(stops))], "end long")
+    where = {r["end"]: r["hash"] for r in sums.join(F.broadcast(some), "end").collect()}  # one row a shard
+    rows = rows.withColumn("shard", rank_in(F.col("__hash"), sorted(where.get(s, "") for s in stops[:-1])))
 
     counts = {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     most = max(256, min(sum(counts.values()) // 2048, 2_000_000))
     parts = F.array(*(F.lit(-(-counts.get(k, 1) // most)) for k in range(shards)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.col(key), F.col("hash")), F.element_at(parts, F.col("shard") + 1)).cast("int"))
-    before = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    before = before.select("shard", "part", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "part").orderBy(F.col(key).asc_nulls_first(), "hash")))
-    return rows.join(before, ["shard", "part"]).select(*(F.col(f"`{c}`") for c in others), "size", "text_crc32", "shard", (F.col("base") + F.col("nth") - 1).cast("long").alias("slot"))
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64(F.col(key), F.col("__hash")), F.element_at(parts, F.col("shard") + 1)).cast("int"))
+    before = rows.groupBy("shard", "__part").agg(F.count("*").alias("n"))
+    before = before.select("shard", "__part", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("shard", "__part").orderBy(F.col(key).asc_nulls_first(), "__hash")))
+    return rows.join(before, ["shard", "__part"]).select(*(F.col(f"`{c}`") for c in others), "size", "text_crc32", "shard", (F.col("__base") + F.col("__nth") - 1).cast("long").alias("slot"))
 
 
 def op2_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
