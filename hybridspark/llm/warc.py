@@ -112,6 +112,8 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(html, F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.when(F.length("payload") >= least, F.sha1("payload")))
     kept = rows.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # short payloads match nothing; a name of their own keeps them from meeting in one partition
+    rows = rows.withColumn("digest", F.coalesce("digest", F.concat(F.lit("short "), F.xxhash64("page_id", "url", "payload").cast("string"))))
     rows = rows.join(kept, "digest", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
 
     def run(batches):
@@ -168,7 +170,8 @@ def read_back(archives: DataFrame, folder: str, batch_bytes: int = 8 << 20) -> D
                     if rows:
                         yield _batch(rows)
 
-    return archives.select("path").mapInArrow(run, _FIELDS)
+    # an archive a task, as the list of paths is small
+    return archives.select("path").repartition(max(1, archives.count())).mapInArrow(run, _FIELDS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
