@@ -105,7 +105,7 @@ def with_next(rows: DataFrame, key: str, bring: dict[str, Column]) -> DataFrame:
     of a range also stands, marked, at the end of the range before, so that each range finds all it needs in itself.
     Equal keys follow one another by all other columns' hashes. A row with a null key has no place and gets nulls."""
     n, low = rows.agg(F.count(key), F.min(key)).first()
-    ranges = max(1, min(4096, n // max(1, min(n // _BUCKETS, 200_000), 64))) if n else 1
+    ranges = max(1, min(32768, n // max(1, min(n // _BUCKETS, 200_000), 64))) if n else 1
     cuts = rows.agg(F.percentile_approx(key, [i / ranges for i in range(ranges)], 100_000)).first()[0] or []
     starts = sorted({*cuts, *([low] if n else [])})
     table = _longs([int(s) for s in starts]) if starts else F.array().cast("array<long>")
