@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
 Rows are dealt to index shards by their ids, queries to blocks; a task holds one shard and one block, both of bounded
-size, so no group of similar vectors makes a task large. In it, each tree has its own hash strings, one symbol from
-the nearest signed axis of a random rotation after the other, in a sorted array. A query descends in every tree to its
-longest prefix match and then ascends in all trees together, one symbol at a time, until enough rows are met; at the
-empty prefix these are all rows. They are scored exactly, and each block's best meet in one more shuffle.
+size, so no group of similar vectors makes a task large. In it, each tree has its own strings of bits, the sides of
+random hyperplanes on which a row lies, in a sorted array. A query descends in every tree to its longest prefix match
+and then ascends in all trees together, a bit at a time, until they have named enough rows, repeats counted. A row
+counts by how long its matches are, over all trees; those that count most are scored exactly, and each shard's best
+meet in one more shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,49 +21,61 @@ from pyspark.sql.window import Window
 
 from .common import read
 
-#: Trees, symbols of a hash string, rows of an index shard, queries of a block.
-TREES, LENGTH, SHARD, BLOCK = 48, 3, 16384, 8192
-#: A query ascends until its trees have named so many rows, repeats counted: this share of the shard's, and this many at
-#: least, as the nearest rows of few are far away.
-WANTED, LEAST = 0.2, 1000
+#: Trees, bits of a hash string (16 at most), rows of an index shard, queries of a block.
+TREES, LENGTH, SHARD, BLOCK = 128, 16, 16384, 8192
+#: Rows that are scored for a query: this share of the shard's, and so many times k at least.
+SHARE, LEAST = 0.1, 20
+#: A query ascends until its trees have named so many times the rows that it may score.
+SPREAD = 48
 
 
 @lru_cache(maxsize=1)
-def rotations(dim: int, trees: int, length: int, seed: int) -> np.ndarray:
-    """A random rotation for each symbol of each tree, the same in every task."""
+def planes(dim: int, trees: int, length: int, seed: int) -> np.ndarray:
+    """The normals of random hyperplanes, one for each bit of each tree, the same in every task. Those of dim bits at a
+    time are orthogonal, which spreads them evenly."""
     rng = np.random.default_rng(seed)
-    return np.linalg.qr(rng.standard_normal((trees * length, dim, dim)))[0].reshape(trees, length, dim, dim).astype(np.float32)
-
-
-def strings(x: np.ndarray, turns: np.ndarray) -> np.ndarray:
-    """Hash strings of rows of x in each tree, as numbers: a symbol takes 16 bits, the first one the highest."""
-    trees, length, dim, _ = turns.shape
-    out = np.zeros((trees, len(x)), dtype=np.int64)
-    y = x.astype(np.float32)
-    for t in range(trees):
-        for j in range(length):
-            z = y @ turns[t, j]
-            axis = np.argmax(np.abs(z), axis=1)
-            out[t] = out[t] << 16 | (2 * axis + (z[np.arange(len(z)), axis] < 0))
-    return out
-
-
-def _ascend(index: np.ndarray, query: np.ndarray, length: int, wanted: float) -> list[np.ndarray | None]:
-    """For each query the rows that it meets, or None for all rows; index and query: strings, tree by tree."""
-    order = np.argsort(index, axis=1, kind="stable")
-    names = np.take_along_axis(index, order, axis=1)
-    met: list[np.ndarray | None] = [None] * query.shape[1]
-    open_ = np.arange(query.shape[1])
+    blocks = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-trees * length // dim))]
+    return np.concatenate(blocks, axis=1)[:, : trees * length].astype(np.float32)
+
+
+def strings(x: np.ndarray, normals: np.ndarray, trees: int, length: int) -> np.ndarray:
+    """Hash strings of rows of x in each tree, as numbers: the first bit is the highest."""
+    sides = (x.astype(np.float32) @ normals > 0).reshape(len(x), trees, length)
+    return (sides @ (1 << np.arange(length - 1, -1, -1, dtype=np.int32))).T.astype(np.uint16)
+
+
+def ascend(index: np.ndarray, query: np.ndarray, length: int, most: int, spread: float = SPREAD) -> Iterator[tuple[int, np.ndarray | None]]:
+    """For each query the depth at which its ascent stopped and the rows to score: most at most, or None for all rows.
+
+    index and query: strings, tree by tree."""
+    order = np.argsort(index, axis=1, kind="stable").astype(np.int32)
+    names = np.take_along_axis(index, order, axis=1).astype(np.int32)
+    query = query.astype(np.int32)
+    trees, m = query.shape
+    first, last, stop = np.zeros((trees, m), dtype=np.int32), np.full((trees, m), index.shape[1], dtype=np.int32), np.zeros(m, dtype=np.int32)
+    open_ = np.arange(m)
     for depth in range(length, 0, -1):
-        shift = 16 * (length - depth)
-        low = query[:, open_] >> shift << shift
-        first = np.stack([np.searchsorted(a, b) for a, b in zip(names, low, strict=True)])
-        last = np.stack([np.searchsorted(a, b) for a, b in zip(names, low + (1 << shift), strict=True)])
-        enough = (last - first).sum(axis=0) >= wanted
-        for i in np.flatnonzero(enough):
-            met[open_[i]] = np.unique(np.concatenate([o[a:b] for o, a, b in zip(order, first[:, i], last[:, i], strict=True)]))
+        low = query[:, open_] >> length - depth << length - depth
+        a = np.stack([np.searchsorted(n, v) for n, v in zip(names, low, strict=True)])
+        b = np.stack([np.searchsorted(n, v) for n, v in zip(names, low + (1 << length - depth), strict=True)])
+        enough = (b - a).sum(axis=0) >= spread * most
+        done = open_[enough]
+        first[:, done], last[:, done], stop[done] = a[:, enough], b[:, enough], depth
         open_ = open_[~enough]
-    return met
+        if not len(open_):
+            break
+    # how many leading bits two strings share, by their exclusive or
+    shared = length - np.array([x.bit_length() for x in range(1 << length)], dtype=np.int32)
+    for j in range(m):
+        if not stop[j] or index.shape[1] <= most:
+            yield int(stop[j]), None
+            continue
+        count = np.zeros(index.shape[1], dtype=np.int32)
+        for t, (lo, hi) in enumerate(zip(first[:, j].tolist(), last[:, j].tolist(), strict=True)):
+            if lo < hi:
+                count[order[t, lo:hi]] += shared[names[t, lo:hi] ^ query[t, j]] - (stop[j] - 1)
+        named = np.argpartition(-count, most)[:most]
+        yield int(stop[j]), named[count[named] > 0]
 
 
 def _lifted(x: np.ndarray, longest: float) -> np.ndarray:
@@ -70,7 +84,7 @@ def _lifted(x: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([x, rest[:, None]], axis=1)
 
 
-def _tile(k: int, longest: float, trees: int, length: int, wanted: float, seed: int):
+def _tile(k: int, longest: float, trees: int, length: int, share: float, seed: int):
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
         if len(rows) and len(queries):
@@ -82,10 +96,10 @@ def _tile(k: int, longest: float, trees: int, length: int, wanted: float, seed:
             by = np.argsort(copy.ravel(), kind="stable")
             bounds = np.searchsorted(copy.ravel()[by], np.arange(len(x) + 1))
             q = np.array(queries["embedding"].tolist(), dtype=np.float64)
-            turns = rotations(x.shape[1] + 1, trees, length, seed)
+            normals = planes(x.shape[1] + 1, trees, length, seed)
             zero = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
-            met = _ascend(strings(_lifted(x, longest), turns), strings(zero, turns), length, max(4 * k, LEAST, wanted * len(x)))
-            for own, v, rows_met in zip(queries["vec_id"].to_numpy().tolist(), q, met, strict=True):
+            met = ascend(strings(_lifted(x, longest), normals, trees, length), strings(zero, normals, trees, length), length, max(LEAST * k, round(share * len(x))))
+            for own, v, (_, rows_met) in zip(queries["vec_id"].to_numpy().tolist(), q, met, strict=True):
                 near = x if rows_met is None else x[rows_met]
                 rough = near @ v
                 # all that rounding might put among the best
@@ -107,12 +121,14 @@ def usable(v: Column) -> Column:
     return F.coalesce(fine & F.exists(d, lambda x: x != 0), F.lit(False))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, length: int = LENGTH, shard: int = SHARD, block: int = BLOCK, wanted: float = WANTED, seed: int = 11) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, length: int = LENGTH, shard: int = SHARD, block: int = BLOCK, share: float = SHARE, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k nearest found, by inner product, ties to smaller vec_id.
 
     rows and queries have vec_id and embedding; both may have other columns. A query never finds its own vec_id.
     Vectors that usable() refuses, rows without an id and vectors of another length than most rows have take no part.
-    Repeated rows count once; of queries with one id, that with the least vector is asked."""
+    Repeated rows count once; of queries with one id, that with the least vector is asked. Every shard of rows meets
+    every block of queries, so the work grows as rows times queries do, a tenth of it in exact products; tables of up to
+    20 k rows are searched whole."""
     fit = lambda df: df.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows, queries = fit(rows), fit(queries)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
@@ -125,7 +141,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = rows.select("vec_id", "embedding", deal(shards).alias("shard"), every(blocks).alias("block"))
     queries = queries.select("vec_id", "embedding", every(shards).alias("shard"), deal(blocks).alias("block"))
-    tile = _tile(k, longest, trees, length, wanted, seed)
+    tile = _tile(k, longest, trees, length, share, seed)
     found = rows.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(tile, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
