@@ -29,6 +29,8 @@ from .common import cut, read
 WINDOW, GRAM = 35, 8
 #: Different pieces of an anchor that a shard takes.
 HOT = 4000
+#: Anchors that may have a larger share of the repeated pieces than one over this.
+_HOT_ANCHORS = 1000
 #: Words that a worker remembers; words of a text that are looked at together.
 _CACHE, _BLOCK = 1_000_000, 1 << 18
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -230,9 +232,13 @@ def repeats(docs: DataFrame, text: str, texts: DataFrame, shards: int, window: i
 
     Pieces are cut where documents are read and written once; texts (t1, t2, n, text) are those to fetch words from."""
     pieces = cut(_pieces(docs.select(*_halves(text), F.lit(1).cast("long").alias("n"), F.coalesce(text, F.lit("")).alias("text")), window))
-    # written, so that the joins below shuffle both sides and a hot anchor's partition can be split
-    known = cut(pieces.groupBy("anchor").agg(F.sum("n").alias("times")).where("times > 1").select("anchor"))
-    some = cut(pieces.join(known, "anchor", "left_semi").groupBy("anchor", "sig", "t1", "t2", "place").agg(F.sum("n").alias("n")))
+    known = cut(pieces.groupBy("anchor").agg(F.sum("n").alias("times")).where("times > 1"))
+    # anchors with over a thousandth of all pieces, a thousand at most, are broadcast, so that no task gets one whole
+    many = (known.agg(F.sum("times")).first()[0] or 0) // _HOT_ANCHORS
+    busy = F.broadcast(known.where(F.col("times") > many).select("anchor"))
+    rest = pieces.join(busy, "anchor", "left_anti").join(known.where(F.col("times") <= many).select("anchor"), "anchor", "left_semi")
+    some = pieces.join(busy, "anchor", "left_semi").unionByName(rest)
+    some = cut(some.groupBy("anchor", "sig", "t1", "t2", "place").agg(F.sum("n").alias("n")))
     # the first text of each distinct piece stands for it
     kinds = some.groupBy("anchor", "sig").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "place")).alias("at"))
     each = cut(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
@@ -290,9 +296,9 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with n_words, n_removed and, in place of the text, what is left of it (words joined by one space)."""
-    left = kept(docs, text, window).withColumnRenamed("kept", "__kept")
-    rows = docs.drop("n_words", "n_removed", "t1", "t2").select("*", *_halves(text)).drop(text)
-    return rows.join(left, ["t1", "t2"]).drop("t1", "t2").withColumnRenamed("__kept", text)
+    left = kept(docs, text, window).withColumnsRenamed({"kept": "__kept", "t1": "__t1", "t2": "__t2"})
+    rows = docs.drop("n_words", "n_removed").select("*", *(h.alias(n) for h, n in zip(_halves(text), ("__t1", "__t2"), strict=True))).drop(text)
+    return rows.join(left, ["__t1", "__t2"]).drop("__t1", "__t2").withColumnRenamed("__kept", text)
 
 
 def op4_suffix_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,14 @@ def test_agrees_with_brute_force(spark, hot):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_hot_anchors_agree_with_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(M, "_HOT_ANCHORS", 20)
+    texts = [*corpus(), *(f"{i} " + "one very common passage of many words that stands in every text and has no end " * 4 + f"{i}" for i in range(80))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in df.select("doc_id", *M._halves("text")).join(M.kept(df), ["t1", "t2"]).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
 def test_automaton_counts_occurrences():
     rng = random.Random(2)
     rows = [[rng.randrange(3) for _ in range(rng.randrange(4, 40))] for _ in range(12)]
@@ -58,5 +66,6 @@ def test_edges(docs, rows, none):
     got = M.remove_repeats(docs)
     assert got.count() == len(rows) and got.columns.count("n_words") == 1
     assert M.remove_repeats(none).count() == 0
+    assert got.where("t1 <> 'x' or size <> 'x'").count() == 0
     want = Counter((a, b, hashlib.sha256(c.encode()).hexdigest()) for a, b, c in brute([t for _, t, *_ in rows]))
     assert Counter((r.n_words, r.n_removed, r.h) for r in got.select("n_words", "n_removed", F.sha2("text", 256).alias("h")).collect()) == want
