@@ -36,6 +36,16 @@ def days_until(deadline: Column, as_of: Column) -> Column:
     return F.ceil((micros(deadline) - micros(as_of)) / F.lit(86_400_000_000))
 
 
+def in_minutes(as_of: Column, minutes: int) -> Column:
+    """The time so many minutes after as_of."""
+    return as_of.cast("timestamp") + F.make_dt_interval(mins=F.lit(minutes))
+
+
+def key_count(entries: Column) -> Column:
+    """How many keys a map has; 0 for none and null."""
+    return F.when(entries.isNull(), 0).otherwise(F.size(F.map_keys(entries)))
+
+
 def deadline_flags(deadline: Column, as_of: Column) -> dict[str, Column]:
     days = days_until(deadline, as_of)
     flag = lambda c: F.coalesce(c, F.lit(False))

@@ -9,9 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hybridspark.functions.numbers import cosine
 from hybridspark.functions.text import is_blank, sentences, split_words, tokens
+from hybridspark.sources.store import stored
 
 MIN_SIZE, MAX_SIZE, THRESHOLD, OVERLAP = 200, 1500, 0.5, 1
 _STRINGS = "array<string>"
@@ -93,15 +95,37 @@ def semantic_chunks(parts: Column, cuts: Column, min_size: int = MIN_SIZE, max_s
     return F.flatten(F.transform(built, lambda c: F.when(F.length(c) > max_size, split_oversize(c, max_size)).otherwise(F.array(c))))
 
 
-def chunk(docs: DataFrame, mode: str = "semantic", text: str = "text", min_size: int = MIN_SIZE, max_size: int = MAX_SIZE, threshold: float = THRESHOLD, overlap: int = OVERLAP, similar: Callable[[Column, Column], Column] = term_cosine) -> DataFrame:
+def vector_boundaries(docs: DataFrame, embed: Callable[[Column], Column], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs with __parts (sentences) and __cuts, where a sentence's vector is less like the one before than threshold.
+
+    embed maps sentences to vectors and may be a pandas UDF of a model: sentences are rows here, each is embedded once and
+    compared with the one before it. Rows of docs are numbered for that, so docs may have any columns."""
+    rows = docs.where(~is_blank(F.col(text))).withColumn("__row", F.monotonically_increasing_id()).withColumn("__parts", sentences(F.col(text)))
+    # written, as the numbers must be the same wherever they are used
+    rows = stored(rows)
+    each = rows.select("__row", F.posexplode("__parts").alias("__at", "__sentence")).withColumn("__vector", embed(F.col("__sentence"))).drop("__sentence")
+    before = F.lag("__vector").over(Window.partitionBy("__row").orderBy("__at"))
+    apart = each.withColumn("__before", before).where(F.col("__before").isNotNull() & (cosine(F.col("__before"), F.col("__vector")) < threshold))
+    cuts = apart.groupBy("__row").agg(F.sort_array(F.collect_list("__at")).alias("__cuts"))
+    return rows.join(cuts, "__row", "left").drop("__row").withColumn("__cuts", F.coalesce("__cuts", F.array().cast("array<int>")))
+
+
+def chunk(docs: DataFrame, mode: str = "semantic", text: str = "text", min_size: int = MIN_SIZE, max_size: int = MAX_SIZE, threshold: float = THRESHOLD, overlap: int = OVERLAP, similar: Callable[[Column, Column], Column] = term_cosine, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """docs with one row a chunk: chunk_index from 0, and the chunk in place of the text.
 
+    Semantic chunks end where two sentences are unlike: by similar, a function of built-in functions alone, or by the
+    cosine of the vectors that embed gives, which may be a pandas UDF.
+
     A blank text has no chunk. A text of one sentence is one chunk, however long."""
     if mode not in ("semantic", "fixed"):
         raise ValueError("mode must be semantic or fixed")
-    rows = docs.where(~is_blank(F.col(text))).withColumn("__parts", sentences(F.col(text)))
+    if mode == "semantic" and embed is not None:
+        rows = vector_boundaries(docs, embed, text, threshold)
+    else:
+        rows = docs.where(~is_blank(F.col(text))).withColumn("__parts", sentences(F.col(text)))
     if mode == "semantic":
-        rows = rows.withColumn("__cuts", boundaries(F.col("__parts"), similar, threshold))
+        if embed is None:
+            rows = rows.withColumn("__cuts", boundaries(F.col("__parts"), similar, threshold))
         many = semantic_chunks(F.col("__parts"), F.col("__cuts"), min_size, max_size)
     else:
         many = fixed_chunks(F.col("__parts"), max_size, overlap)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hybridspark.functions.numbers import cosine
-from hybridspark.functions.text import tokens
+from hybridspark.functions.numbers import dot, norm
+from hybridspark.functions.text import query_prefix, tokens
 from hybridspark.operators.sparse import metadata_test, query_blocks, top_per_query
 
 
@@ -28,20 +28,28 @@ def dense_search(points: DataFrame, queries: DataFrame, top_k: int = 20, filters
     """(query_id, rank, score, *columns of points) of the nearest points of each query (query_id, vector), by cosine.
 
     Filters come before the search. The query set is counted; larger ones are dealt to blocks and each is broadcast. Each task keeps its best before the shuffle."""
-    points = points.where(metadata_test(filters or {}))
+    rows = points.where(metadata_test(filters or {}))
+    # the search itself sees keys and vectors alone, with their lengths worked out once
+    near = rows.select(key, F.col(vector).alias("__point"), norm(F.col(vector)).alias("__size"))
     found = None
-    for part in query_blocks(queries.select("query_id", F.col("vector").alias("__query"))):
-        score = cosine(F.col(vector), F.col("__query"))
-        scored = points.crossJoin(F.broadcast(part)).withColumn("score", F.round(score, digits) if digits is not None else score).drop("__query")
+    for part in query_blocks(queries.select("query_id", F.col("vector").alias("__query"), norm(F.col("vector")).alias("__other"))):
+        size = F.col("__size") * F.col("__other")
+        score = F.when(size > 0, dot(F.col("__point"), F.col("__query")) / size).otherwise(0.0)
+        scored = near.crossJoin(F.broadcast(part)).select("query_id", key, (F.round(score, digits) if digits is not None else score).alias("score"))
         best = top_per_query(scored, top_k, F.desc("score"), F.col(key))
         found = best if found is None else found.unionByName(best)
-    return found
+    return found.join(rows.drop("query_id", "rank", "score"), key)
 
 
 def remove_document(points: DataFrame, document_id: object, column: str = "document_id") -> DataFrame:
     return points.where(~F.col(column).eqNullSafe(F.lit(document_id)))
 
 
+def query_embedding(query: Column, embed: Callable[[Column], Column] | None = None, model: str = "", family: str = "bge", prefix: str = "") -> Column:
+    """The vector of a query: models of an asymmetric family get the prefix before it, passages never do."""
+    return (embed or hashed_embedding)(query_prefix(query, F.lit(model), family, prefix))
+
+
 def hashed_embedding(text: Column, dim: int = 256) -> Column:
     """A deterministic stand-in for an embedding model: token counts by hashed place, of length 1.
 

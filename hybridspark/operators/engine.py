@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hybridspark.functions.text import fill
+from hybridspark.functions.text import assessment, fill, requirements, rich_text
 from hybridspark.operators import fusion
-from hybridspark.operators.dense import dense_search
+from hybridspark.operators.dense import dense_search, index_points
 from hybridspark.operators.graph import Graph, graph_search
-from hybridspark.operators.sparse import Bm25Index, bm25_search
+from hybridspark.operators.sparse import Bm25Index, bm25_search, build_bm25
+from hybridspark.sources.store import Collections, stored
 
 #: Results of the dense, sparse and graph retrievers, and of the whole.
 TOP = {"dense": 20, "sparse": 20, "graph": 10, "final": 5}
@@ -64,8 +66,18 @@ class Corpus:
 class HybridEngine:
     """Dense, sparse and graph retrieval, fused, re-ranked and put together; lazy, for a batch of queries."""
 
-    def __init__(self, corpus: Corpus, scorer: Callable[[Column, Column], Column] = fusion.lexical_score, weights: Mapping[str, float] | None = None, k: int = fusion.K, digits: int | None = None) -> None:
-        self.corpus, self.scorer, self.weights, self.k, self.digits = corpus, scorer, dict(weights or {}), k, digits
+    def __init__(self, corpus: Corpus, scorer: Callable[[Column, Column], Column] = fusion.lexical_score, weights: Mapping[str, float] | None = None, k: int = fusion.K, digits: int | None = None, isolate: bool = False) -> None:
+        """isolate: each retriever and the scorer run on their own, and one that fails is logged and left out."""
+        self.corpus, self.scorer, self.weights, self.k, self.digits, self.isolate = corpus, scorer, dict(weights or {}), k, digits, isolate
+
+    def _part(self, name: str, make: Callable[[], DataFrame]) -> DataFrame | None:
+        if not self.isolate:
+            return make()
+        try:
+            return stored(make())
+        except Exception as e:  # whatever a model or a broken index raises, when planned or when run
+            logging.getLogger(__name__).warning("%s left out: %s", name, str(e).splitlines()[0] if str(e) else type(e).__name__)
+            return None
 
     def _metadata(self) -> Column:
         names = self.corpus.metadata
@@ -81,17 +93,17 @@ class HybridEngine:
         c, lists = self.corpus, []
         limit = lambda kind: top_k or TOP[kind]
         if c.points is not None:
-            found = dense_search(c.points, queries.select("query_id", "vector"), limit("dense"), filters, c.key, digits=self.digits)
-            lists.append(fusion.ranked_list(found, "dense", self._metadata()))
+            lists.append(self._part("dense", lambda: fusion.ranked_list(dense_search(c.points, queries.select("query_id", "vector"), limit("dense"), filters, c.key, digits=self.digits), "dense", self._metadata())))
         if c.index is not None:
-            found = bm25_search(c.index, c.chunks, queries, limit("sparse"), filters, c.key, digits=self.digits)
-            lists.append(fusion.ranked_list(found, "sparse", self._metadata()))
+            lists.append(self._part("sparse", lambda: fusion.ranked_list(bm25_search(c.index, c.chunks, queries, limit("sparse"), filters, c.key, digits=self.digits), "sparse", self._metadata())))
         if c.graph is not None:
-            found = graph_search(c.graph, queries, limit("graph"))
             of = F.create_map(F.lit("source"), F.lit("knowledge_graph"), F.lit("entity_id"), F.coalesce(F.col("entity_id").cast("string"), F.lit("")))
-            lists.append(fusion.ranked_list(found, "graph", of))
+            lists.append(self._part("graph", lambda: fusion.ranked_list(graph_search(c.graph, queries, limit("graph")), "graph", of)))
         if not lists:
             raise ValueError("the corpus has nothing to search")
+        lists = [x for x in lists if x is not None]
+        if not lists:
+            return queries.sparkSession.createDataFrame([], "query_id long, retriever string, rank int, text string, metadata map<string,string>")
         out = lists[0]
         for x in lists[1:]:
             out = out.unionByName(x)
@@ -101,7 +113,10 @@ class HybridEngine:
         """(query_id, rank, text, score, metadata, sources, ...): at most 20 results a query, whatever top_k says."""
         fused = fusion.rrf(self.retrieve(queries, top_k, filters), self.weights, self.k, digits=self.digits)
         if rerank:
-            return fusion.rerank(fused, queries, self.scorer, top_k or TOP["final"])
+            found = self._part("scorer", lambda: fusion.rerank(fused, queries, self.scorer, top_k or TOP["final"]))
+            if found is not None:
+                return found
+            fused = fused.withColumn("original_score", F.col("score"))
         return fused.where(F.col("rank") <= (top_k or TOP["final"]))
 
     def answer(self, queries: DataFrame, model: Callable[[Column], Column], top_k: int | None = None, filters: Mapping[str, object] | None = None) -> DataFrame:
@@ -110,6 +125,36 @@ class HybridEngine:
         return render_prompts(queries, contexts).withColumn("answer", model(F.col("prompt")))
 
 
+def compliance(queries: DataFrame, contexts: DataFrame, model: Callable[[Column], Column]) -> DataFrame:
+    """(query_id, status, explanation, gaps, suggestions) of queries with a requirement and a section: prompt, model, parsed answer."""
+    asked = render_prompts(queries.withColumn("mode", F.lit("compliance")), contexts)
+    return asked.withColumn("a", assessment(model(F.col("prompt")))).select("query_id", "a.*")
+
+
+def requirement_rows(queries: DataFrame, model: Callable[[Column], Column]) -> DataFrame:
+    """(query_id, text, category, priority): the requirements that a model finds in each query's document_text."""
+    none = queries.select("query_id", F.lit("").alias("context"))
+    asked = render_prompts(queries.withColumn("mode", F.lit("analyze_reqs")), none)
+    return asked.select("query_id", F.explode(requirements(model(F.col("prompt")))).alias("r")).select("query_id", "r.*")
+
+
+def section_text(queries: DataFrame, contexts: DataFrame, model: Callable[[Column], Column]) -> DataFrame:
+    """(query_id, text, content): each section that a model writes, plain and as rich text."""
+    asked = render_prompts(queries.withColumn("mode", F.lit("write_section")), contexts).withColumn("text", model(F.col("prompt")))
+    return asked.select("query_id", "text", rich_text(F.col("text")).alias("content"))
+
+
+def index_chunks(collections: Collections, name: str, chunks: DataFrame, vector: Column, document: str = "document_id", chunk_index: str = "chunk_index") -> tuple[DataFrame, Bm25Index]:
+    """Writes chunks to a collection with their vectors and returns its points, and the keyword index built of all of them.
+
+    The vectors are worked out once; points of chunks that were there before are not written again."""
+    points = stored(index_points(chunks, vector, document, chunk_index))
+    collections.ensure(name, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema))
+    collections.append(name, points.join(collections.read(name).select("point_id"), "point_id", "left_anti").select(points.columns))
+    whole = collections.read(name)
+    return whole, build_bm25(whole, "point_id")
+
+
 def echo(prompt: Column) -> Column:
     """The offline model: names the prompt by its digest."""
     return F.concat(F.lit("prompt "), F.substring(F.sha2(prompt, 256), 1, 16))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hybridspark.functions.text import contains_folded
+from hybridspark.functions.text import contains_folded, json_span
 from hybridspark.operators.relational import upsert_latest
 from hybridspark.operators.sparse import query_blocks, top_per_query
 
@@ -47,6 +47,35 @@ def project_edges(projects: DataFrame) -> DataFrame:
     return one(F.col("client"), "FOR_CLIENT").unionByName(one(F.col("category"), "HAS_CATEGORY")).unionByName(members).unionByName(certs).where("dst is not null and src is not null")
 
 
+def member_edges(members: DataFrame) -> DataFrame:
+    """HOLDS edges from members (id, name, certifications) to their certifications. A member without an id goes by name."""
+    held = members.select(F.coalesce("id", "name").alias("src"), F.explode("certifications").alias("dst"), F.lit("HOLDS").alias("type"), F.lit(None).cast("string").alias("role"))
+    return held.where("src is not null and dst is not null").distinct()
+
+
+def requirements_of(requirements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, text, category, priority) and HAS_REQUIREMENT edges from tenders, of requirements with a tender_id."""
+    nodes = requirements.select("id", "text", "category", "priority").where("id is not null")
+    edges = requirements.select(F.col("tender_id").cast("string").alias("src"), F.col("id").alias("dst"), F.lit("HAS_REQUIREMENT").alias("type"), F.lit(None).cast("string").alias("role"))
+    return nodes, edges.where("src is not null and dst is not null").distinct()
+
+
+#: What a model answers when asked for a document's projects and people.
+EXTRACTED = """projects array<struct<id:string,name:string,description:string,category:string,year:string,client:string,
+certifications:array<string>,team_members:array<struct<id:string,name:string,title:string,role:string>>>>,
+team_members array<struct<id:string,name:string,title:string,years_experience:int,skills:array<string>,certifications:array<string>>>"""
+
+
+def extracted(answers: DataFrame, answer: str = "answer") -> Graph:
+    """The graph that model answers describe: the first JSON object in each; answers without one add nothing.
+
+    Projects and members without an id go by name; those without either are left out."""
+    said = answers.select(F.from_json(json_span(F.col(answer)), EXTRACTED).alias("j"))
+    rows = lambda name: said.select(F.explode(f"j.{name}").alias("x")).select("x.*").withColumn("id", F.coalesce("id", "name")).where("id is not null")
+    projects, members = rows("projects"), rows("team_members")
+    return Graph(projects.select("id", "name", "description", "category", "year").distinct(), members.select("id", "name", "title", "years_experience", "skills").distinct(), upsert_edges(project_edges(projects), member_edges(members)))
+
+
 def _text(c: str | Column, other: str = "N/A") -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(other))
 

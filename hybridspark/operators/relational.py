@@ -133,6 +133,22 @@ def kpis(df: DataFrame, status: str, deadline: str, as_of: Column, active: list[
     return counts.withColumn("win_rate", percent(F.col("won"), F.col("decided")))
 
 
+def expired(df: DataFrame, expires: str, as_of: Column) -> DataFrame:
+    """Rows whose expiry lies before as_of; rows without one never expire."""
+    return df.where(F.col(expires) < as_of)
+
+
+def lookup(asked: DataFrame, owners: DataFrame, owned: DataFrame, name: str, owner_key: str, owned_key: str) -> DataFrame:
+    """The rows of owned that belong to the owners of the asked names: names to owners, owners to their rows."""
+    keys = asked.select(name).distinct().join(owners.select(name, owner_key), name)
+    return keys.join(owned, F.col(owner_key) == F.col(owned_key))
+
+
+def status_counts(df: DataFrame, by: str, status: str) -> DataFrame:
+    """(by, status, n): for each parent how many rows have each status; a status without rows is left out."""
+    return df.groupBy(by, status).agg(F.count("*").alias("n"))
+
+
 def progress(df: DataFrame, by: str, status: str, done: list[str]) -> DataFrame:
     """For each parent its rows, and the share of those that are done."""
     return df.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col(status).isin(done)).alias("done")).withColumn("share", F.col("done") / F.greatest("n", F.lit(1)))

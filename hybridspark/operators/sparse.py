@@ -6,11 +6,12 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hybridspark.functions.text import tokens
+from hybridspark.sources.store import shared_folder, stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -24,21 +25,31 @@ class Bm25Index:
     stats: DataFrame
 
 
-def build_bm25(chunks: DataFrame, key: str = "doc_id", text: str = "text", epsilon: float = EPSILON) -> Bm25Index:
+def build_bm25(chunks: DataFrame, key: str = "doc_id", text: str = "text", epsilon: float = EPSILON, folder: str | None = None) -> Bm25Index:
     """The index of chunks. Chunks without tokens count towards n and the mean length.
 
-    A token in over half the chunks would have a negative weight; it gets epsilon times the mean of all raw weights."""
-    # the texts are tokenised for the postings alone; all statistics come from those
+    A token in over half the chunks would have a negative weight; it gets epsilon times the mean of all raw weights. The
+    texts are read once: postings and vocabulary are written to folder (a new one, if none is given), see read_bm25()."""
+    folder = folder or shared_folder(chunks.sparkSession)
     listed = chunks.select(F.col(key).alias("doc"), tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
     postings = listed.select("doc", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("token")).groupBy("doc", "token", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    size = df.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("size"))
-    stats = chunks.agg(F.count("*").alias("n")).join(F.broadcast(size)).select("n", F.when(F.col("n") > 0, F.col("size") / F.col("n")).alias("avgdl"))
-    df = df.join(F.broadcast(chunks.agg(F.count("*").alias("n"))))
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    postings = stored(postings, f"{folder}/postings")
+    counts = postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    n = chunks.select(F.count("*").alias("n"))
+    raw = counts.join(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = stored(raw.select("token", "df", "total", "raw"), f"{folder}/raw")
     floor = raw.agg((F.avg("raw") * epsilon).alias("floor"))
     vocabulary = raw.join(F.broadcast(floor)).select("token", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, vocabulary, stats)
+    size = raw.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("size"))
+    stats = n.join(F.broadcast(size)).select("n", F.when(F.col("n") > 0, F.col("size") / F.col("n")).alias("avgdl"))
+    stored(stats.coalesce(1), f"{folder}/stats")
+    stored(vocabulary, f"{folder}/vocabulary")
+    return read_bm25(chunks.sparkSession, folder)
+
+
+def read_bm25(spark: SparkSession, folder: str) -> Bm25Index:
+    """An index that build_bm25() has written."""
+    return Bm25Index(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "vocabulary", "stats")))
 
 
 def metadata_test(filters: Mapping[str, object]) -> Column:
@@ -76,8 +87,17 @@ def bm25_search(index: Bm25Index, chunks: DataFrame, queries: DataFrame, top_k:
     scored = hits.groupBy("query_id", "doc").agg(F.sum(F.col("qtf") * weight).alias("score")).where("score > 0")
     if digits is not None:
         scored = scored.withColumn("score", F.round("score", digits))
-    rows = scored.join(chunks.drop("score", "query_id"), F.col("doc") == F.col(key)).drop("doc").where(metadata_test(filters or {}))
-    return top_per_query(rows, top_k, F.desc("score"), F.col(key))
+    return fetched(scored.withColumnRenamed("doc", key), chunks, key, filters, top_k)
+
+
+def fetched(scored: DataFrame, rows: DataFrame, key: str, filters: Mapping[str, object] | None, top_k: int) -> DataFrame:
+    """(query_id, rank, score, *columns of rows) of scored (query_id, key, score): the best of each query.
+
+    Only keys and the columns of the filters meet the scores; texts and all else are fetched for what is left."""
+    rows = rows.drop("score", "query_id", "rank")
+    allowed = rows.where(metadata_test(filters or {})).select(key)
+    best = top_per_query(scored.join(allowed, key), top_k, F.desc("score"), F.col(key))
+    return best.select("query_id", "rank", "score", key).join(rows.where(metadata_test(filters or {})), key) if set(rows.columns) - {key} else best
 
 
 def append(chunks: DataFrame, more: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from hybridspark.operators import fusion, graph
 from hybridspark.operators.dense import dense_search
 from hybridspark.operators.engine import Corpus, HybridEngine, health, render_prompts
 from hybridspark.operators.sparse import append, bm25_search, build_bm25, remove_document
-from hybridspark.plans.registry import query, table
+from hybridspark.plans.registry import ORACLES, query, table
 
 ASKED = {1: "the license of the software and its terms", 2: "contact the support team by email or phone", 3: "der und die von erber der"}
 
@@ -111,36 +111,37 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return points, points.where("doc_id < 3").select((F.col("doc_id") + 1).cast("int").alias("query_id"), "vector")
 
 
-@query(f"WITH {_dense()} SELECT query_id::INT AS query_id, rank::INT AS rank, doc_id, score FROM dense")
-def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    points, queries = _vectors(spark, d)
-    return dense_search(points, queries, key="doc_id", digits=6).select("query_id", "rank", "doc_id", "score")
-
-
-@query(f"WITH {_dense('p.label IN (1, 3)')} SELECT query_id::INT AS query_id, rank::INT AS rank, doc_id, score FROM dense")
-def dense_filtered(spark: SparkSession, d: str) -> DataFrame:
-    points, queries = _vectors(spark, d)
-    return dense_search(points, queries, filters={"label": [1, 3]}, key="doc_id", digits=6).select("query_id", "rank", "doc_id", "score")
-
-
 def _many(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """All points, and those whose id is divisible by 20 as queries."""
     points, _ = _vectors(spark, d)
     return points, points.where("doc_id % 20 = 0").select((F.col("doc_id") + 1).alias("query_id"), "vector")
 
 
-@query(f"WITH {_dense(queries='vec_id % 20 = 0')} SELECT query_id, rank::INT AS rank, doc_id, score FROM dense")
-def dense_topk_many(spark: SparkSession, d: str) -> DataFrame:
+_MANY = "vec_id % 20 = 0"
+
+
+@query(f"WITH {_dense(queries=_MANY)} SELECT query_id, rank::INT AS rank, doc_id, score FROM dense")
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     points, queries = _many(spark, d)
     return dense_search(points, queries, key="doc_id", digits=6).select("query_id", "rank", "doc_id", "score")
 
 
-@query(f"WITH {_dense('p.label IN (1, 3)', 'vec_id % 20 = 0')} SELECT query_id, rank::INT AS rank, doc_id, score FROM dense")
-def dense_filtered_many(spark: SparkSession, d: str) -> DataFrame:
+@query(f"WITH {_dense('p.label IN (1, 3)', _MANY)} SELECT query_id, rank::INT AS rank, doc_id, score FROM dense")
+def dense_filtered(spark: SparkSession, d: str) -> DataFrame:
     points, queries = _many(spark, d)
     return dense_search(points, queries, filters={"label": [1, 3]}, key="doc_id", digits=6).select("query_id", "rank", "doc_id", "score")
 
 
+@query(ORACLES["dense_topk"])
+def dense_topk_many(spark: SparkSession, d: str) -> DataFrame:
+    return dense_topk(spark, d)
+
+
+@query(ORACLES["dense_filtered"])
+def dense_filtered_many(spark: SparkSession, d: str) -> DataFrame:
+    return dense_filtered(spark, d)
+
+
 def _corpus(spark: SparkSession, d: str) -> tuple[Corpus, DataFrame]:
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
     points, queries = _vectors(spark, d)
