@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,11 @@ STOP_WORDS = (
 TOKEN = r"(?U)\b[a-z0-9][\w-]*\b"
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once for a row, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends, Unicode's included."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

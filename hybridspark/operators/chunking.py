@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hybridspark.functions.numbers import cosine
-from hybridspark.functions.text import is_blank, sentences, split_words, tokens
+from hybridspark.functions.text import is_blank, once, sentences, split_words, tokens
 from hybridspark.sources.store import stored
 
 MIN_SIZE, MAX_SIZE, THRESHOLD, OVERLAP = 200, 1500, 0.5, 1
@@ -41,11 +41,6 @@ def boundaries(parts: Column, similar: Callable[[Column, Column], Column] = term
     return F.filter(places, lambda i: similar(F.get(parts, i - 1), F.get(parts, i)) < threshold)
 
 
-def _once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value worked out once for a row, however often body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def split_oversize(text: Column, max_size: int = MAX_SIZE) -> Column:
     """Runs of words whose lengths and spaces stay within max_size; a longer word stands alone.
 
@@ -58,9 +53,9 @@ def split_oversize(text: Column, max_size: int = MAX_SIZE) -> Column:
 
     def runs(words: Column) -> Column:
         starts = F.aggregate(F.transform(words, lambda w: F.length(w)), start, step, lambda acc: acc["starts"])
-        return _once(starts, lambda s: F.transform(s, lambda a, i: _joined(F.slice(words, a + 1, F.coalesce(F.get(s, i + 1), F.size(words)) - a))))
+        return once(starts, lambda s: F.transform(s, lambda a, i: _joined(F.slice(words, a + 1, F.coalesce(F.get(s, i + 1), F.size(words)) - a))))
 
-    return _once(split_words(text), runs)
+    return once(split_words(text), runs)
 
 
 def fixed_chunks(parts: Column, max_size: int = MAX_SIZE, overlap: int = OVERLAP) -> Column:

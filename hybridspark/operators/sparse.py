@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hybridspark.functions.text import tokens
-from hybridspark.sources.store import shared_folder, stored
+from hybridspark.functions.text import once, tokens
+from hybridspark.sources.store import shared_folder, spread, stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -25,15 +25,26 @@ class Bm25Index:
     stats: DataFrame
 
 
+def _counted(sorted_tokens: Column) -> Column:
+    """(token, tf) of each distinct token, from where its run begins and the next one's does: no shuffle is needed."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        size = lambda f, k: F.coalesce(F.get(f, k + 1), F.size(s)) - F.get(f, k)
+        return once(first, lambda f: F.transform(f, lambda i, k: F.struct(F.get(s, i).alias("token"), size(f, k).cast("long").alias("tf"))))
+
+    return once(sorted_tokens, runs)
+
+
 def build_bm25(chunks: DataFrame, key: str = "doc_id", text: str = "text", epsilon: float = EPSILON, folder: str | None = None) -> Bm25Index:
     """The index of chunks. Chunks without tokens count towards n and the mean length.
 
     A token in over half the chunks would have a negative weight; it gets epsilon times the mean of all raw weights. The
     texts are read once: postings and vocabulary are written to folder (a new one, if none is given), see read_bm25()."""
     folder = folder or shared_folder(chunks.sparkSession)
-    listed = chunks.select(F.col(key).alias("doc"), tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
-    postings = listed.select("doc", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("token")).groupBy("doc", "token", "dl").agg(F.count("*").alias("tf"))
-    postings = stored(postings, f"{folder}/postings")
+    listed = spread(chunks.select(F.col(key).alias("doc"), F.col(text).alias("text"))).select("doc", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    postings = listed.select("doc", F.size("tokens").cast("long").alias("dl"), F.explode(_counted(F.sort_array("tokens"))).alias("t"))
+    postings = stored(postings.select("doc", "dl", "t.token", "t.tf"), f"{folder}/postings")
     counts = postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     n = chunks.select(F.count("*").alias("n"))
     raw = counts.join(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))

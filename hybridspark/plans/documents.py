@@ -9,6 +9,12 @@ from hybridspark.functions import text as X
 from hybridspark.operators import chunking as C
 from hybridspark.plans.registry import query, table
 from hybridspark.sources.files import full_text, sections, with_sections
+from hybridspark.sources.store import spread
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
 
 _STRIP = r"regexp_replace({}, '^[\s\x0B\x1C-\x1F\x85\p{{Z}}]+|[\s\x0B\x1C-\x1F\x85\p{{Z}}]+$', '', 'g')"
 _SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\s\x0B\x85\p{Z}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: " + _STRIP.format("x") + "), lambda x: x <> '')"
@@ -17,7 +23,7 @@ _SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.
 @query(f"SELECT doc_id, len({_SENTENCES})::BIGINT AS n, md5(array_to_string({_SENTENCES}, '|')) AS parts_md5 FROM documents")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     s = X.sentences(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "|")).alias("parts_md5"))
+    return _texts(spark, d).select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "|")).alias("parts_md5"))
 
 
 _FIXED = f"""WITH RECURSIVE s AS (SELECT doc_id, {_SENTENCES} AS ss FROM documents),
@@ -31,7 +37,7 @@ SELECT doc_id, (unnest(range(0, len(cs))))::INT AS chunk_index, md5(unnest(cs))
 
 @query(_FIXED)
 def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
-    chunks = C.chunk(table(spark, d, "documents").select("doc_id", "text"), "fixed")
+    chunks = C.chunk(_texts(spark, d), "fixed")
     return chunks.select("doc_id", "chunk_index", F.md5("text").alias("chunk_md5"))
 
 
@@ -39,20 +45,20 @@ def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def chunk_oversize(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(C.split_oversize(F.col("text"))).alias("chunk_index", "text"))
+    docs = _texts(spark, d).select("doc_id", F.posexplode(C.split_oversize(F.col("text"))).alias("chunk_index", "text"))
     return docs.select("doc_id", "chunk_index", F.md5("text").alias("chunk_md5"))
 
 
 @query()
 def semantic_boundaries(spark: SparkSession, d: str) -> DataFrame:
     parts = X.sentences(F.col("text"))
-    rows = table(spark, d, "documents").select("doc_id", parts.alias("parts"))
+    rows = _texts(spark, d).select("doc_id", parts.alias("parts"))
     return rows.select("doc_id", F.array_join(C.boundaries(F.col("parts")).cast("array<string>"), ",").alias("cuts"))
 
 
 @query()
 def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
-    chunks = C.chunk(table(spark, d, "documents").select("doc_id", "text"))
+    chunks = C.chunk(_texts(spark, d))
     return chunks.select("doc_id", "chunk_index", F.length("text").alias("size"), F.md5("text").alias("chunk_md5"))
 
 

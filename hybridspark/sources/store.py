@@ -32,6 +32,13 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a table of fewer partitions than there are cores (one small file, say) is dealt out, larger ones
+    stay as they are. For work on whole texts, which takes longer than to move them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Collections:
     """Collections of points: a table each, by name, in one folder."""
 
