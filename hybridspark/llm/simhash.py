@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -84,8 +83,8 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
 
 #: A key is made of so many groups of four bins of a MinHash sketch; keys of a text.
 GROUPS, KEYS = 3, 48
-#: Heads that a bucket draws at random, one after the other, before what is left is compared whole.
-DRAWS = 2
+#: Heads that a bucket draws at random before what is left is compared whole.
+DRAWS = 1
 #: Members of a bucket that meet all others in the first round after that; twice as many in each further one, up to MOST.
 HEADS, MOST = 32, 1000
 #: Pairs of one text that a task compares.
@@ -117,16 +116,15 @@ def decide(members: DataFrame, likely: Callable[[Column, Column], Column], alike
 
     A pair passes if likely(s, s) holds of it, which the join of a bucket's members tests, and if alike, which takes
     pairs (a, b), returns it. First each bucket draws a head at random, which meets the
-    others; this is repeated, and brings nearly all that are connected together with one pair a member. Then, as long as
+    others, which brings nearly all that are connected together with one pair a member. Then, as long as
     a bucket holds several components, members outside its largest one meet all members of other components, a bounded
     number at a time, and are done. So each pair of a bucket either was tried or lies within one component. A bucket is
     never gathered: its members stay rows, and what is picked from it is cut before the shuffle."""
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    found: list[DataFrame] = []
+    roots: DataFrame | None = None
     left, heads, nth = members.select("key", "id", "s"), HEADS, 0
     while True:
-        if found:
-            roots = cut(components(reduce(DataFrame.unionByName, found)))
+        if roots is not None:
             placed = left.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
             parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
             open_ = parts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", "top")
@@ -135,15 +133,20 @@ def decide(members: DataFrame, likely: Callable[[Column, Column], Column], alike
                 return roots
         if nth < DRAWS:
             some = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id", F.lit(nth)), "id", "s")).alias("h")).select("key", F.col("h.id").alias("head"), F.col("h.s").alias("hs"))
-            some = some.withColumn("own", F.lit(None).cast("long")) if not found else some.join(roots.withColumnRenamed("node", "head"), "head", "left").select("key", "head", "hs", F.coalesce("root", "head").alias("own"))
+            some = some.withColumn("own", F.lit(None).cast("long")) if roots is None else some.join(roots.withColumnRenamed("node", "head"), "head", "left").select("key", "head", "hs", F.coalesce("root", "head").alias("own"))
         else:
             order = F.row_number().over(Window.partitionBy("key").orderBy("root", "id"))
             some = left.where("root <> top").select("key", F.col("id").alias("head"), F.col("s").alias("hs"), F.col("root").alias("own"), order.alias("nth")).where(F.col("nth") <= heads).drop("nth")
             heads = min(MOST, 2 * heads)
         some, nth = cut(some), nth + 1
-        apart = F.col("head") != F.col("id") if not found else F.col("own") != F.col("root")
+        apart = F.col("head") != F.col("id") if roots is None else F.col("own") != F.col("root")
         pairs = some.alias("h").join(left.alias("m"), (F.col("h.key") == F.col("m.key")) & apart & likely(F.col("hs"), F.col("s"))).select(*pair("head", "id")).distinct()
-        found.append(cut(alike(pairs)))
+        passed = cut(alike(pairs))
+        if roots is None:
+            roots = cut(components(passed))
+        elif not passed.isEmpty():
+            # each node that has a root stands for its component by one edge
+            roots = cut(components(passed.unionByName(roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))))
         left = left.join(some.select("key", F.col("head").alias("id")), ["key", "id"], "left_anti").select("key", "id", "s")
 
 
