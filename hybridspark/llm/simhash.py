@@ -83,7 +83,7 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
 
 #: A key is made of so many groups of four bins of a MinHash sketch; keys of a text.
 GROUPS, KEYS = 3, 48
-#: Heads that a bucket draws at random before what is left is compared whole.
+#: Heads that a bucket draws, the most central first, before what is left is compared whole.
 DRAWS = 1
 #: Members of a bucket that meet all others in the first round after that; twice as many in each further one, up to MOST.
 HEADS, MOST = 32, 1000
@@ -112,17 +112,20 @@ def shared(rows: DataFrame) -> DataFrame:
 
 
 def decide(members: DataFrame, likely: Callable[[Column, Column], Column], alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root), as components(), of all pairs within a bucket of members (key, id, s) that pass.
+    """(node, root), as components(), of all pairs within a bucket of members (key, id, s and, where known, degree) that pass.
 
     A pair passes if likely(s, s) holds of it, which the join of a bucket's members tests, and if alike, which takes
-    pairs (a, b), returns it. First each bucket draws a head at random, which meets the
-    others, which brings nearly all that are connected together with one pair a member. Then, as long as
-    a bucket holds several components, members outside its largest one meet all members of other components, a bounded
-    number at a time, and are done. So each pair of a bucket either was tried or lies within one component. A bucket is
-    never gathered: its members stay rows, and what is picked from it is cut before the shuffle."""
+    pairs (a, b), returns it. First each bucket draws the member of the highest degree, the number of buckets that it
+    is in, at random among equals: edited copies leave most buckets of their original, so that it is in more of them
+    than they are. It meets the others, which brings nearly all that are connected together with one pair a member.
+    Then, as long as a bucket holds several components, members outside its largest one meet all members of other
+    components, a bounded number at a time, and are done. So each pair of a bucket either was tried or lies within one
+    component, whatever the degrees. A bucket is never gathered: its members stay rows, and what is picked from it is
+    cut before the shuffle."""
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     roots: DataFrame | None = None
-    left, heads, nth = members.select("key", "id", "s"), HEADS, 0
+    degree = F.col("degree") if "degree" in members.columns else F.lit(0).alias("degree")
+    left, heads, nth = members.select("key", "id", "s", degree), HEADS, 0
     while True:
         if roots is not None:
             placed = left.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -132,10 +135,10 @@ def decide(members: DataFrame, likely: Callable[[Column, Column], Column], alike
             if left.isEmpty():
                 return roots
         if nth < DRAWS:
-            some = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id", F.lit(nth)), "id", "s")).alias("h")).select("key", F.col("h.id").alias("head"), F.col("h.s").alias("hs"))
+            some = left.groupBy("key").agg(F.max(F.struct("degree", F.xxhash64("key", "id", F.lit(nth)), "id", "s")).alias("h")).select("key", F.col("h.id").alias("head"), F.col("h.s").alias("hs"))
             some = some.withColumn("own", F.lit(None).cast("long")) if roots is None else some.join(roots.withColumnRenamed("node", "head"), "head", "left").select("key", "head", "hs", F.coalesce("root", "head").alias("own"))
         else:
-            order = F.row_number().over(Window.partitionBy("key").orderBy("root", "id"))
+            order = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "root", "id"))
             some = left.where("root <> top").select("key", F.col("id").alias("head"), F.col("s").alias("hs"), F.col("root").alias("own"), order.alias("nth")).where(F.col("nth") <= heads).drop("nth")
             heads = min(MOST, 2 * heads)
         some, nth = cut(some), nth + 1
@@ -147,15 +150,30 @@ def decide(members: DataFrame, likely: Callable[[Column, Column], Column], alike
         elif not passed.isEmpty():
             # each node that has a root stands for its component by one edge
             roots = cut(components(passed.unionByName(roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))))
-        left = left.join(some.select("key", F.col("head").alias("id")), ["key", "id"], "left_anti").select("key", "id", "s")
+        left = left.join(some.select("key", F.col("head").alias("id")), ["key", "id"], "left_anti").select("key", "id", "s", "degree")
 
 
-def _bring(pairs: DataFrame, by: str, values: DataFrame, name: str) -> DataFrame:
-    """pairs with the value (id, s) of the text in column by. The pairs of a text that has many are dealt to several tasks."""
-    parts = pairs.groupBy(by).agg(F.ceil(F.count("*") / _SHARE).cast("int").alias("parts"))
-    dealt = pairs.join(parts, by).withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int")).drop("parts")
-    copies = values.withColumnRenamed("id", by).join(parts, by).select(by, F.col("s").alias(name), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return dealt.join(copies, [by, "part"]).drop("part")
+def _shares(pairs: DataFrame, by: str) -> DataFrame:
+    """(by, parts): over how many tasks the pairs of the text in column by are dealt."""
+    return pairs.groupBy(by).agg(F.ceil(F.count("*") / _SHARE).cast("int").alias("parts"))
+
+
+def _values(shares: DataFrame, by: str, values: DataFrame, name: str) -> DataFrame:
+    """(by, part_by, name): the value (id, s) of each text in shares, once for each task that takes some of its pairs."""
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"part_{by}")
+    return values.withColumnRenamed("id", by).join(shares, by).select(by, F.col("s").alias(name), part)
+
+
+def bring(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """pairs (a, b), which must be cut, with the values (id, s) of both texts as x and y.
+
+    Shares are counted and dealt while pairs are narrow, so that each value is joined to them once."""
+    shares = {by: _shares(pairs, by) for by in ("a", "b")}
+    for by, share in shares.items():
+        pairs = pairs.join(share, by).withColumn(f"part_{by}", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int")).drop("parts")
+    for (by, share), name in zip(shares.items(), "xy", strict=True):
+        pairs = pairs.join(_values(share, by, values, name), [by, f"part_{by}"])
+    return pairs.select("a", "b", "x", "y")
 
 
 def near_texts(docs: DataFrame, k: int = 5, similar: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -177,13 +195,15 @@ def near_texts(docs: DataFrame, k: int = 5, similar: float = 0.8, text: str = "t
     groups = components(links(texts)).select(F.col("node").alias("fingerprint"), F.col("root").alias("group"))
     balls = texts.select("id", "fingerprint").join(groups, "fingerprint", "left").select(F.coalesce("group", "fingerprint").alias("key"), "id")
     banded = texts.select(F.explode(bands(F.col("sketch"))).alias("key"), "id")
-    members = cut(shared(banded).unionByName(shared(balls)).join(texts.select("id", F.col("sketch").alias("s")), "id"))
-    wanted = texts.join(members.select("id").distinct(), "id", "left_semi").select("id", "md5")
+    met = cut(shared(banded).unionByName(shared(balls)))
+    degrees = met.groupBy("id").agg(F.count("*").alias("degree")).join(texts.select("id", F.col("sketch").alias("s")), "id")
+    members = cut(met.join(degrees, "id"))
+    wanted = texts.join(met.select("id").distinct(), "id", "left_semi").select("id", "md5")
     shingles = docs.select(md5, F.col(text).alias("text")).join(wanted, "md5").dropDuplicates(["md5"])
     shingles = cut(shingles.select("id", F.array_distinct(shingle_hashes(F.lower("text"), k)).alias("s")))
 
     def alike(pairs: DataFrame) -> DataFrame:
-        both = _bring(_bring(cut(pairs), "a", shingles, "x"), "b", shingles, "y")
+        both = bring(cut(pairs), shingles)
         common = F.size(F.array_intersect("x", "y"))
         return both.where(common >= similar * (F.size("x") + F.size("y") - common)).select("a", "b")
 
