@@ -106,9 +106,13 @@ def bands(bins: Column) -> Column:
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """The rows (key, id) whose key has several ids, by partial minima: neither single keys nor a hot one are gathered."""
-    many = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key")
-    return rows.join(many, "key")
+    """The distinct rows (key, id) whose key has several ids; of keys with the very same ids, which copies share, one stays.
+
+    Sets of ids are told apart by their count, ends and two hashes of 64 bits. All of it are partial aggregates: neither
+    single keys nor a hot one are gathered."""
+    hashes = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    sets = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n"), *hashes).where("a < z")
+    return rows.join(sets.groupBy("a", "z", "n", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "key")
 
 
 def decide(members: DataFrame, likely: Callable[[Column, Column], Column], alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -195,7 +199,7 @@ def near_texts(docs: DataFrame, k: int = 5, similar: float = 0.8, text: str = "t
     groups = components(links(texts)).select(F.col("node").alias("fingerprint"), F.col("root").alias("group"))
     balls = texts.select("id", "fingerprint").join(groups, "fingerprint", "left").select(F.coalesce("group", "fingerprint").alias("key"), "id")
     banded = texts.select(F.explode(bands(F.col("sketch"))).alias("key"), "id")
-    met = cut(shared(banded).unionByName(shared(balls)))
+    met = cut(shared(banded.unionByName(balls)))
     degrees = met.groupBy("id").agg(F.count("*").alias("degree")).join(texts.select("id", F.col("sketch").alias("s")), "id")
     members = cut(met.join(degrees, "id"))
     wanted = texts.join(met.select("id").distinct(), "id", "left_semi").select("id", "md5")
