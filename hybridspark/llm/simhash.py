@@ -116,20 +116,22 @@ def shared(rows: DataFrame) -> DataFrame:
 
 
 def decide(members: DataFrame, likely: Callable[[Column, Column], Column], alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root), as components(), of all pairs within a bucket of members (key, id, s and, where known, degree) that pass.
+    """(node, root), as components(), of all pairs within a bucket of members (key, id, s and, where known, degree, keys) that pass.
 
     A pair passes if likely(s, s) holds of it, which the join of a bucket's members tests, and if alike, which takes
     pairs (a, b), returns it. First each bucket draws the member of the highest degree, the number of buckets that it
     is in, at random among equals: edited copies leave most buckets of their original, so that it is in more of them
     than they are. It meets the others, which brings nearly all that are connected together with one pair a member.
     Then, as long as a bucket holds several components, members outside its largest one meet all members of other
-    components, a bounded number at a time, and are done. So each pair of a bucket either was tried or lies within one
-    component, whatever the degrees. A bucket is never gathered: its members stay rows, and what is picked from it is
-    cut before the shuffle."""
+    components, a bounded number at a time, and are done. Where keys, all buckets of a member, are known, a pair that
+    has several in common meets in the least of them alone. So each pair of a bucket either was tried or lies within
+    one component, whatever the degrees. A bucket is never gathered: its members stay rows, and what is picked from it
+    is cut before the shuffle."""
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     roots: DataFrame | None = None
     degree = F.col("degree") if "degree" in members.columns else F.lit(0).alias("degree")
-    left, heads, nth = members.select("key", "id", "s", degree), HEADS, 0
+    of = ["id", "s", *(c for c in ("keys",) if c in members.columns)]
+    left, heads, nth = members.select("key", *of, degree), HEADS, 0
     while True:
         if roots is not None:
             placed = left.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -138,23 +140,26 @@ def decide(members: DataFrame, likely: Callable[[Column, Column], Column], alike
             left = cut(placed.join(open_, "key"))
             if left.isEmpty():
                 return roots
+        once = F.lit(True)
         if nth < DRAWS:
             some = left.groupBy("key").agg(F.max(F.struct("degree", F.xxhash64("key", "id", F.lit(nth)), "id", "s")).alias("h")).select("key", F.col("h.id").alias("head"), F.col("h.s").alias("hs"))
             some = some.withColumn("own", F.lit(None).cast("long")) if roots is None else some.join(roots.withColumnRenamed("node", "head"), "head", "left").select("key", "head", "hs", F.coalesce("root", "head").alias("own"))
         else:
             order = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "root", "id"))
-            some = left.where("root <> top").select("key", F.col("id").alias("head"), F.col("s").alias("hs"), F.col("root").alias("own"), order.alias("nth")).where(F.col("nth") <= heads).drop("nth")
+            some = left.where("root <> top").select("key", *(F.col(c).alias(f"h_{c}") for c in of), F.col("root").alias("own"), order.alias("nth")).where(F.col("nth") <= heads).drop("nth")
+            some = some.withColumnsRenamed({"h_id": "head", "h_s": "hs"})
+            once = F.array_min(F.array_intersect("h_keys", "keys")) == F.col("m.key") if "keys" in of else once
             heads = min(MOST, 2 * heads)
         some, nth = cut(some), nth + 1
         apart = F.col("head") != F.col("id") if roots is None else F.col("own") != F.col("root")
-        pairs = some.alias("h").join(left.alias("m"), (F.col("h.key") == F.col("m.key")) & apart & likely(F.col("hs"), F.col("s"))).select(*pair("head", "id")).distinct()
+        pairs = some.alias("h").join(left.alias("m"), (F.col("h.key") == F.col("m.key")) & apart & likely(F.col("hs"), F.col("s")) & once).select(*pair("head", "id")).distinct()
         passed = cut(alike(pairs))
         if roots is None:
             roots = cut(components(passed))
         elif not passed.isEmpty():
             # each node that has a root stands for its component by one edge
             roots = cut(components(passed.unionByName(roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))))
-        left = left.join(some.select("key", F.col("head").alias("id")), ["key", "id"], "left_anti").select("key", "id", "s", "degree")
+        left = left.join(some.select("key", F.col("head").alias("id")), ["key", "id"], "left_anti").select("key", *of, "degree")
 
 
 def _shares(pairs: DataFrame, by: str) -> DataFrame:
@@ -200,7 +205,7 @@ def near_texts(docs: DataFrame, k: int = 5, similar: float = 0.8, text: str = "t
     balls = texts.select("id", "fingerprint").join(groups, "fingerprint", "left").select(F.coalesce("group", "fingerprint").alias("key"), "id")
     banded = texts.select(F.explode(bands(F.col("sketch"))).alias("key"), "id")
     met = cut(shared(banded.unionByName(balls)))
-    degrees = met.groupBy("id").agg(F.count("*").alias("degree")).join(texts.select("id", F.col("sketch").alias("s")), "id")
+    degrees = met.groupBy("id").agg(F.count("*").alias("degree"), F.collect_list("key").alias("keys")).join(texts.select("id", F.col("sketch").alias("s")), "id")
     members = cut(met.join(degrees, "id"))
     wanted = texts.join(met.select("id").distinct(), "id", "left_semi").select("id", "md5")
     shingles = docs.select(md5, F.col(text).alias("text")).join(wanted, "md5").dropDuplicates(["md5"])

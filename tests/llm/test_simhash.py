@@ -146,3 +146,26 @@ def test_every_pair_of_a_bucket_is_decided(spark, monkeypatch):
     roots = {r.node: r.root for r in M.decide(members, lambda x, y: x + y >= 0, alike).collect()}
     assert roots == {11: 11, 12: 11, 13: 11, 21: 21, 22: 21}
     assert all((a, b) in tried or roots.get(a) == roots.get(b) for a in ids for b in ids if a < b)
+
+
+def test_pairs_of_several_buckets_meet_in_one(spark, monkeypatch):
+    monkeypatch.setattr(M, "HEADS", 2)
+    rng = random.Random(17)
+    keys = {i: sorted(rng.sample(range(9), rng.randrange(1, 6))) for i in range(30)}
+    rows = [(k, i, i, len(of), of) for i, of in keys.items() for k in of]
+    members = spark.createDataFrame(rows, "key long, id long, s long, degree long, keys array<long>")
+    rounds = []
+
+    def alike(pairs):
+        rounds.append([(r.a, r.b) for r in pairs.collect()])
+        return pairs.where("a div 4 = b div 4")
+
+    roots = {r.node: r.root for r in M.decide(members, lambda x, y: x + y >= 0, alike).collect()}
+    tried = {p for r in rounds for p in r}
+    meet = [(a, b) for a in keys for b in keys if a < b and set(keys[a]) & set(keys[b])]
+    assert all(p in tried or roots.get(p[0], p[0]) == roots.get(p[1], p[1]) for p in meet) and tried <= set(meet)
+    want = groups(set(keys), [(a, b) for a, b in meet if a // 4 == b // 4])
+    assert {i: roots.get(i, i) for i in keys} == want
+    # after the first draw no pair is tried in a second bucket
+    later = [p for r in rounds[1:] for p in r]
+    assert len(later) == len(set(later))
