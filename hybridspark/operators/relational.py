@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hybridspark.functions.numbers import days_until, percent
+from hybridspark.sources.store import stored
 
 
 def where_given(df: DataFrame, equal: Mapping[str, object] | None = None, like: Mapping[Iterable[str] | str, str | None] | None = None, tags: Mapping[str, str | None] | None = None, unequal: Mapping[str, object] | None = None) -> DataFrame:
@@ -57,11 +58,20 @@ def with_children(parents: DataFrame, children: DataFrame, key: str, parent_key:
 
 
 def insert(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """df with rows appended; they get ids above the largest."""
+    """df with rows appended; they get ids above the largest, in the order of their other columns.
+
+    Rows are dealt into ranges, repeated ones too, which are written once; an id is the number of rows in the ranges
+    before, one row a range, and the place within its own."""
     top = df.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("__top"))
-    order = Window.orderBy(*[c for c in rows.columns if c != key])
-    numbered = rows.drop(key).withColumn("__n", F.row_number().over(order)).crossJoin(F.broadcast(top))
-    return df.unionByName(numbered.withColumn(key, F.col("__top") + F.col("__n")).drop("__top", "__n"), allowMissingColumns=True)
+    order = [*(F.col(f"`{c}`") for c in rows.columns if c != key), F.col("__tie")]
+    dealt = rows.drop(key).withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*order)
+    dealt = stored(dealt.withColumn("__range", F.spark_partition_id()))
+    before = F.sum("__rows").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    bases = dealt.groupBy("__range").agg(F.count("*").alias("__rows")).select("__range", F.coalesce(before, F.lit(0)).alias("__base"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    numbered = dealt.withColumn("__n", place).join(F.broadcast(bases), "__range").crossJoin(F.broadcast(top))
+    numbered = numbered.withColumn(key, F.col("__top") + F.col("__base") + F.col("__n"))
+    return df.unionByName(numbered.drop("__top", "__base", "__n", "__tie", "__range"), allowMissingColumns=True)
 
 
 def default_children(parents: DataFrame, key: str, titles: list[str]) -> DataFrame:

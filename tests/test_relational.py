@@ -42,6 +42,16 @@ def test_changes(spark):
     assert R.with_column_if_missing(df, "x", "int", 3).first().x == 3
 
 
+def test_insert_numbers_in_order(spark):
+    df = spark.createDataFrame([(7, "old", None)], "id long, name string, n long")
+    values = [(None, None if i % 10 == 0 else "same" if i % 3 else f"v{i:03}", i % 5) for i in range(900)]
+    new = spark.createDataFrame(values, "id long, name string, n long").repartition(6)
+    got = sorted((r.id, r.name, r.n) for r in R.insert(df, new, "id").collect())
+    assert [g[0] for g in got] == list(range(7, 908)) and got[0] == (7, "old", None)
+    assert [g[1:] for g in got[1:]] == sorted((v[1:] for v in values), key=lambda v: (v[0] is not None, v[0] or "", v[1]))
+    assert R.insert(df, new.limit(0), "id").count() == 1
+
+
 def test_indicators(spark):
     df = spark.createDataFrame([("draft",), ("won",), ("won",), ("lost",), ("odd",)], "status string").withColumn("due", F.lit("2024-01-12").cast("timestamp"))
     k = R.kpis(df, "status", "due", F.lit("2024-01-10").cast("timestamp"), ["draft"], "won", "lost").first()
