@@ -8,6 +8,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: What separates words: the six ASCII white space characters. Python's bytes.split() uses the same six.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -79,3 +80,21 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str = "place") -> DataFrame:
+    """rows with their place, from 0, among those that share the values of by (not null), in this order.
+
+    Rows are dealt into ranges by by and order and written in that order, so no task sorts more than a range; a place is
+    the number of a group's rows in the ranges before and that within the range. Only counts meet in a window: a row for
+    each range and group in it."""
+    every = [*(F.col(c) for c in by), *order]
+    dealt = cut(rows.repartitionByRange(*every).sortWithinPartitions(*every).withColumn("__at", F.monotonically_increasing_id()))
+    # the upper bits of such an id are the partition's number, the lower ones count its rows
+    dealt = dealt.withColumn("__range", F.shiftright("__at", 33))
+    sizes = dealt.groupBy("__range", *by).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("__range", *by, (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__base"))
+    # without groups there is one row a range
+    found = dealt.join(sizes if by else F.broadcast(sizes), ["__range", *by])
+    return found.withColumn(name, F.col("__at") + F.col("__base")).drop("__at", "__range", "__base")

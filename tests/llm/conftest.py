@@ -35,3 +35,23 @@ def docs(spark, rows):
 @pytest.fixture(scope="session")
 def none(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def agrees_with_sql(spark, query, sql, sf="/root/testdata/sf0.001"):
+    """A registered query gives the rows of its SQL over the smallest tables."""
+    import glob
+    import os
+
+    import duckdb
+
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    c = duckdb.connect()
+    for p in glob.glob(f"{sf}/*.parquet"):
+        c.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM read_parquet('{p}')")
+    df = query(spark, sf)
+    found = c.execute(sql)
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(df.columns)
+    plain = lambda r: str([float(v) if isinstance(v, int | float) and not isinstance(v, bool) else v for v in r])
+    assert sorted(plain(tuple(r)) for r in df.select(*names).collect()) == sorted(map(plain, found.fetchall()))
