@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hybridspark.functions.text import once
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -77,3 +79,31 @@ def mebibytes(size: Column) -> Column:
 def or_default(value: Column, default: object) -> Column:
     """Null and zero alike count as not given."""
     return F.when(value.isNotNull() & (value != 0), value).otherwise(F.lit(default))
+
+
+def running_sums(values: Column, block: int = 128) -> Column:
+    """For each value the sum of those before it, as longs. Within blocks and over the blocks' sums, as a fold copies what it has built."""
+    long = "array<long>"
+
+    def before(xs: Column) -> Column:
+        grown = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["all"], F.array(acc["sum"])).alias("all"))
+        return F.aggregate(xs, F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast(long).alias("all")), grown, lambda acc: acc["all"])
+
+    def over(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda s, x: s + x))
+        return F.flatten(F.zip_with(parts, before(totals), lambda p, base: F.transform(before(p), lambda x: x + base)))
+
+    def cut(xs: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda k: F.slice(xs, k * block + 1, F.lit(block)))
+        return F.when(F.size(xs) > 0, once(parts, over)).otherwise(F.array().cast(long))
+
+    return once(values, cut)
+
+
+def last_at_most(ascending: Column, value: Column) -> Column:
+    """The place of the last element that is at most value, by halving; -1 if all are greater."""
+    def halved(xs: Column) -> Column:
+        steps = F.filter(F.array(*(F.lit(1 << b) for b in reversed(range(31)))), lambda s: s <= F.size(xs))
+        return F.aggregate(steps, F.lit(-1), lambda at, s: F.when(F.get(xs, at + s) <= value, at + s).otherwise(at))
+
+    return once(ascending, halved)

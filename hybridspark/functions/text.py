@@ -16,6 +16,9 @@ STOP_WORDS = (
 ).split()
 #: A token starts with an ASCII letter or digit; what follows may be any Unicode word character or a hyphen.
 TOKEN = r"(?U)\b[a-z0-9][\w-]*\b"
+#: White space, Unicode's included where a pattern says so, and what parts sentences.
+WHITE = r"\s"
+SENTENCE_END = rf"(?<=[.!?]){WHITE}+"
 
 
 def once(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -40,7 +43,7 @@ def tokens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Parts between white space that follows a full stop, exclamation or question mark; blank parts dropped."""
-    parts = F.transform(F.split(strip(text), r"(?U)(?<=[.!?])\s+"), strip)
+    parts = F.transform(F.split(strip(text), rf"(?U){SENTENCE_END}"), strip)
     return F.filter(parts, lambda s: s != "")
 
 

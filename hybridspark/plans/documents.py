@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hybridspark.functions import text as X
 from hybridspark.operators import chunking as C
 from hybridspark.plans.registry import query, table
-from hybridspark.sources.files import full_text, sections, with_sections
+from hybridspark.sources.files import chunk_elements, full_text, sections, with_sections
 from hybridspark.sources.store import spread
 
 
@@ -114,3 +114,31 @@ def requirements_fallback(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT conv_id, turn, md5(array_to_string(list_filter(string_split(text, chr(10) || chr(10)), lambda x: " + _STRIP.format("x") + " <> ''), chr(10) || chr(10))) AS text_md5 FROM conversations")
 def richtext_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.md5(X.plain_text(X.rich_text(F.col("text")))).alias("text_md5"))
+
+
+_WS = r"[\s\x0B\x85\p{Z}]"
+_LONG = 200
+_PLACES = f"""{_RUNS.replace("WITH ", "WITH RECURSIVE ", 1)},
+el AS (SELECT doc_id, seq, section, text, coalesce(sum(CASE WHEN text <> '' THEN length(text) + 2 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM n),
+d AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY seq) AS text FROM el WHERE text <> '' GROUP BY 1),
+b AS (SELECT doc_id, length(text) - length(regexp_replace(text, '^{_WS}+', '')) AS lead, {_STRIP.format("text")} AS body FROM d),
+p AS (SELECT doc_id, lead, string_split(regexp_replace(body, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1)) AS parts, list_transform(regexp_extract_all(body, '[.!?]({_WS}+)', 1), lambda g: length(g)) AS gaps FROM b WHERE body <> ''),
+u AS (SELECT doc_id, lead, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part, gaps FROM p),
+s AS (SELECT doc_id, i, part, lead + coalesce(sum(length(part) + coalesce(gaps[i], 0)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM u),
+l AS (SELECT doc_id, list(part ORDER BY i) AS parts, list(begin ORDER BY i) AS begins, list(length(part) ORDER BY i) AS sizes FROM s GROUP BY 1),
+fold AS (SELECT doc_id, sizes, 1 AS i, 0 AS a, []::STRUCT(a INT, b INT)[] AS done, sizes[1] AS size FROM l
+UNION ALL SELECT doc_id, sizes, i + 1, CASE WHEN size + sizes[i + 1] > {_LONG} THEN greatest(a, i - 1) ELSE a END,
+CASE WHEN size + sizes[i + 1] > {_LONG} THEN list_append(done, {{'a': a, 'b': i}}) ELSE done END,
+CASE WHEN size + sizes[i + 1] > {_LONG} THEN sizes[i] ELSE size END + sizes[i + 1] FROM fold WHERE i < len(sizes)),
+ru AS (SELECT doc_id, unnest(list_append(done, {{'a': a, 'b': i}})) AS run, unnest(range(0, len(done) + 1)) AS chunk_index FROM fold WHERE i = len(sizes)),
+c AS (SELECT doc_id, chunk_index, array_to_string(parts[run.a + 1:run.b], ' ') AS text, begins[run.a + 1] AS begin, begins[run.b] + sizes[run.b] AS "end" FROM ru JOIN l USING (doc_id))
+SELECT c.doc_id AS document_id, chunk_index::INT AS chunk_index, md5(c.text) AS text_md5, begin::INT AS "begin", "end"::INT AS "end", 'chat.txt' AS source_file, md5(e.section) AS section_md5, (e.seq // 2 + 1)::INT AS page_number
+FROM c ASOF JOIN (FROM el WHERE text <> '') e ON c.doc_id = e.doc_id AND c.begin >= e.at"""
+
+
+@query(_PLACES)
+def ingest_places(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of conversations with file, page, section and place; two turns are a page, a user's turn is a title."""
+    elements = _elements(spark, d).withColumns({"page_number": (F.floor(F.col("seq") / 2) + 1).cast("int"), "filename": F.lit("chat.txt")})
+    chunks = chunk_elements(elements, mode="fixed", max_size=_LONG)
+    return chunks.select("document_id", "chunk_index", F.md5("text").alias("text_md5"), "begin", "end", "source_file", F.md5("section_title").alias("section_md5"), "page_number")

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from hybridspark.functions.text import basename, extension, is_blank
 from hybridspark.operators.chunking import chunk
+from hybridspark.operators.spans import located
 
 #: A parser takes a file's bytes and gives (type, text, page) in order.
 Parser = Callable[[bytes], list[tuple[str, str, int | None]]]
@@ -108,6 +109,20 @@ def sections(elements: DataFrame, key: str = "doc_id", seq: str = "seq") -> Data
     return runs.groupBy(key, "section").agg(F.max_by("body", "run").alias("body"))
 
 
+def structured(elements: DataFrame, key: str = "doc_id", seq: str = "seq") -> DataFrame:
+    """(key, source_file, text, begins, pages, titles): a row for each document with a text in it.
+
+    text is that of full_text(); begins says where in it each element stands, pages and titles what page and section that
+    is. One window per document does both sections and places."""
+    w = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.when(F.coalesce("text", F.lit("")) != "", F.length("text") + 2).otherwise(0)
+    rows = with_sections(elements, key, seq).withColumn("begin", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("int"))
+    part = F.when(F.coalesce("text", F.lit("")) != "", F.struct(seq, "text", "begin", "page_number", "section"))
+    docs = rows.groupBy(key).agg(F.max("filename").alias("source_file"), F.array_sort(F.collect_list(part)).alias("parts")).where(F.size("parts") > 0)
+    of = lambda name: F.transform("parts", lambda p: p[name])
+    return docs.select(key, "source_file", F.array_join(of("text"), "\n\n").alias("text"), of("begin").alias("begins"), of("page_number").alias("pages"), of("section").alias("titles"))
+
+
 @dataclass(frozen=True)
 class Ingested:
     elements: DataFrame
@@ -115,11 +130,18 @@ class Ingested:
     stats: DataFrame
 
 
-def ingest(files: DataFrame, parsers: dict[str, Parser] | None = None, doc_type: str = "general", mode: str = "semantic") -> Ingested:
+def ingest(files: DataFrame, parsers: dict[str, Parser] | None = None, doc_type: str = "general", mode: str = "semantic", **how: object) -> Ingested:
     """Elements, chunks and, for each file, its status and number of chunks; files without elements are empty."""
     elements = parse(files, parsers)
-    texts = full_text(elements)
-    return Ingested(elements, ingest_text(texts, doc_type, mode), _stats(files, texts, doc_type, mode))
+    chunks = chunk_elements(elements, doc_type, mode, **how)
+    return Ingested(elements, chunks, _stats(files, chunks))
+
+
+def chunk_elements(elements: DataFrame, doc_type: str = "general", mode: str = "semantic", **how: object) -> DataFrame:
+    """Chunks of the documents that elements make up, each with its file, its place in the whole text (begin, end), and
+    the page and section in which it begins. Blank documents have none."""
+    found = located(structured(elements), "begins", {"page_number": "pages", "section_title": "titles"}, mode=mode, **how)
+    return found.select(F.col("doc_id").alias("document_id"), "chunk_index", "text", "source_file", "section_title", "page_number", F.lit(doc_type).alias("doc_type"), "begin", "end")
 
 
 def ingest_text(texts: DataFrame, doc_type: str = "general", mode: str = "semantic") -> DataFrame:
@@ -127,8 +149,8 @@ def ingest_text(texts: DataFrame, doc_type: str = "general", mode: str = "semant
     return chunk(texts, mode).select(F.col("doc_id").alias("document_id"), "chunk_index", "text", F.lit(doc_type).alias("doc_type"))
 
 
-def _stats(files: DataFrame, texts: DataFrame, doc_type: str, mode: str) -> DataFrame:
-    n = ingest_text(texts, doc_type, mode).groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("chunks"))
+def _stats(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    n = chunks.groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("chunks"))
     rows = files.select("doc_id").join(n, "doc_id", "left")
     return rows.select("doc_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.when(F.col("chunks").isNull(), "empty").otherwise("success").alias("status"))
 
