@@ -13,7 +13,9 @@ from hybridspark.functions.text import assessment, fill, requirements, rich_text
 from hybridspark.operators import fusion
 from hybridspark.operators.dense import dense_search, index_points
 from hybridspark.operators.graph import Graph, graph_search
-from hybridspark.operators.sparse import Bm25Index, bm25_search, build_bm25
+from hybridspark.operators.segments import SegmentedIndex
+from hybridspark.operators.sparse import Bm25Index, bm25_search
+from hybridspark.sources.snapshots import Points
 from hybridspark.sources.store import Collections, stored
 
 #: Results of the dense, sparse and graph retrievers, and of the whole.
@@ -145,14 +147,24 @@ def section_text(queries: DataFrame, contexts: DataFrame, model: Callable[[Colum
 
 
 def index_chunks(collections: Collections, name: str, chunks: DataFrame, vector: Column, document: str = "document_id", chunk_index: str = "chunk_index") -> tuple[DataFrame, Bm25Index]:
-    """Writes chunks to a collection with their vectors and returns its points, and the keyword index built of all of them.
-
-    The vectors are worked out once; points of chunks that were there before are not written again."""
-    points = stored(index_points(chunks, vector, document, chunk_index))
-    collections.ensure(name, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema))
-    collections.append(name, points.join(collections.read(name).select("point_id"), "point_id", "left_anti").select(points.columns))
-    whole = collections.read(name)
-    return whole, build_bm25(whole, "point_id")
+    """Stores chunks with their vectors in place of all earlier ones of their documents, and indexes their words; returns
+    the collection's points and keyword index.
+
+    Both are one change of the collection: a reader never sees the one without the other, and a failure leaves both as
+    they were. Vectors are worked out once; what other documents have is neither embedded nor tokenised again."""
+    log = collections.log(name)
+    points, words = Points(log, document), SegmentedIndex(log, "point_id", document)
+    rows = stored(index_points(chunks, vector, document, chunk_index))
+    log.update(lambda m: words.changed(points.replaced(m, rows), rows))
+    return points.read(), words.index()
+
+
+def remove_documents(collections: Collections, name: str, documents: DataFrame, document: str = "document_id") -> tuple[DataFrame, Bm25Index]:
+    """Takes the chunks of documents (document) out of both indexes; chunks that name no document stay."""
+    log = collections.log(name)
+    points, words = Points(log, document), SegmentedIndex(log, "point_id", document)
+    log.update(lambda m: words.changed(points.without(m, documents), None, documents) if "points" in m else m)
+    return points.read(), words.index()
 
 
 def echo(prompt: Column) -> Column:

@@ -87,11 +87,12 @@ def top_per_query(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def bm25_search(index: Bm25Index, chunks: DataFrame, queries: DataFrame, top_k: int = 20, filters: Mapping[str, object] | None = None, key: str = "doc_id", query: str = "query", k1: float = K1, b: float = B, digits: int | None = None) -> DataFrame:
+def bm25_search(index: Bm25Index, chunks: DataFrame | None, queries: DataFrame, top_k: int = 20, filters: Mapping[str, object] | None = None, key: str = "doc_id", query: str = "query", k1: float = K1, b: float = B, digits: int | None = None) -> DataFrame:
     """(query_id, rank, key, score, *columns of chunks) of the best chunks of each query (query_id, query).
 
     A token that a query repeats counts as often. Scores of 0 or less never match. Filters choose among the scored
-    chunks and leave the corpus statistics alone. Ties go to the smaller key. digits rounds scores before ranking."""
+    chunks and leave the corpus statistics alone. Ties go to the smaller key. digits rounds scores before ranking. Without
+    chunks the index alone is asked: no filters, no columns, and no join that tests whether rows exist."""
     asked = queries.select("query_id", F.explode(tokens(F.col(query))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     hits = asked.join(index.vocabulary, "token").join(index.postings, "token").join(F.broadcast(index.stats.select("avgdl")))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -101,10 +102,14 @@ def bm25_search(index: Bm25Index, chunks: DataFrame, queries: DataFrame, top_k:
     return fetched(scored.withColumnRenamed("doc", key), chunks, key, filters, top_k)
 
 
-def fetched(scored: DataFrame, rows: DataFrame, key: str, filters: Mapping[str, object] | None, top_k: int) -> DataFrame:
+def fetched(scored: DataFrame, rows: DataFrame | None, key: str, filters: Mapping[str, object] | None, top_k: int) -> DataFrame:
     """(query_id, rank, score, *columns of rows) of scored (query_id, key, score): the best of each query.
 
     Only keys and the columns of the filters meet the scores; texts and all else are fetched for what is left."""
+    if rows is None:
+        if filters:
+            raise ValueError("filters need the rows whose columns they name")
+        return top_per_query(scored, top_k, F.desc("score"), F.col(key)).select("query_id", "rank", "score", key)
     rows = rows.drop("score", "query_id", "rank")
     allowed = rows.where(metadata_test(filters or {})).select(key)
     best = top_per_query(scored.join(allowed, key), top_k, F.desc("score"), F.col(key))

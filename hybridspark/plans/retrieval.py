@@ -13,8 +13,11 @@ from hybridspark.functions.text import STOP_WORDS, snippet, tokens
 from hybridspark.operators import fusion, graph
 from hybridspark.operators.dense import dense_search
 from hybridspark.operators.engine import Corpus, HybridEngine, health, render_prompts
+from hybridspark.operators.segments import SegmentedIndex
 from hybridspark.operators.sparse import append, bm25_search, build_bm25, remove_document
 from hybridspark.plans.registry import ORACLES, query, table
+from hybridspark.sources.snapshots import Points, Snapshots
+from hybridspark.sources.store import shared_folder
 
 ASKED = {1: "the license of the software and its terms", 2: "contact the support team by email or phone", 3: "der und die von erber der"}
 
@@ -98,6 +101,36 @@ def corpus_append_remove(spark: SparkSession, d: str) -> DataFrame:
     return append(remove_document(docs, "src3", "source"), more).agg(F.count("*").alias("chunks"), F.sum("doc_id").alias("ids"))
 
 
+_GROWN = """documents AS (SELECT doc_id, CASE WHEN source = 'src1' THEN text || ' license terms' ELSE text END AS text FROM main.documents WHERE source IS DISTINCT FROM 'src3')"""
+
+
+@query(f"WITH {_GROWN}, {_ASKED}, {_INDEX}, {_bm25()} SELECT query_id, rank::INT AS rank, doc_id, score FROM sparse")
+def bm25_segments(spark: SparkSession, d: str) -> DataFrame:
+    """An index grown in four changes: two loads that make up the table, a source taken out, a source's texts replaced."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    index = SegmentedIndex(Snapshots(spark, shared_folder(spark)), "doc_id", "doc_id")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    index.add(docs.where(english))
+    index.add(docs.where(~english))
+    index.remove(docs.where("source = 'src3'"))
+    index.add(docs.where("source = 'src1'").withColumn("text", F.concat("text", F.lit(" license terms"))))
+    return index.search(asked(spark), digits=6).select("query_id", "rank", "doc_id", "score")
+
+
+@query("""SELECT l_orderkey || ':' || l_linenumber AS point_id, max(CASE WHEN o_orderstatus = 'F' THEN 'again ' ELSE '' END || l_returnflag) AS text FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+WHERE o_orderstatus <> 'P' AND (o_orderstatus <> 'F' OR l_linenumber <= 2) GROUP BY 1""")
+def points_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as documents and their lines as points: all are stored, the closed ones come again with two lines at most, pending ones go."""
+    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), "o_orderstatus")
+    rows = lines.select(F.col("l_orderkey").alias("document_id"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("point_id"), F.col("l_linenumber").alias("chunk_index"), F.col("l_returnflag").alias("text"))
+    points = Points(Snapshots(spark, shared_folder(spark)))
+    points.replace(rows)
+    again = rows.where("chunk_index <= 2").join(orders.where("o_orderstatus = 'F'"), "document_id", "left_semi")
+    points.replace(again.withColumn("text", F.concat(F.lit("again "), "text")))
+    points.delete(orders.where("o_orderstatus = 'P'"))
+    return points.read().select("point_id", "text")
+
+
 _COS = "round(list_dot_product(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(p.embedding::DOUBLE[], p.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6)"
 
 

@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 
+if TYPE_CHECKING:
+    from hybridspark.sources.snapshots import Points, Snapshots
+
 
 @lru_cache(maxsize=1)
 def _own_dir() -> str:
@@ -40,20 +44,31 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 class Collections:
-    """Collections of points: a table each, by name, in one folder."""
+    """Collections of points by name, in one folder; each changes by whole snapshots, see snapshots.py."""
 
     def __init__(self, spark: SparkSession, folder: str, prefix: str = "") -> None:
         self.spark, self.folder, self.prefix = spark, folder.rstrip("/"), prefix
 
-    def path(self, name: str) -> str:
-        return f"{self.folder}/{self.prefix}{name}.parquet"
+    def log(self, name: str) -> Snapshots:
+        from hybridspark.sources.snapshots import Snapshots  # that module stores parts with this one
+
+        return Snapshots(self.spark, f"{self.folder}/{self.prefix}{name}")
+
+    def points(self, name: str, document: str = "document_id", key: str = "point_id") -> Points:
+        from hybridspark.sources.snapshots import Points
+
+        return Points(self.log(name), document, key)
 
     def ensure(self, name: str, schema: str) -> None:
         """An empty collection of this schema, if there is none; one that is there stays."""
-        self.spark.createDataFrame([], schema).write.mode("ignore").parquet(self.path(name))
+        self.points(name).ensure(schema)
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """rows in place of all points of their documents."""
+        self.points(name).replace(rows)
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.path(name))
+    def delete(self, name: str, documents: DataFrame) -> None:
+        self.points(name).delete(documents)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        return self.points(name).read()
