@@ -13,6 +13,7 @@ from hybridspark.functions.text import STOP_WORDS, snippet, tokens
 from hybridspark.operators import fusion, graph
 from hybridspark.operators.dense import dense_search
 from hybridspark.operators.engine import Corpus, HybridEngine, health, render_prompts
+from hybridspark.operators.pruned import build_blocks, pruned_search
 from hybridspark.operators.segments import SegmentedIndex
 from hybridspark.operators.sparse import append, bm25_search, build_bm25, remove_document
 from hybridspark.plans.registry import ORACLES, query, table
@@ -72,8 +73,14 @@ def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_ASKED}, {_INDEX}, {_bm25()} SELECT query_id, rank::INT AS rank, doc_id, score FROM sparse")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return bm25_search(build_bm25(docs), docs.select("doc_id"), asked(spark), digits=6).select("query_id", "rank", "doc_id", "score")
+    return bm25_search(build_bm25(table(spark, d, "documents")), None, asked(spark), digits=6).select("query_id", "rank", "doc_id", "score")
+
+
+@query(ORACLES["bm25_topk"])
+def bm25_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """The same results from blocks of postings, most of which stay closed."""
+    blocks = build_blocks(build_bm25(table(spark, d, "documents")))
+    return pruned_search(blocks, asked(spark), digits=6).select("query_id", "rank", "doc_id", "score")
 
 
 _SOME = "lang IN ('de', 'fr') AND source = 'src1'"
@@ -117,8 +124,10 @@ def bm25_segments(spark: SparkSession, d: str) -> DataFrame:
     return index.search(asked(spark), digits=6).select("query_id", "rank", "doc_id", "score")
 
 
-@query("""SELECT l_orderkey || ':' || l_linenumber AS point_id, max(CASE WHEN o_orderstatus = 'F' THEN 'again ' ELSE '' END || l_returnflag) AS text FROM lineitem JOIN orders ON o_orderkey = l_orderkey
-WHERE o_orderstatus <> 'P' AND (o_orderstatus <> 'F' OR l_linenumber <= 2) GROUP BY 1""")
+@query("""WITH again AS (SELECT DISTINCT l_orderkey AS k FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND l_linenumber <= 2)
+SELECT l_orderkey || ':' || l_linenumber AS point_id, max(CASE WHEN k IS NULL THEN '' ELSE 'again ' END || l_returnflag) AS text
+FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN again ON k = l_orderkey
+WHERE o_orderstatus IS DISTINCT FROM 'P' AND (k IS NULL OR l_linenumber <= 2) GROUP BY 1""")
 def points_replaced(spark: SparkSession, d: str) -> DataFrame:
     """Orders as documents and their lines as points: all are stored, the closed ones come again with two lines at most, pending ones go."""
     lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), "o_orderstatus")
