@@ -6,15 +6,15 @@ certification, category (name), requirement (id, text, category, priority). Edge
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hybridspark.functions.text import contains_folded, json_span
 from hybridspark.operators.relational import upsert_latest
-from hybridspark.operators.sparse import query_blocks, top_per_query
+from hybridspark.operators.sparse import top_per_query
+from hybridspark.operators.substring import Trigrams, build_trigrams, substring_matches
 
 PROJECT_SCORE, MEMBER_SCORE, TOP_K = 1.0, 0.9, 10
 
@@ -24,6 +24,8 @@ class Graph:
     projects: DataFrame
     members: DataFrame
     edges: DataFrame
+    project_grams: Trigrams | None = None
+    member_grams: Trigrams | None = None
 
 
 def upsert_nodes(nodes: DataFrame, more: DataFrame, key: str, newest: str) -> DataFrame:
@@ -108,10 +110,26 @@ def _lines(*lines: Column) -> Column:
     return F.concat_ws("\n", *lines)
 
 
-def _matching(nodes: DataFrame, queries: DataFrame, test: Column, top_k: int) -> DataFrame:
+def _matching(nodes: DataFrame, queries: DataFrame, test: Column, fields: Column, index: Trigrams | None, top_k: int) -> DataFrame:
     """Nodes that a query occurs in, top_k of each query by id; the nodes' neighbours are fetched after this cut."""
-    parts = [nodes.join(F.broadcast(q), F.coalesce(test, F.lit(False))) for q in query_blocks(queries.select("query_id", "query"))]
-    return top_per_query(reduce(DataFrame.unionByName, parts), top_k, F.col("id")).drop("rank")
+    found = substring_matches(nodes, queries, test, "id", fields, index)
+    return top_per_query(found, top_k, F.col("id")).drop("rank")
+
+
+_PROJECT_TEXTS, _MEMBER_TEXTS = ("name", "description", "category"), ("name", "title")
+
+
+def _project_fields() -> Column:
+    return F.array(*_PROJECT_TEXTS)
+
+
+def _member_fields() -> Column:
+    return F.concat(F.array(*_MEMBER_TEXTS), F.coalesce("skills", F.array().cast("array<string>")))
+
+
+def indexed(graph: Graph) -> Graph:
+    """graph with the trigrams of its nodes' texts written once, for many searches."""
+    return replace(graph, project_grams=build_trigrams(graph.projects, "id", _project_fields()), member_grams=build_trigrams(graph.members, "id", _member_fields()))
 
 
 _OUT = ["query_id", "text", "score", "entity_type", "entity_id", "relationships"]
@@ -123,7 +141,7 @@ def search_projects(graph: Graph, queries: DataFrame, top_k: int = TOP_K) -> Dat
     Each relation is gathered by node before the join, so relations don't multiply. A project with two clients
     gives one result for each."""
     q = F.col("query")
-    hits = _matching(graph.projects, queries, contains_folded(F.col("name"), q) | contains_folded(F.col("description"), q) | contains_folded(F.col("category"), q), top_k)
+    hits = _matching(graph.projects, queries, contains_folded(F.col("name"), q) | contains_folded(F.col("description"), q) | contains_folded(F.col("category"), q), _project_fields(), graph.project_grams, top_k)
     clients = graph.edges.where("type = 'FOR_CLIENT'").select(F.col("src").alias("__id"), F.col("dst").alias("client"))
     team, certs = _pairs(graph.edges, "DELIVERED", "dst", "src", graph.members, "team"), _names(graph.edges, "REQUIRES_CERT", "certs")
     rows = hits.withColumn("__id", F.col("id")).join(clients, "__id", "left").join(team, "__id", "left").join(certs, "__id", "left")
@@ -146,7 +164,7 @@ def search_members(graph: Graph, queries: DataFrame, top_k: int = TOP_K) -> Data
     """Team members whose name, title or one of whose skills contains the whole query."""
     q = F.col("query")
     skilled = F.exists(F.coalesce("skills", F.array().cast("array<string>")), lambda s: F.coalesce(contains_folded(s, q), F.lit(False)))
-    hits = _matching(graph.members, queries, F.coalesce(contains_folded(F.col("name"), q), F.lit(False)) | F.coalesce(contains_folded(F.col("title"), q), F.lit(False)) | skilled, top_k)
+    hits = _matching(graph.members, queries, F.coalesce(contains_folded(F.col("name"), q), F.lit(False)) | F.coalesce(contains_folded(F.col("title"), q), F.lit(False)) | skilled, _member_fields(), graph.member_grams, top_k)
     certs, projects = _names(graph.edges, "HOLDS", "certs"), _pairs(graph.edges, "DELIVERED", "src", "dst", graph.projects, "projects")
     rows = hits.withColumn("__id", F.col("id")).join(certs, "__id", "left").join(projects, "__id", "left")
     done = F.coalesce("projects", F.array().cast("array<struct<name:string,role:string>>"))

@@ -298,6 +298,12 @@ def graph_union_topk(spark: SparkSession, d: str) -> DataFrame:
     return graph.graph_search(_graph(spark, d), _wanted(spark)).select("query_id", "rank", "entity_id", "score")
 
 
+@query(ORACLES["graph_union_topk"])
+def graph_indexed_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same results from trigrams that are written once."""
+    return graph.graph_search(graph.indexed(_graph(spark, d)), _wanted(spark)).select("query_id", "rank", "entity_id", "score")
+
+
 @query(f"""{_HYBRID}, c AS (SELECT query_id, string_agg(text, {_RULE} ORDER BY rank) AS context FROM reranked GROUP BY 1)
 SELECT query_id, 'general_qa' AS template, md5('Answer from the context alone. Say so if it does not hold the answer.' || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question:' || chr(10) || query || chr(10)) AS prompt_md5 FROM asked LEFT JOIN c USING (query_id)""")
 def prompt_render(spark: SparkSession, d: str) -> DataFrame:
