@@ -162,3 +162,20 @@ def status_counts(df: DataFrame, by: str, status: str) -> DataFrame:
 def progress(df: DataFrame, by: str, status: str, done: list[str]) -> DataFrame:
     """For each parent its rows, and the share of those that are done."""
     return df.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col(status).isin(done)).alias("done")).withColumn("share", F.col("done") / F.greatest("n", F.lit(1)))
+
+
+def insert_unique(df: DataFrame, rows: DataFrame, key: str, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """df with those of rows that a unique, non-null key lets in, and the others with the reason why not.
+
+    Reasons: no key; stored already; repeated, where an earlier one of rows by order (all columns, if not given) has the
+    key. The stored side of the join is its key alone, and Spark prunes it by a Bloom filter of the new keys at run time
+    where that pays. Hold rows to the same values if they are computed: both results read them."""
+    names = order or [c for c in rows.columns if c != key]
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*(F.col(f"`{c}`") for c in names)))
+    known = df.select(F.col(key).alias("__known")).where("__known is not null").distinct()
+    keyed = rows.where(F.col(key).isNotNull())
+    judged = keyed.withColumn("__nth", nth).join(known, F.col(key) == F.col("__known"), "left")
+    reason = F.when(F.col("__known").isNotNull(), "stored already").when(F.col("__nth") > 1, "repeated")
+    judged = judged.withColumn("reason", reason).drop("__nth", "__known")
+    refused = rows.where(F.col(key).isNull()).withColumn("reason", F.lit("no key")).unionByName(judged.where("reason is not null"))
+    return df.unionByName(judged.where("reason is null").drop("reason"), allowMissingColumns=True), refused

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hybridspark.functions import numbers as N
 from hybridspark.functions import text as X
 from hybridspark.operators import relational as R
+from hybridspark.operators.relations import Relation, Relations
 from hybridspark.operators.substring import build_trigrams, substring_matches
 from hybridspark.plans.registry import query, table
 from hybridspark.sources.schemas import DEFAULT_SECTIONS
@@ -176,3 +177,58 @@ def metrics_formula(spark: SparkSession, d: str) -> DataFrame:
 def table_columns(spark: SparkSession, d: str) -> DataFrame:
     rows = [(t, len(table(spark, d, t).columns)) for t in ("orders", "part")]
     return spark.createDataFrame(rows, "name string, n long")
+
+
+_RELATIONS = Relations(
+    {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "line_id", "part": "p_partkey"},
+    [Relation("orders", "o_custkey", "customer", order=("o_orderkey",)), Relation("lineitem", "l_orderkey", "orders", order=("l_linenumber",), into="lines"), Relation("lineitem", "l_partkey", "part", cascade=False)],
+)
+
+
+def _related(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    lines = table(spark, d, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line_id"), "l_orderkey", "l_linenumber", "l_partkey")
+    return {"customer": table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "orders": table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "lineitem": lines, "part": table(spark, d, "part").select("p_partkey")}
+
+
+@query("""WITH gone AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (FROM gone))
+SELECT 'customer' AS kind, c_custkey::VARCHAR AS id, count(*) AS n FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 2
+UNION ALL SELECT 'orders', o_orderkey::VARCHAR, count(*) FROM orders WHERE o_custkey NOT IN (FROM gone) GROUP BY 2
+UNION ALL SELECT 'lineitem', concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey), count(*) FROM lineitem WHERE l_orderkey NOT IN (FROM o) GROUP BY 2""")
+def cascade_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Customers take their orders with them, and those their lines."""
+    tables = _related(spark, d)
+    left = _RELATIONS.delete(tables, "customer", tables["customer"].where("c_mktsegment = 'BUILDING'"))
+    count = lambda name, key: left[name].groupBy(F.lit(name).alias("kind"), F.col(key).cast("string").alias("id")).agg(F.count("*").alias("n"))
+    return count("customer", "c_custkey").unionByName(count("orders", "o_orderkey")).unionByName(count("lineitem", "line_id"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, count(*) AS n, string_agg(l_linenumber || '/' || l_partkey, ',' ORDER BY l_linenumber, line_id, l_partkey) AS t FROM (SELECT *, concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_id FROM lineitem) GROUP BY 1),
+o AS (SELECT o_custkey, count(*) AS n, string_agg(o_orderkey || '=' || coalesce(t, ''), ';' ORDER BY o_orderkey) AS t, sum(coalesce(l.n, 0)) AS lines FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT c_custkey, coalesce(n, 0) AS orders_count, coalesce(lines, 0)::BIGINT AS lines, md5(coalesce(t, '')) AS detail_md5 FROM customer LEFT JOIN o ON o_custkey = c_custkey""")
+def detail_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with their orders, and those with their lines."""
+    rows = _RELATIONS.detail(_related(spark, d), "customer", 2)
+    lines = lambda o: F.array_join(F.transform(o["lines"], lambda x: F.concat_ws("/", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"))), ",")
+    text = F.array_join(F.transform("orders", lambda o: F.concat_ws("=", o["o_orderkey"].cast("string"), lines(o))), ";")
+    return rows.select("c_custkey", "orders_count", F.aggregate("orders", F.lit(0).cast("long"), lambda s, o: s + o["lines_count"]).alias("lines"), F.md5(text).alias("detail_md5"))
+
+
+@query("""SELECT 'orders' AS child, 'o_custkey' AS "column", 'customer' AS parent, o_custkey::VARCHAR AS value, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY 4
+UNION ALL SELECT 'lineitem', 'l_orderkey', 'orders', l_orderkey::VARCHAR, count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY 4
+UNION ALL SELECT 'lineitem', 'l_partkey', 'part', l_partkey::VARCHAR, count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) GROUP BY 4""")
+def orphan_report(spark: SparkSession, d: str) -> DataFrame:
+    """What refers to nothing, once pending orders are taken out without their lines."""
+    tables = _related(spark, d)
+    return _RELATIONS.orphans(tables | {"orders": tables["orders"].where("o_orderstatus <> 'P'")})
+
+
+@query("""WITH known AS (SELECT DISTINCT user_id AS k FROM events WHERE event_type <> 'purchase' AND user_id IS NOT NULL),
+new AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events WHERE event_type = 'purchase')
+SELECT event_id, user_id, CASE WHEN user_id IS NULL THEN 'no key' WHEN k IS NOT NULL THEN 'stored already' WHEN nth > 1 THEN 'repeated' ELSE 'in' END AS reason FROM new LEFT JOIN known ON k = user_id""")
+def unique_insert(spark: SparkSession, d: str) -> DataFrame:
+    """Buyers join the users of all other events; one row a user."""
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    known, new = events.where("event_type <> 'purchase'"), events.where("event_type = 'purchase'")
+    stored, refused = R.insert_unique(known, new, "user_id", ["event_id"])
+    entered = stored.where("event_type = 'purchase'").select("event_id", "user_id", F.lit("in").alias("reason"))
+    return refused.select("event_id", "user_id", "reason").unionByName(entered)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+#: Columns of the tables and their types.
 ELEMENTS = "doc_id long, seq int, type string, text string, page_number int, section string, filename string"
 CHUNKS = "document_id long, chunk_index int, text string, source_file string, section_title string, page_number int, doc_type string, extra map<string,string>"
 TENDERS = "id long, title string, client string, description string, deadline timestamp, status string, source_file_url string, budget_estimate double, category string, tags array<string>, metadata_json string, created_by long, created_at timestamp, updated_at timestamp"
@@ -22,3 +23,16 @@ DEFAULT_SECTIONS = [
     "Pricing & Budget",
     "Compliance Matrix",
 ]
+#: Each table's key, and which column refers to which table; whether a row goes with the one it refers to.
+KEYS = {"users": "id", "tenders": "id", "requirements": "id", "proposals": "id", "sections": "id", "otp_tokens": "id", "search_history": "id"}
+REFERENCES = [
+    ("otp_tokens", "user_id", "users", True),
+    ("search_history", "user_id", "users", True),
+    ("tenders", "created_by", "users", False),
+    ("requirements", "tender_id", "tenders", True),
+    ("requirements", "proposal_section_id", "sections", False),
+    ("proposals", "tender_id", "tenders", True),
+    ("proposals", "created_by", "users", False),
+    ("sections", "proposal_id", "proposals", True),
+    ("sections", "assigned_to", "users", False),
+]
