@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hybridspark.functions.text import STOP_WORDS, snippet, tokens
 from hybridspark.operators import fusion, graph
+from hybridspark.operators.cells import cell_search, fit_cells
 from hybridspark.operators.dense import dense_search
 from hybridspark.operators.engine import Corpus, HybridEngine, health, render_prompts
 from hybridspark.operators.pruned import build_blocks, pruned_search
@@ -174,6 +175,13 @@ def dense_filtered(spark: SparkSession, d: str) -> DataFrame:
     return dense_search(points, queries, filters={"label": [1, 3]}, key="doc_id", digits=6).select("query_id", "rank", "doc_id", "score")
 
 
+@query()
+def dense_cells(spark: SparkSession, d: str) -> DataFrame:
+    """dense_topk by cells; a test holds its recall against the exact search."""
+    points, queries = _many(spark, d)
+    return cell_search(fit_cells(points, "doc_id"), queries, digits=6).select("query_id", "rank", "doc_id", "score")
+
+
 @query(ORACLES["dense_topk"])
 def dense_topk_many(spark: SparkSession, d: str) -> DataFrame:
     return dense_topk(spark, d)
