@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hybridspark.functions import text as X
 from hybridspark.operators import chunking as C
-from hybridspark.plans.registry import query, table
+from hybridspark.plans.registry import query, table, token_list
 from hybridspark.sources.files import chunk_elements, full_text, sections, with_sections
 from hybridspark.sources.store import spread
 
@@ -43,13 +43,30 @@ def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query()
+_SPACES = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
+_OVERSIZE = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_STRIP.format("text")}, '{_SPACES}'), lambda x: x <> '') AS ws FROM documents),
+e AS (SELECT doc_id, i, sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS upto, length(word) AS n FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+hop AS (SELECT a.doc_id, a.i, greatest(coalesce(b.i, 1000000000), a.i + 1) AS nxt FROM e a ASOF LEFT JOIN e b ON a.doc_id = b.doc_id AND a.upto - a.n - 1 + 1500 < b.upto),
+walk AS (SELECT doc_id, 1::BIGINT AS i, 0 AS chunk_index FROM w WHERE len(ws) > 0 UNION ALL SELECT walk.doc_id, nxt, chunk_index + 1 FROM walk JOIN hop USING (doc_id, i) WHERE nxt < 1000000000)
+SELECT doc_id, chunk_index, md5(array_to_string(ws[i:nxt - 1], ' ')) AS chunk_md5 FROM walk JOIN hop USING (doc_id, i) JOIN w USING (doc_id)"""
+
+
+@query(_OVERSIZE)
 def chunk_oversize(spark: SparkSession, d: str) -> DataFrame:
     docs = _texts(spark, d).select("doc_id", F.posexplode(C.split_oversize(F.col("text"))).alias("chunk_index", "text"))
     return docs.select("doc_id", "chunk_index", F.md5("text").alias("chunk_md5"))
 
 
-@query()
+_BOUNDARIES = f"""WITH s AS (SELECT doc_id, unnest({_SENTENCES}) AS part, unnest(range(0, len({_SENTENCES}))) AS i FROM documents),
+t AS (SELECT doc_id, i, token, count(*)::DOUBLE AS n FROM (SELECT doc_id, i, unnest({token_list("part")}) AS token FROM s) GROUP BY 1, 2, 3),
+size AS (SELECT doc_id, i, sqrt(sum(n * n)) AS size FROM t GROUP BY 1, 2),
+dot AS (SELECT b.doc_id, b.i, sum(a.n * b.n) AS dot FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.token = b.token AND b.i = a.i + 1 GROUP BY 1, 2),
+c AS (SELECT s.doc_id, s.i FROM s LEFT JOIN dot USING (doc_id, i) LEFT JOIN size y USING (doc_id, i) LEFT JOIN size x ON x.doc_id = s.doc_id AND x.i = s.i - 1
+WHERE s.i > 0 AND CASE WHEN coalesce(x.size, 0) * coalesce(y.size, 0) > 0 THEN coalesce(dot, 0) / (x.size * y.size) ELSE 0 END < 0.5)
+SELECT doc_id, coalesce(string_agg(i, ',' ORDER BY i), '') AS cuts FROM documents LEFT JOIN c USING (doc_id) GROUP BY doc_id"""
+
+
+@query(_BOUNDARIES)
 def semantic_boundaries(spark: SparkSession, d: str) -> DataFrame:
     parts = X.sentences(F.col("text"))
     rows = _texts(spark, d).select("doc_id", parts.alias("parts"))
@@ -111,6 +128,17 @@ def requirements_fallback(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", "n", "r.text", "r.category", "r.priority")
 
 
+@query("""SELECT event_id, 2 AS n, event_type AS text, CASE WHEN event_id % 2 = 0 THEN 'technical' END AS category, 'high' AS priority FROM events
+UNION ALL SELECT event_id, 2, 'also ' || user_id, 'legal', NULL FROM events""")
+def requirements_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that are lists: every field is taken, and one that is missing is null."""
+    one = F.struct(F.col("event_type").alias("text"), F.when(F.col("event_id") % 2 == 0, "technical").alias("category"), F.lit("high").alias("priority"))
+    two = F.struct(F.concat(F.lit("also "), F.col("user_id").cast("string")).alias("text"), F.lit("legal").alias("category"), F.lit(None).cast("string").alias("priority"))
+    listed = X.requirements(F.to_json(F.array(one, two)))
+    rows = table(spark, d, "events").select("event_id", F.size(listed).alias("n"), F.explode(listed).alias("r"))
+    return rows.select("event_id", "n", "r.text", "r.category", "r.priority")
+
+
 @query("SELECT conv_id, turn, md5(array_to_string(list_filter(string_split(text, chr(10) || chr(10)), lambda x: " + _STRIP.format("x") + " <> ''), chr(10) || chr(10))) AS text_md5 FROM conversations")
 def richtext_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.md5(X.plain_text(X.rich_text(F.col("text")))).alias("text_md5"))

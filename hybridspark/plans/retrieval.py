@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridspark.functions.text import STOP_WORDS, snippet, tokens
+from hybridspark.functions.text import snippet, tokens
 from hybridspark.operators import fusion, graph
 from hybridspark.operators.cells import cell_search, fit_cells
 from hybridspark.operators.dense import dense_search
@@ -17,7 +17,7 @@ from hybridspark.operators.engine import Corpus, HybridEngine, health, render_pr
 from hybridspark.operators.pruned import build_blocks, pruned_search
 from hybridspark.operators.segments import SegmentedIndex
 from hybridspark.operators.sparse import append, bm25_search, build_bm25, remove_document
-from hybridspark.plans.registry import ORACLES, query, table
+from hybridspark.plans.registry import ORACLES, query, table, token_list
 from hybridspark.sources.snapshots import Points, Snapshots
 from hybridspark.sources.store import shared_folder
 
@@ -28,14 +28,7 @@ def asked(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(ASKED.items()), "query_id int, query string")
 
 
-_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS if len(w) > 2)
-
-
-def _tokens(text: str) -> str:
-    raw = rf"list_transform(regexp_extract_all(lower({text}), '(?:^|[^\p{{L}}\p{{N}}_])([a-z0-9][\p{{L}}\p{{N}}_-]*)', 1), lambda x: rtrim(x, '-'))"
-    return f"list_filter({raw}, lambda x: NOT list_contains([{_STOP}], x))"
-
-
+_tokens = token_list
 _ASKED = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in ASKED.items()) + ") t(query_id, query))"
 _INDEX = f"""listed AS (SELECT doc_id, {_tokens('text')} AS tk FROM documents),
 lengths AS (SELECT doc_id, len(tk) AS dl FROM listed),
@@ -232,6 +225,19 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "rank", F.round("score", 9).alias("score"), "original_score", F.array_join("sources", ",").alias("sources"), F.md5("text").alias("text_md5"))
 
 
+_ASKED_MANY = "asked AS (SELECT doc_id + 1 AS query_id, left(text, 80) AS query FROM documents WHERE doc_id % 20 = 0 AND doc_id IN (SELECT vec_id FROM embeddings))"
+_DENSE_MANY = _dense("EXISTS (FROM documents x WHERE x.doc_id = p.vec_id)", f"{_MANY} AND vec_id IN (SELECT doc_id FROM documents)")
+
+
+@query(f"WITH {_ASKED_MANY}, {_INDEX}, {_bm25()}, {_DENSE_MANY}, {_FUSED}, {_LEX} SELECT query_id, rank::INT AS rank, round(score, 9) AS score, original_score, sources, md5(text) AS text_md5 FROM reranked")
+def hybrid_search_many(spark: SparkSession, d: str) -> DataFrame:
+    """Every row whose id is divisible by 20 asks with its vector and the start of its document."""
+    corpus, _ = _corpus(spark, d)
+    texts = table(spark, d, "documents").where("doc_id % 20 = 0").select((F.col("doc_id") + 1).alias("query_id"), F.left("text", F.lit(80)).alias("query"))
+    found = HybridEngine(corpus, digits=6).search(texts.join(_many(spark, d)[1], "query_id"))
+    return found.select("query_id", "rank", F.round("score", 9).alias("score"), "original_score", F.array_join("sources", ",").alias("sources"), F.md5("text").alias("text_md5"))
+
+
 @query(f"""{_HYBRID} SELECT query_id::INT AS query_id, md5(string_agg(text, {_RULE} ORDER BY rank)) AS context_md5,
 md5(string_agg(CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END, {_RULE} ORDER BY rank)) AS streamed_md5 FROM reranked GROUP BY 1""")
 def context_snippets(spark: SparkSession, d: str) -> DataFrame:
@@ -322,7 +328,10 @@ def prompt_render(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS chunks, TRUE AS dense, TRUE AS sparse, FALSE AS graph FROM documents")
 def engine_health(spark: SparkSession, d: str) -> DataFrame:
-    return health(_corpus(spark, d)[0])
+    """Whether there is an index is known without one being built: an empty one in the same folder form is enough."""
+    docs, points = table(spark, d, "documents").select("doc_id", "text"), _vectors(spark, d)[0]
+    log = Snapshots(spark, shared_folder(spark))
+    return health(Corpus(docs, "doc_id", points, SegmentedIndex(log, "doc_id", "doc_id").index()))
 
 
 @query("SELECT doc_id, md5(CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END) AS snippet_md5 FROM documents")
