@@ -57,12 +57,13 @@ def chunk_oversize(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "chunk_index", F.md5("text").alias("chunk_md5"))
 
 
-_BOUNDARIES = f"""WITH s AS (SELECT doc_id, unnest({_SENTENCES}) AS part, unnest(range(0, len({_SENTENCES}))) AS i FROM documents),
+_CUTS = f"""s AS (SELECT doc_id, unnest({_SENTENCES}) AS part, unnest(range(0, len({_SENTENCES}))) AS i FROM documents),
 t AS (SELECT doc_id, i, token, count(*)::DOUBLE AS n FROM (SELECT doc_id, i, unnest({token_list("part")}) AS token FROM s) GROUP BY 1, 2, 3),
 size AS (SELECT doc_id, i, sqrt(sum(n * n)) AS size FROM t GROUP BY 1, 2),
 dot AS (SELECT b.doc_id, b.i, sum(a.n * b.n) AS dot FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.token = b.token AND b.i = a.i + 1 GROUP BY 1, 2),
 c AS (SELECT s.doc_id, s.i FROM s LEFT JOIN dot USING (doc_id, i) LEFT JOIN size y USING (doc_id, i) LEFT JOIN size x ON x.doc_id = s.doc_id AND x.i = s.i - 1
-WHERE s.i > 0 AND CASE WHEN coalesce(x.size, 0) * coalesce(y.size, 0) > 0 THEN coalesce(dot, 0) / (x.size * y.size) ELSE 0 END < 0.5)
+WHERE s.i > 0 AND CASE WHEN coalesce(x.size, 0) * coalesce(y.size, 0) > 0 THEN coalesce(dot, 0) / (x.size * y.size) ELSE 0 END < 0.5)"""
+_BOUNDARIES = f"""WITH {_CUTS}
 SELECT doc_id, coalesce(string_agg(i, ',' ORDER BY i), '') AS cuts FROM documents LEFT JOIN c USING (doc_id) GROUP BY doc_id"""
 
 
@@ -73,7 +74,23 @@ def semantic_boundaries(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(C.boundaries(F.col("parts")).cast("array<string>"), ",").alias("cuts"))
 
 
-@query()
+_SEMANTIC = f"""WITH RECURSIVE {_CUTS},
+p AS (SELECT doc_id, list(part ORDER BY i) AS parts FROM s GROUP BY 1),
+k AS (SELECT doc_id, parts, coalesce(cuts, []) AS cuts FROM p LEFT JOIN (SELECT doc_id, list(i ORDER BY i) AS cuts FROM c GROUP BY 1) USING (doc_id)),
+g AS (SELECT doc_id, list_transform(range(0, len(cuts) + 1), lambda j: array_to_string(parts[CASE WHEN j = 0 THEN 1 ELSE cuts[j] + 1 END:CASE WHEN j = len(cuts) THEN len(parts) ELSE cuts[j + 1] END], ' ')) AS segs FROM k WHERE len(parts) > 1),
+fold AS (SELECT doc_id, segs, 0 AS i, []::VARCHAR[] AS done FROM g UNION ALL SELECT doc_id, segs, i + 1,
+CASE WHEN len(done) > 0 AND length(segs[i + 1]) < 200 AND length(done[-1]) + 1 + length(segs[i + 1]) <= 1500 THEN list_append(done[1:len(done) - 1], done[-1] || ' ' || segs[i + 1]) ELSE list_append(done, segs[i + 1]) END FROM fold WHERE i < len(segs) - 1),
+u AS (SELECT doc_id, unnest(range(0, len(done) + 1)) AS k, unnest(list_append(done, segs[-1])) AS text FROM fold WHERE i = len(segs) - 1),
+w AS (SELECT doc_id, k, list_filter(regexp_split_to_array(text, '{_SPACES}'), lambda x: x <> '') AS ws FROM u WHERE length(text) > 1500),
+e AS (SELECT doc_id, k, i, sum(length(word) + 1) OVER (PARTITION BY doc_id, k ORDER BY i) AS upto, length(word) AS n FROM (SELECT doc_id, k, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+hop AS (SELECT a.doc_id, a.k, a.i, greatest(coalesce(b.i, 1000000000), a.i + 1) AS nxt FROM e a ASOF LEFT JOIN e b ON a.doc_id = b.doc_id AND a.k = b.k AND a.upto - a.n - 1 + 1500 < b.upto),
+walk AS (SELECT doc_id, k, 1::BIGINT AS i FROM w UNION ALL SELECT walk.doc_id, walk.k, nxt FROM walk JOIN hop USING (doc_id, k, i) WHERE nxt < 1000000000),
+x AS (SELECT doc_id, k, 0 AS i, text FROM u WHERE length(text) <= 1500 UNION ALL SELECT doc_id, k, i, array_to_string(ws[i:nxt - 1], ' ') FROM walk JOIN hop USING (doc_id, k, i) JOIN w USING (doc_id, k)
+UNION ALL SELECT doc_id, 0, 0, parts[1] FROM p WHERE len(parts) = 1)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1)::INT AS chunk_index, length(text)::INT AS size, md5(text) AS chunk_md5 FROM x"""
+
+
+@query(_SEMANTIC)
 def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
     chunks = C.chunk(_texts(spark, d))
     return chunks.select("doc_id", "chunk_index", F.length("text").alias("size"), F.md5("text").alias("chunk_md5"))
