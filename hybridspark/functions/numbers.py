@@ -43,6 +43,16 @@ def in_minutes(as_of: Column, minutes: int) -> Column:
     return as_of.cast("timestamp") + F.make_dt_interval(mins=F.lit(minutes))
 
 
+def iso_time(moment: Column) -> Column:
+    """A time as text, to the second, in the session's time zone."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def from_iso(text: Column) -> Column:
+    """The time that a text names, with or without a time of day; null for what isn't one."""
+    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
+
+
 def key_count(entries: Column) -> Column:
     """How many keys a map has; 0 for none and null."""
     return F.when(entries.isNull(), 0).otherwise(F.size(F.map_keys(entries)))

@@ -124,6 +124,15 @@ def with_column_if_missing(df: DataFrame, name: str, kind: str, default: object
     return df if name in df.columns else df.withColumn(name, F.lit(default).cast(kind))
 
 
+def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
+    """df with a default in place of each null, and of each column that it lacks; an empty list is one of texts."""
+
+    def value(v: object) -> Column:
+        return F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, list) else F.lit(v)
+
+    return df.withColumns({c: F.coalesce(F.col(c), value(v)) if c in df.columns else value(v) for c, v in defaults.items()})
+
+
 def by_status(df: DataFrame, status: str, shown: list[str]) -> DataFrame:
     """How many rows each shown status has, 0 included, in the given order."""
     dim = df.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, shown))).alias("position", "status"))

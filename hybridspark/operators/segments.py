@@ -63,7 +63,7 @@ class SegmentedIndex:
     def _written(self, s: Manifest, docs: DataFrame) -> Manifest:
         """A segment of docs (doc, document, dl, terms, bucket)."""
         path = self.log.new_part()
-        docs.write.partitionBy("bucket").parquet(f"{path}/docs")
+        docs.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/docs")
         segment = {"path": path}
         own = self._docs(s, segment)
         each = own.select("doc", "dl", F.explode("terms").alias("t")).select("doc", "t.token", "t.tf", "dl", F.pmod(F.xxhash64("t.token"), F.lit(s["slots"])).cast("int").alias("slot"))
@@ -158,7 +158,7 @@ class SegmentedIndex:
         counts = spark.createDataFrame([], "token string, df long") if s["vocabulary"] is None else self._table(s["vocabulary"], "token string, df long")
         raw = _raw(s["n"])
         vocabulary = counts.select("token", "df", F.when(raw < 0, F.lit(s["floor"])).otherwise(raw).alias("idf"))
-        stats = spark.range(1).select(F.lit(s["n"]).alias("n"), F.lit(s["total"] / s["n"] if s["n"] else None).cast("double").alias("avgdl"))
+        stats = spark.range(1).select(F.lit(s["n"]).cast("long").alias("n"), F.lit(s["total"] / s["n"] if s["n"] else None).cast("double").alias("avgdl"))
         return Bm25Index(postings, vocabulary, stats)
 
     def search(self, queries: DataFrame, rows: DataFrame | None = None, top_k: int = 20, filters: Mapping[str, object] | None = None, query: str = "query", digits: int | None = None) -> DataFrame:

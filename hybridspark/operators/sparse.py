@@ -105,14 +105,15 @@ def bm25_search(index: Bm25Index, chunks: DataFrame | None, queries: DataFrame,
 def fetched(scored: DataFrame, rows: DataFrame | None, key: str, filters: Mapping[str, object] | None, top_k: int) -> DataFrame:
     """(query_id, rank, score, *columns of rows) of scored (query_id, key, score): the best of each query.
 
-    Only keys and the columns of the filters meet the scores; texts and all else are fetched for what is left."""
+    Only keys and the columns of the filters meet the scores, and only if there are filters, as scores are of rows; texts
+    and all else are fetched for what is left."""
     if rows is None:
         if filters:
             raise ValueError("filters need the rows whose columns they name")
         return top_per_query(scored, top_k, F.desc("score"), F.col(key)).select("query_id", "rank", "score", key)
     rows = rows.drop("score", "query_id", "rank")
-    allowed = rows.where(metadata_test(filters or {})).select(key)
-    best = top_per_query(scored.join(allowed, key), top_k, F.desc("score"), F.col(key))
+    allowed = scored.join(rows.where(metadata_test(filters)).select(key), key) if filters else scored
+    best = top_per_query(allowed, top_k, F.desc("score"), F.col(key))
     return best.select("query_id", "rank", "score", key).join(rows.where(metadata_test(filters or {})), key) if set(rows.columns) - {key} else best
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, entities, listings, retrieval  # noqa: F401  they register themselves
+from . import documents, entities, listings, retrieval, values  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES
 from .retrieval import flagship
 

@@ -35,6 +35,9 @@ c AS (SELECT doc_id, list_append(done, array_to_string(now, ' ')) AS cs FROM fol
 SELECT doc_id, (unnest(range(0, len(cs))))::INT AS chunk_index, md5(unnest(cs)) AS chunk_md5 FROM c"""
 
 
+FIXED_SQL, STRIP_SQL = _FIXED, _STRIP
+
+
 @query(_FIXED)
 def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
     chunks = C.chunk(_texts(spark, d), "fixed")

@@ -36,3 +36,11 @@ REFERENCES = [
     ("sections", "proposal_id", "proposals", True),
     ("sections", "assigned_to", "users", False),
 ]
+#: What a new row of a table has where nothing is given.
+DEFAULTS = {
+    "tenders": {"status": "draft", "tags": [], "metadata_json": "{}"},
+    "requirements": {"priority": "medium", "compliance_status": "not_addressed"},
+    "proposals": {"status": "draft", "version": 1},
+    "sections": {"content": "{}", "order": 0, "status": "todo"},
+    "content_blocks": {"tags": [], "usage_count": 0, "quality_rating": 0.0},
+}
