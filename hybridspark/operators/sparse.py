@@ -53,9 +53,7 @@ def build_bm25(chunks: DataFrame, key: str = "doc_id", text: str = "text", epsil
     vocabulary = raw.join(F.broadcast(floor)).select("token", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     size = raw.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("size"))
     stats = n.join(F.broadcast(size)).select("n", F.when(F.col("n") > 0, F.col("size") / F.col("n")).alias("avgdl"))
-    stored(stats.coalesce(1), f"{folder}/stats")
-    stored(vocabulary, f"{folder}/vocabulary")
-    return read_bm25(chunks.sparkSession, folder)
+    return Bm25Index(postings, stored(vocabulary, f"{folder}/vocabulary"), stored(stats.coalesce(1), f"{folder}/stats"))
 
 
 def read_bm25(spark: SparkSession, folder: str) -> Bm25Index:
