@@ -15,6 +15,7 @@ shard would grow with the corpus.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,17 +32,12 @@ WINDOW, GRAM = 35, 8
 HOT = 4000
 #: Anchors that may have a larger share of the repeated pieces than one over this.
 _HOT_ANCHORS = 1000
-#: Words that a worker remembers; words of a text that are looked at together.
-_CACHE, _BLOCK = 1_000_000, 1 << 18
+#: Bytes of text that are looked at together, and windows.
+_BLOCK = 1 << 19
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word) - (1 << 63)
-        return h
+_SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Lower bits of a gram's hash that give way to its place.
+_PLACE = np.uint64((1 << 20) - 1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -49,52 +45,93 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _rolling(h: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
-    """A hash of each run of k values."""
-    n = len(h) - k + 1
-    out = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        out = out * base + h[j : j + n]
-    return _mixed(out)
+_BYTES = _mixed(_mixed(np.arange(1, 257, dtype=np.uint64) * _B1))
+
+
+def _made(n: int) -> tuple[np.ndarray, np.ndarray]:
+    inverse = np.uint64(pow(int(_B1), -1, 1 << 64))
+    return tuple(np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(n, x)])) for x in (_B1, inverse))
+
+
+_kept = lru_cache(maxsize=4)(_made)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0 to n, at least, of a base modulo 2^64, and of its inverse."""
+    return _kept(1 << max(10, n.bit_length())) if n <= 2 * _BLOCK else _made(n)
+
+
+def _runs(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run of values from first to before end: the difference of two prefix sums of value times power,
+    over the power at its start."""
+    power, back = _powers(len(values))
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * power[: len(values)], out=sums[1:])
+    return _mixed((sums[end] - sums[first]) * back[first])
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of texts, bytes one after the other, and how many words begin before each of starts."""
+    space = _SPACES[data]
+    before, after = np.empty_like(space), np.empty_like(space)
+    before[1:], after[:-1] = space[:-1], space[1:]
+    inner = starts[starts < len(data)]
+    before[inner] = True
+    after[inner[inner > 0] - 1] = True
+    after[-1:] = True
+    begins, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+    out = np.empty(len(begins), dtype=np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(begins, np.arange(0, len(data), _BLOCK)), len(begins)))
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        at = begins[i]
+        out[i:j] = _runs(_BYTES[data[at : ends[j - 1]]], begins[i:j] - at, ends[i:j] - at)
+    return out, np.searchsorted(begins, starts)
 
 
-def pieces_of(words: list[bytes], hashes: dict[bytes, int], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each piece: its anchor, a signature of its words and of its anchor's place, its first window and its windows."""
-    n = len(words)
-    if n < window:
+def pieces_of(h: np.ndarray, bounds: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each piece: its anchor, a signature of its words and of its anchor's place, its text, its first window there
+    and its windows. h: hashes of words; those of text i are from bounds[i] to before bounds[i + 1]."""
+    n = len(h)
+    end = np.repeat(bounds[1:], np.diff(bounds))[: max(0, n - window + 1)]
+    start = np.flatnonzero(np.arange(len(end)) + window <= end)
+    if not len(start):
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.int64, count=n).view(np.uint64)
-    grams = _rolling(h, gram, _B1)
+        return none, none, none, none, none
+    h = _mixed(h)
+    grams = _runs(h, np.arange(n - gram + 1), np.arange(gram, n + 1))
     span = window - gram + 1
-    at = np.concatenate([i + np.argmin(np.lib.stride_tricks.sliding_window_view(grams[i : i + _BLOCK + span - 1], span), axis=1) + np.arange(min(_BLOCK, n - window + 1 - i)) for i in range(0, n - window + 1, _BLOCK)])
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    count = np.diff(np.append(first, len(at)))
-    # prefix sums of value times power: the difference of two, over the power at its start, is a run's hash
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(n, _B1)]))
-        inverse = np.uint64(pow(int(_B1), -1, 1 << 64))
-        back = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(n, inverse)]))
-        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mixed(h) * power[:n])])
-        run = (sums[first + count + window - 1] - sums[first]) * back[first]
-        sig = _mixed(run * _B2 + (count * 64 + at[first] - first).astype(np.uint64))
-    return grams[at[first]].view(np.int64), sig.view(np.int64), first.astype(np.int64), count.astype(np.int64)
+    at = np.empty(len(end), dtype=np.int64)
+    for i in range(0, len(end), _BLOCK):
+        # the least by the upper bits of the hash, then by place: both depend on a window's words alone
+        low = grams[i : i + _BLOCK + span - 1] & ~_PLACE | np.arange(min(_BLOCK + span - 1, len(grams) - i), dtype=np.uint64)
+        m, k = len(low) - span + 1, 1
+        while 2 * k <= span:
+            low, k = np.minimum(low[:-k], low[k:]), 2 * k
+        at[i : i + m] = (np.minimum(low[:m], low[span - k : span - k + m]) & _PLACE).astype(np.int64) + i
+    at = at[start]
+    edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    first, at, count = start[edge], at[edge], np.diff(np.append(edge, len(start)))
+    sig = _mixed(_runs(h, first, first + count + window - 1) * _B2 + (count * 64 + at - first).astype(np.uint64))
+    text = np.searchsorted(bounds, first, side="right") - 1
+    return grams[at].view(np.int64), sig.view(np.int64), text, first - bounds[text], count
 
 
 def _pieces(texts: DataFrame, window: int) -> DataFrame:
     """(anchor, sig, t1, t2, n, place) of texts (t1, t2, n, text); place: 64 times the first window plus the windows, less 1."""
 
     def run(batches):
-        hashes = _Hashes()
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], []]
-            for i, text in enumerate(batch.column("text")):
-                anchor, sig, first, count = pieces_of(text.as_py().encode().split(), hashes, window)
-                for c, x in zip(cols, (anchor, sig, first * 64 + count - 1, np.full(len(anchor), i)), strict=True):
-                    c.append(x)
-            anchor, sig, place, row = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in cols)
-            own = {k: batch.column(k).to_numpy()[row] for k in ("t1", "t2", "n")}
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, sig, own["t1"], own["t2"], own["n"], place)], names=["anchor", "sig", "t1", "t2", "n", "place"])
+            column = batch.column("text").cast(pa.large_string())
+            _, offsets, data = column.buffers()
+            offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+            data = np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, dtype=np.uint8)
+            # whole texts, up to a block of bytes and the text that exceeds it
+            groups = np.unique(np.append(np.searchsorted(offsets, np.arange(offsets[0], offsets[-1], _BLOCK)), len(column)))
+            for i, j in zip(groups[:-1], groups[1:], strict=True):
+                words, bounds = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                anchor, sig, text, first, count = pieces_of(words, bounds, window)
+                own = (batch.column(c).to_numpy()[i + text] for c in ("t1", "t2", "n"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, sig, *own, first * 64 + count - 1)], names=["anchor", "sig", "t1", "t2", "n", "place"])
 
     return texts.select("t1", "t2", "n", "text").mapInArrow(run, "anchor long, sig long, t1 long, t2 long, n long, place long")
 

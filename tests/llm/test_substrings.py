@@ -2,12 +2,13 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hybridspark.llm import substrings as M
 
-from .conftest import prose
+from .conftest import agrees_with_sql, prose
 
 
 def brute(texts, window=35):
@@ -69,3 +70,30 @@ def test_edges(docs, rows, none):
     assert got.where("t1 <> 'x' or size <> 'x'").count() == 0
     want = Counter((a, b, hashlib.sha256(c.encode()).hexdigest()) for a, b, c in brute([t for _, t, *_ in rows]))
     assert Counter((r.n_words, r.n_removed, r.h) for r in got.select("n_words", "n_removed", F.sha2("text", 256).alias("h")).collect()) == want
+
+
+def test_words_and_pieces(monkeypatch):
+    """Words of texts laid end to end are those of each text; equal windows have equal anchors and lie in one piece."""
+    rng = random.Random(1)
+    pad = lambda: " \t" * rng.randrange(2)
+    texts = ["", " ", "a", *(pad() + " ".join(rng.choice("ab") * rng.randrange(1, 4) for _ in range(rng.randrange(90))) + pad() for _ in range(60)), "", "x y é"]
+    texts = [t.encode() for t in texts]
+    data, starts = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    for block in (M._BLOCK, 7):
+        monkeypatch.setattr(M, "_BLOCK", block)
+        h, bounds = M.word_hashes(data, starts)
+        words = [w for t in texts for w in t.split()]
+        assert list(np.diff(bounds)) == [len(t.split()) for t in texts]
+        assert len(set(zip(words, h.tolist(), strict=True))) == len(set(words)) == len(set(h.tolist()))
+        covered, anchors, sigs = [], {}, {}
+        for anchor, sig, text, first, n in zip(*(x.tolist() for x in M.pieces_of(h, bounds, 12, 4)), strict=True):
+            w = texts[text].split()
+            assert sigs.setdefault(sig, w[first : first + n + 11]) == w[first : first + n + 11]
+            for i in range(first, first + n):
+                covered.append((text, i))
+                assert anchors.setdefault(tuple(w[i : i + 12]), anchor) == anchor
+        assert covered == [(t, i) for t, x in enumerate(texts) for i in range(len(x.split()) - 11)]
+
+
+def test_agrees_with_sql(spark):
+    agrees_with_sql(spark, M.op4_suffix_automaton_dedup, M.OP4_SQL)

@@ -5,6 +5,8 @@ import pytest
 from hybridspark.llm import warc as M
 from hybridspark.llm.common import shared_dir
 
+from .conftest import agrees_with_sql
+
 
 def test_members_and_framing():
     data = [M.record(1, "http://a/ \n", b"x" * 5000), M.record(2, None, b"x" * 5000, 1), M.record(None, None, b"")]
@@ -44,3 +46,7 @@ def test_empty_table(spark):
     folder = shared_dir(spark)
     archives = M.write(spark.createDataFrame([], "page_id long, url string, html string"), folder)
     assert M.read_back(archives, folder).count() == 0
+
+
+def test_agrees_with_sql(spark):
+    agrees_with_sql(spark, M.op10_warc_round_trip, M.OP10_SQL)
