@@ -62,3 +62,17 @@ def test_edges(docs, none, rows):
     assert M.predict(none, profiles).count() == 0
     assert M.learn(none) == {}
     assert {r.lang_pred for r in M.predict(docs, {}).collect()} == {"und"}
+
+
+def test_judge_agrees_with_counting():
+    rng = random.Random(11)
+    top = 60
+    profiles = {lang: best(counted([text(rng, lang, 40)]), top) for lang in SOUNDS} | {"short": best(counted(["ab"]), top)}
+    judge = M.Judge(profiles, top)
+    for t in [text(rng, lang, rng.randrange(1, 40)) for lang in sorted(SOUNDS) * 10] + ["a", "zzz qqq", "the и и"]:
+        mine = best(counted([t]), top)
+        apart = {lang: sum(abs(p.index(g) - i) if g in p else top for i, g in enumerate(mine)) for lang, p in profiles.items()}
+        least = min(sorted(apart), key=apart.__getitem__)
+        lang, score = judge.judge(t)
+        assert lang == least and abs(score - (1 - apart[least] / (top * len(mine)))) < 1e-12
+    assert judge.judge("123 !") == judge.judge(None) == M.Judge({}).judge("abc") == (M.UNKNOWN, 0.0)

@@ -57,3 +57,27 @@ def test_query_over_a_table(spark, rows, tmp_path):
         assert (got[a[0]].n_chars, got[a[0]].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert len(got[a[0]].fingerprint) == 256 and 0 <= got[a[0]].near_edited <= 1
     assert got[5].fingerprint == got[6].fingerprint
+
+
+def plain_likeness(a, b):
+    same = sum(x == y for x, y in zip(a, b, strict=True)) / 256
+    return max(0.0, (same - 1 / 16) / (1 - 1 / 16))
+
+
+def test_query_with_null_and_repeated_ids(spark, rows, tmp_path):
+    """Every row comes back once; rows without an id have no next one; equal ids follow one another in some order."""
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = M.op1_minhash_fingerprints(spark, str(tmp_path)).collect()
+    prints = spark.createDataFrame([(r[1],) for r in rows], "t string").distinct().select("t", M.as_string(M.sketch(F.col("t"))).alias("f")).collect()
+    prints = {r.t or "": r.f for r in prints}
+    edits = lambda t, n: hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()
+    want = lambda i, t, n: (i, len(t), prints[t], edits(t, n or ""), 0.0 if n is None else round(plain_likeness(prints[t], prints[n]), 9))
+    have = sorted((r.doc_id, r.n_chars, r.fingerprint, r.edited_sha256, round(r.near_next, 9)) for r in got if r.doc_id is not None)
+    known = sorted(((r[0], r[1] or "") for r in rows if r[0] is not None), key=lambda r: r[0])
+    at = [i for i, r in enumerate(known) if r[0] == 7]
+    assert len(at) == 2
+    orders = [known, [*known[: at[0]], known[at[1]], known[at[0]], *known[at[1] + 1 :]]]
+    assert have in [sorted(want(a[0], a[1], b[1]) for a, b in zip(o, o[1:] + o[:1], strict=True)) for o in orders]
+    lost = sorted((r.doc_id, r.n_chars, r.fingerprint, r.edited_sha256, r.near_next) for r in got if r.doc_id is None)
+    assert lost == sorted(want(None, r[1] or "", None) for r in rows if r[0] is None)
+    assert all(abs(r.near_edited - plain_likeness(r.fingerprint, r.edited_fingerprint)) < 1e-9 for r in got)

@@ -4,6 +4,8 @@ import zlib
 
 from hybridspark.llm import sharding as M
 
+from .conftest import CLASHES
+
 
 def capacity(sizes, shards):
     def fits(c):
@@ -56,3 +58,11 @@ def test_placement(docs, rows, none):
         h = hashlib.md5((t or "").encode()).hexdigest()
         group[h] = group.get(h, 0) + len((t or "").encode()) + 16
     assert max(sizes.values()) == capacity([group[h] for h in sorted(group)], 8)
+
+
+def test_clashing_columns_come_through(docs, rows):
+    got = M.shard(docs, 8)
+    own = {"size", "text_crc32", "shard", "slot"}
+    assert len(got.columns) == len(set(got.columns)) and set(got.columns) == set(docs.columns) - {"text"} | own
+    others = [c for c in CLASHES if c not in own]
+    assert [tuple(r) for r in got.select(*others).distinct().collect()] == [("x",) * len(others)] and dict(got.dtypes)["shard"] != "string"
