@@ -44,7 +44,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With [SECRET] in place of each span that looks live; widely copied examples stay. n_chars follows the new text."""
+    """With [SECRET] in place of each span that looks live; widely copied examples stay. n_chars follows the new text.
+
+    Every row stays: null and empty texts have no spans and come through as they are, with their n_chars; repeated rows
+    are all rewritten; a null doc_id is matched like any other; null sources are one owner. An empty table stays empty."""
     spans = secrets.scan(docs).where(F.exists("spans", lambda s: s["live"])).dropDuplicates(["key", "sha"])
     spans = spans.select(F.col("key").alias("doc_id"), "sha", F.filter("spans", lambda s: s["live"]).alias("spans"))
     found = docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256)).alias("d").join(spans.alias("s"), _same("d", "s", "doc_id", "sha"), "left").select("d.*", "s.spans")
@@ -60,7 +63,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it: some not at all, some up to three times."""
+    """Each document as often as the mix of sources takes it: some not at all, some up to three times.
+
+    A null source is a source of its own. Null, empty and blank texts have no words, so no copy of them moves a source
+    towards its target. Rows alike in doc_id, source and text are counted one by one and come out as often as all of them
+    together are taken. An empty table stays empty."""
     mixed = mixing.mix(docs.select("doc_id", "text", "source")).where("copies > 0")
     taken = mixed.groupBy("doc_id", "source", "tie").agg(F.sum("copies").cast("int").alias("copies"))
     # repeated rows once, as mix() has counted each of them
@@ -70,7 +77,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, and whether decoding the ids gives the text again."""
+    """doc_id, lang, source, n_tokens, ids, and whether decoding the ids gives the text again.
+
+    A row for each row of docs, repeated ones included. Null counts as empty: no ids, and the round trip holds. An empty
+    table stays empty."""
     import public_tokenizers as public
 
     ranks = public.path("byte_bpe_multi_50k.tiktoken")
