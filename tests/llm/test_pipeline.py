@@ -55,3 +55,18 @@ def test_near_copies_go_in_a_family_with_a_shared_passage(spark):
 def test_empty_tables(spark, none):
     for _, stage in P.STAGES:
         assert stage(spark, none, "").count() == 0
+
+
+def test_last_stages_on_rows_as_they_are(spark, rows):
+    """Nulls, blanks and repeated rows that earlier stages would have taken away."""
+    short = [r for r in rows if len(r[1] or "") < 3000]
+    assert Counter(r[0] for r in short)[7] == 2
+    docs = spark.createDataFrame(short, SCHEMA).repartition(2)
+    plain = lambda rs: Counter(tuple(r) for r in rs)
+    assert plain(P.secret_scan(spark, docs, "").collect()) == plain(short)
+    mixed = plain(P.source_mix(spark, docs, "").select("doc_id", "text", "source").collect())
+    given = plain((r[0], r[1], r[3]) for r in short)
+    assert mixed and all(n <= 3 * given[r] for r, n in mixed.items()) and {r[2] for r in mixed} == {r[2] for r in given if r[1] and r[1].strip()}
+    coded = P.tokens(spark, docs, "").collect()
+    assert Counter(r.doc_id for r in coded) == Counter(r[0] for r in short) and all(r.round_trip and len(r.ids) == r.n_tokens for r in coded)
+    assert all((r.n_tokens == 0) == (not texts[r.doc_id]) for texts in [{r[0]: r[1] for r in short}] for r in coded if r.doc_id is not None)
