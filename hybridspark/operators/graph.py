@@ -7,6 +7,7 @@ certification, category (name), requirement (id, text, category, priority). Edge
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from hybridspark.functions.text import contains_folded, json_span
 from hybridspark.operators.relational import upsert_latest
 from hybridspark.operators.sparse import top_per_query
 from hybridspark.operators.substring import Trigrams, build_trigrams, substring_matches
+from hybridspark.sources.store import stored
 
 PROJECT_SCORE, MEMBER_SCORE, TOP_K = 1.0, 0.9, 10
 
@@ -95,15 +97,25 @@ def _relations(kind: str, targets: Column, role: bool = False) -> Column:
     return F.transform(kept, lambda x: F.struct(F.lit(kind).alias("type"), target(x).alias("target"), (x["role"] if role else F.lit(None).cast("string")).alias("role")))
 
 
-def _pairs(edges: DataFrame, kind: str, by: str, other: str, names: DataFrame, into: str) -> DataFrame:
+def _near(edges: DataFrame, hits: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(__id, __other, type, role): the hits' edges of these kinds, each kind by its given end.
+
+    Written, so that what is joined to them is planned by their size and not by that of the whole graph: then the few
+    edges of the hits are what Spark broadcasts, never the names of all nodes."""
+    ids = hits.select(F.col("id").alias("__id"))
+    ends = lambda by: (F.col(by).alias("__id"), F.col("dst" if by == "src" else "src").alias("__other"))
+    parts = [edges.where(F.col("type") == kind).select(*ends(by), "type", "role").join(ids, "__id", "left_semi") for kind, by in kinds.items()]
+    return stored(reduce(DataFrame.unionByName, parts))
+
+
+def _pairs(near: DataFrame, kind: str, names: DataFrame, into: str) -> DataFrame:
     """For each node the set of its neighbours' (name, role)."""
-    e = edges.where(F.col("type") == kind).select(F.col(by).alias("__id"), F.col(other).alias("__other"), "role")
     n = names.select(F.col("id").alias("__other"), "name")
-    return e.join(n, "__other").groupBy("__id").agg(F.array_sort(F.collect_set(F.struct("name", "role"))).alias(into))
+    return near.where(F.col("type") == kind).join(n, "__other").groupBy("__id").agg(F.array_sort(F.collect_set(F.struct("name", "role"))).alias(into))
 
 
-def _names(edges: DataFrame, kind: str, into: str) -> DataFrame:
-    return edges.where(F.col("type") == kind).groupBy(F.col("src").alias("__id")).agg(F.array_sort(F.collect_set("dst")).alias(into))
+def _names(near: DataFrame, kind: str, into: str) -> DataFrame:
+    return near.where(F.col("type") == kind).groupBy("__id").agg(F.array_sort(F.collect_set("__other")).alias(into))
 
 
 def _lines(*lines: Column) -> Column:
@@ -111,9 +123,9 @@ def _lines(*lines: Column) -> Column:
 
 
 def _matching(nodes: DataFrame, queries: DataFrame, test: Column, fields: Column, index: Trigrams | None, top_k: int) -> DataFrame:
-    """Nodes that a query occurs in, top_k of each query by id; the nodes' neighbours are fetched after this cut."""
+    """Nodes that a query occurs in, top_k of each query by id, written; the nodes' neighbours are fetched after this cut."""
     found = substring_matches(nodes, queries, test, "id", fields, index)
-    return top_per_query(found, top_k, F.col("id")).drop("rank")
+    return stored(top_per_query(found, top_k, F.col("id")).drop("rank"))
 
 
 _PROJECT_TEXTS, _MEMBER_TEXTS = ("name", "description", "category"), ("name", "title")
@@ -139,11 +151,12 @@ def search_projects(graph: Graph, queries: DataFrame, top_k: int = TOP_K) -> Dat
     """Projects whose name, description or category contains the whole query, as text with their relationships.
 
     Each relation is gathered by node before the join, so relations don't multiply. A project with two clients
-    gives one result for each."""
+    gives one result for each. What is found and its edges are written when this is called."""
     q = F.col("query")
     hits = _matching(graph.projects, queries, contains_folded(F.col("name"), q) | contains_folded(F.col("description"), q) | contains_folded(F.col("category"), q), _project_fields(), graph.project_grams, top_k)
-    clients = graph.edges.where("type = 'FOR_CLIENT'").select(F.col("src").alias("__id"), F.col("dst").alias("client"))
-    team, certs = _pairs(graph.edges, "DELIVERED", "dst", "src", graph.members, "team"), _names(graph.edges, "REQUIRES_CERT", "certs")
+    near = _near(graph.edges, hits, {"FOR_CLIENT": "src", "DELIVERED": "dst", "REQUIRES_CERT": "src"})
+    clients = near.where("type = 'FOR_CLIENT'").select("__id", F.col("__other").alias("client"))
+    team, certs = _pairs(near, "DELIVERED", graph.members, "team"), _names(near, "REQUIRES_CERT", "certs")
     rows = hits.withColumn("__id", F.col("id")).join(clients, "__id", "left").join(team, "__id", "left").join(certs, "__id", "left")
     people = F.coalesce("team", F.array().cast("array<struct<name:string,role:string>>"))
     names = F.coalesce("certs", F.array().cast("array<string>"))
@@ -165,7 +178,8 @@ def search_members(graph: Graph, queries: DataFrame, top_k: int = TOP_K) -> Data
     q = F.col("query")
     skilled = F.exists(F.coalesce("skills", F.array().cast("array<string>")), lambda s: F.coalesce(contains_folded(s, q), F.lit(False)))
     hits = _matching(graph.members, queries, F.coalesce(contains_folded(F.col("name"), q), F.lit(False)) | F.coalesce(contains_folded(F.col("title"), q), F.lit(False)) | skilled, _member_fields(), graph.member_grams, top_k)
-    certs, projects = _names(graph.edges, "HOLDS", "certs"), _pairs(graph.edges, "DELIVERED", "src", "dst", graph.projects, "projects")
+    near = _near(graph.edges, hits, {"HOLDS": "src", "DELIVERED": "src"})
+    certs, projects = _names(near, "HOLDS", "certs"), _pairs(near, "DELIVERED", graph.projects, "projects")
     rows = hits.withColumn("__id", F.col("id")).join(certs, "__id", "left").join(projects, "__id", "left")
     done = F.coalesce("projects", F.array().cast("array<struct<name:string,role:string>>"))
     names = F.coalesce("certs", F.array().cast("array<string>"))

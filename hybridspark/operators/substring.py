@@ -37,10 +37,13 @@ def trigrams(text: Column) -> Column:
     return once(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), ""), lambda c: c != ""), of)
 
 
+def _grams(fields: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(F.coalesce(fields, F.array().cast("array<string>")), trigrams)))
+
+
 def trigrams_of(rows: DataFrame, key: str, fields: Column) -> Trigrams:
     """The trigrams of an array of texts for each row, worked out when they are asked for."""
-    grams = F.array_distinct(F.flatten(F.transform(F.coalesce(fields, F.array().cast("array<string>")), trigrams)))
-    return Trigrams(rows.select(F.explode(grams).alias("gram"), F.col(key).alias("id")))
+    return Trigrams(rows.select(F.explode(_grams(fields)).alias("gram"), F.col(key).alias("id")))
 
 
 def build_trigrams(rows: DataFrame, key: str, fields: Column) -> Trigrams:
@@ -68,18 +71,23 @@ def candidates(index: Trigrams, asked: DataFrame, ilike: bool = False, rarest: i
 def substring_matches(rows: DataFrame, queries: DataFrame, test: Column, key: str, fields: Column | None = None, index: Trigrams | None = None, ilike: bool = False) -> DataFrame:
     """(query_id, query, *columns of rows) where test holds, an expression of query and rows that implies that a text of fields has the query.
 
-    ilike: queries are patterns, % and _ wildcards. With neither index nor fields every row meets every query."""
+    ilike: queries are patterns, % and _ wildcards. With neither index nor fields every row meets every query. Without
+    an index each row meets the queries whose last trigram it has: rows stay where they are and none is gathered."""
     asked, ok = queries.select("query_id", "query"), F.coalesce(test, F.lit(False))
-    if index is None and fields is not None:
-        index = trigrams_of(rows, key, fields)
     parts = []
-    if index is None:
+    if index is None and fields is None:
         short = asked
     else:
         long = F.exists(F.transform(_literal(F.lower("query"), ilike), lambda p: F.length(p)), lambda n: n >= 3)
-        some = candidates(index, asked.where(long), ilike).join(asked, "query_id")
-        parts.append(some.withColumnRenamed("id", key).join(rows, key).where(ok).select("query_id", "query", *rows.columns))
         short = asked.where(~F.coalesce(long, F.lit(False)))
-    if index is None or not short.isEmpty():
+        if index is None:
+            last = F.try_element_at(F.flatten(F.transform(_literal(F.col("query"), ilike), trigrams)), F.lit(-1))
+            met = rows.withColumn("__gram", F.explode(_grams(fields)))
+            parts += [met.join(F.broadcast(q.withColumn("__gram", last)), "__gram").where(ok).select("query_id", "query", *rows.columns) for q in query_blocks(asked.where(long))]
+        else:
+            some = candidates(index, asked.where(long), ilike).join(asked, "query_id")
+            # no table of rows is broadcast, however well its file is packed
+            parts.append(some.withColumnRenamed("id", key).join(rows.hint("merge"), key).where(ok).select("query_id", "query", *rows.columns))
+    if not parts or not short.isEmpty():
         parts += [rows.join(F.broadcast(q), ok).select("query_id", "query", *rows.columns) for q in query_blocks(short)]
     return reduce(DataFrame.unionByName, parts)

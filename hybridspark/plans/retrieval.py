@@ -271,7 +271,7 @@ def _graph(spark: SparkSession, d: str) -> graph.Graph:
     members = supplier.select(key("s", "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("supplier").alias("title"), F.col("s_nationkey").alias("years_experience"), F.array(F.concat(F.lit("nation"), F.col("s_nationkey").cast("string"))).alias("skills"))
     none = F.lit(None).cast("string").alias("role")
     delivered = lines.groupBy("l_suppkey", "l_partkey").agg(F.min("l_returnflag").alias("role")).select(key("s", "l_suppkey").alias("src"), key("p", "l_partkey").alias("dst"), F.lit("DELIVERED").alias("type"), "role")
-    first = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_partkey").agg(F.min("o_custkey").alias("c_custkey")).join(customer, "c_custkey")
+    first = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_partkey").agg(F.min("o_custkey").alias("c_custkey")).join(customer.hint("merge"), "c_custkey")  # customers are not broadcast
     client = first.select(key("p", "l_partkey").alias("src"), F.col("c_name").alias("dst"), F.lit("FOR_CLIENT").alias("type"), none)
     certs = part.where("p_size % 2 = 0").select(key("p", "p_partkey").alias("src"), F.concat(F.lit("ISO-"), F.col("p_size").cast("string")).alias("dst"), F.lit("REQUIRES_CERT").alias("type"), none)
     return graph.Graph(projects, members, client.unionByName(certs).unionByName(delivered))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from hybridspark.operators import graph as G
 from hybridspark.sources.schemas import PROJECTS
 
@@ -34,3 +36,27 @@ def test_upserts(spark):
     old = spark.createDataFrame([("a", "p", "D", "x"), ("a", "p", "E", None)], schema)
     new = spark.createDataFrame([("a", "p", "D", "y"), ("a", "p", "D", None), ("a", None, "D", "z")], schema)
     assert sorted((r.type, r.role) for r in G.upsert_edges(old, new).collect()) == [("D", "y"), ("E", None)]
+
+
+def test_no_table_of_nodes_is_broadcast(spark, tmp_path):
+    """Names of all nodes stand in a file small enough for a broadcast; what is broadcast is of the size of the hits."""
+    n = 60_000
+    spark.range(n).select(F.concat(F.lit("p"), "id").alias("id"), F.lit("hot bolt").alias("name"), F.lit("Brand#1").alias("description"), F.lit("x").alias("category"), F.lit("1").alias("year")).write.parquet(f"{tmp_path}/p")
+    spark.range(n).select(F.concat(F.lit("m"), "id").alias("id"), F.lit("supplier").alias("name"), F.lit("t").alias("title"), F.lit(1).alias("years_experience"), F.array(F.lit("a")).alias("skills")).write.parquet(f"{tmp_path}/m")
+    spark.range(n).select(F.concat(F.lit("m"), "id").alias("src"), F.concat(F.lit("p"), "id").alias("dst"), F.lit("DELIVERED").alias("type"), F.lit("N").alias("role")).write.parquet(f"{tmp_path}/e")
+    graph = G.Graph(*(spark.read.parquet(f"{tmp_path}/{t}") for t in "pme"))
+    queries = spark.createDataFrame([(1, "brand#1"), (2, "supplier")], "query_id int, query string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for search, want in ((G.search_projects, "Team: supplier (N)"), (G.search_members, "Projects: hot bolt (N)")):
+            found = search(graph, queries)
+            rows = found.collect()
+            assert len(rows) == 10 and all(want in r.text for r in rows)
+            lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+            depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+            for i, line in enumerate(lines):
+                if "BroadcastExchange" in line:
+                    below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+                    assert not any(f"{tmp_path}/{t}]" in x for x in lines[i:below] for t in "pm"), lines[i:below]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
