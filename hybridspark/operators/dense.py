@@ -6,12 +6,14 @@ from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hybridspark.functions.numbers import dot, norm
 from hybridspark.functions.text import query_prefix, tokens
-from hybridspark.operators.sparse import metadata_test, query_blocks, top_per_query
+from hybridspark.operators.sparse import metadata_test, top_per_query
 
 
 def point_id(document: Column, chunk_index: Column) -> Column:
@@ -24,21 +26,143 @@ def index_points(chunks: DataFrame, vector: Column, document: str = "document_id
     return chunks.withColumns({"point_id": point_id(F.col(document), F.col(chunk_index)), "vector": vector})
 
 
+#: Components of the points of a shard, queries of a block (a task holds one of each), products that it holds at a time.
+SHARD, BLOCK, TILE = 4_194_304, 16_384, 4_000_000
+
+
+def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows, added from the first component to the last as dot() does, so that scores are the same."""
+    with np.errstate(all="ignore"):
+        total = np.zeros(np.broadcast_shapes(a.shape, b.shape)[:-1])
+        for j in range(a.shape[-1]):
+            total += a[..., j] * b[..., j]
+    return total
+
+
+def _score(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        return np.where((sizes > 0) | np.isnan(sizes), in_order(a, b) / sizes, 0.0)
+
+
+class _Vectors:
+    """Vectors as rows of a matrix, and their lengths; null, one with a null and one of another size are rows of zeros.
+
+    sound: those of this size, finite, whose length is far from what a double can hold. none: null or with a null."""
+
+    def __init__(self, column: pa.Array, dim: int) -> None:
+        n, sizes = len(column), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        values = column.flatten()  # without what null vectors may hold
+        flat, starts = values.to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(sizes)])
+        self.none = pc.is_null(column).to_numpy(zero_copy_only=False)
+        if values.null_count:
+            gone = np.concatenate([[0], np.cumsum(pc.is_null(values).to_numpy(zero_copy_only=False))])
+            self.none = self.none | (gone[starts[1:]] > gone[starts[:-1]])
+        self.fits = (sizes == dim) & ~self.none
+        self.rows = np.zeros((n, dim))
+        self.rows[self.fits] = flat[np.repeat(self.fits, sizes)].reshape(-1, dim)
+        self.sizes = np.sqrt(in_order(self.rows, self.rows))
+        self.others = {i: flat[starts[i] : starts[i + 1]] for i in np.flatnonzero(~self.fits & ~self.none)}
+        for i, v in self.others.items():
+            self.sizes[i] = np.sqrt(in_order(v, v))
+        self.sound = self.fits & (self.sizes > 1e-100) & (self.sizes < 1e100)
+
+    def against(self, i: int, other: _Vectors, these: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the vector i and these others, of any kind, as the column functions give them, and which are null."""
+        with np.errstate(all="ignore"):
+            sizes = self.sizes[i] * other.sizes[these]
+        none = self.none[i] | other.none[these]
+        score = np.where(none, 0.0, _score(self.rows[i], other.rows[these], sizes))
+        unlike = ~none & ~(self.fits[i] & other.fits[these]) & ((sizes > 0) | np.isnan(sizes))
+        if i in self.others:
+            for t, j in enumerate(these):
+                if j in other.others and len(other.others[j]) == len(self.others[i]):
+                    score[t], unlike[t] = _score(self.others[i], other.others[j], sizes[t]), False
+        return score, unlike
+
+
+def _first(k: int, margin: float, by: np.ndarray, at: np.ndarray, score: np.ndarray, null: np.ndarray) -> np.ndarray:
+    """Which of these can be among the first k of their query: within margin of the k-th, of equal scores the first k."""
+    rank = np.where(null, -np.inf, np.where(np.isnan(score), np.inf, score))
+    order = np.lexsort((at, -rank, by))
+    by, rank = by[order], rank[order]
+    place = np.arange(len(by))
+    fresh = np.ones(len(by), dtype=bool)
+    fresh[1:] = by[1:] != by[:-1]
+    begin = np.maximum.accumulate(np.where(fresh, place, 0))
+    edge = rank[np.minimum(begin + k - 1, len(by) - 1)] if len(by) else rank
+    run = fresh.copy()
+    run[1:] |= rank[1:] != rank[:-1]
+    copies = place - np.maximum.accumulate(np.where(run, place, 0))
+    return order[(copies < k) & ((place - begin < k) | (rank >= edge - margin))]
+
+
+def _nearest(k: int, dim: int, margin: float, key: str):
+    """A shard's points that can be among the first k of each query of a block: rough products in floats choose, exact ones in doubles score."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.take(pc.sort_indices(left, sort_keys=[(key, "ascending")], null_placement="at_start"))
+        p, q = (_Vectors(t["__vector"].combine_chunks(), dim) for t in (left, right))
+        sound, found = np.flatnonzero(p.sound), []
+
+        def add(by: np.ndarray, at: np.ndarray, score: np.ndarray, null: np.ndarray | None = None) -> None:
+            null = np.zeros(len(by), dtype=bool) if null is None else null
+            kept = _first(k, margin, by, at, score, null)
+            found.append((by[kept], at[kept], score[kept], null[kept]))
+
+        whole = np.flatnonzero(q.sound)
+        unit = (p.rows[sound] / p.sizes[sound, None]).astype(np.float32)
+        # twice what products may be off by, as they and the vectors are rounded to floats
+        slack = np.float32(4 * (dim + 8) * 2.0**-24 + margin)
+        step = max(1, TILE // max(1, len(unit)))
+        for lo in range(0, len(whole) if len(unit) else 0, step):
+            these = whole[lo : lo + step]
+            rough = (q.rows[these] / q.sizes[these, None]).astype(np.float32) @ unit.T
+            edge = np.partition(rough, len(unit) - k, axis=1)[:, len(unit) - k] if len(unit) > k else np.full(len(these), -np.inf, dtype=np.float32)
+            i, j = np.nonzero(rough >= (edge - slack)[:, None])
+            i, j = these[i], sound[j]
+            add(i, j, _score(p.rows[j], q.rows[i], p.sizes[j] * q.sizes[i]))
+        # null vectors and those without length have one score with all sound queries, so their first k will do
+        flat = np.flatnonzero(p.none | (p.sizes == 0))[:k]
+        if len(whole) and len(flat):
+            add(np.repeat(whole, len(flat)), np.tile(flat, len(whole)), np.zeros(len(whole) * len(flat)))
+        for j in np.flatnonzero(~p.sound & ~p.none & (p.sizes != 0)) if len(whole) else ():
+            add(whole, np.full(len(whole), j), *p.against(j, q, whole))
+        every = np.arange(len(left))
+        for i in np.flatnonzero(~q.sound):
+            add(np.full(len(every), i), every, *q.against(i, p, every))
+        by, at, score, null = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool))
+        kept = _first(k, margin, by, at, score, null)
+        names = left[key].take(pa.array(at[kept], pa.int64()))
+        return pa.table([right["query_id"].take(pa.array(by[kept], pa.int64())), names, pa.array(score[kept], pa.float64(), mask=null[kept])], names=["query_id", key, "score"])
+
+    return run
+
+
 def dense_search(points: DataFrame, queries: DataFrame, top_k: int = 20, filters: Mapping[str, object] | None = None, key: str = "point_id", vector: str = "vector", digits: int | None = None) -> DataFrame:
     """(query_id, rank, score, *columns of points) of the nearest points of each query (query_id, vector), by cosine.
 
-    Filters come before the search. The query set is counted; larger ones are dealt to blocks and each is broadcast. Each task keeps its best before the shuffle."""
+    Filters come before the search. Points and queries are counted and dealt to shards and blocks of bounded size; a task
+    holds one of each and hands on what can be among a query's first, so that memory is bounded; the products grow as
+    points times queries. A vector that is null, has a null or no length scores 0; of unlike sizes, null."""
     rows = points.where(metadata_test(filters or {}))
-    # the search itself sees keys and vectors alone, with their lengths worked out once
-    near = rows.select(key, F.col(vector).alias("__point"), norm(F.col(vector)).alias("__size"))
-    found = None
-    for part in query_blocks(queries.select("query_id", F.col("vector").alias("__query"), norm(F.col("vector")).alias("__other"))):
-        size = F.col("__size") * F.col("__other")
-        score = F.when(size > 0, dot(F.col("__point"), F.col("__query")) / size).otherwise(0.0)
-        scored = near.crossJoin(F.broadcast(part)).select("query_id", key, (F.round(score, digits) if digits is not None else score).alias("score"))
-        best = top_per_query(scored, top_k, F.desc("score"), F.col(key))
-        found = best if found is None else found.unionByName(best)
-    return found.join(rows.drop("query_id", "rank", "score"), key)
+    as_numbers = lambda df, name: F.col(name) if df.schema[name].dataType.simpleString() == "array<float>" else F.col(name).cast("array<double>")
+    # the search itself sees keys and vectors alone
+    near = rows.select(key, as_numbers(rows, vector).alias("__vector"))
+    asked = queries.select("query_id", as_numbers(queries, "vector").alias("__vector"))
+    shape = near.agg(F.count("*").alias("n"), F.mode(F.size("__vector")).alias("dim")).first()
+    dim, cores = max(1, shape["dim"] or 1), points.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-shape["n"] * dim // SHARD), min(2 * cores, shape["n"] * dim // (SHARD // 16)))
+    blocks = max(1, -(-asked.count() // BLOCK))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    near = near.select(key, "__vector", deal(key, shards).alias("__shard"), every(blocks).alias("__block"))
+    asked = asked.select("query_id", "__vector", deal("query_id", blocks).alias("__block"), every(shards).alias("__shard"))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField(key, rows.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    margin = 10.0**-digits if digits is not None else 0.0
+    scored = near.groupBy("__shard", "__block").cogroup(asked.groupBy("__shard", "__block")).applyInArrow(_nearest(top_k, dim, margin, key), schema)
+    if digits is not None:
+        scored = scored.withColumn("score", F.round("score", digits))
+    return top_per_query(scored, top_k, F.desc("score"), F.col(key)).join(rows.drop("query_id", "rank", "score"), key)
 
 
 def remove_document(points: DataFrame, document_id: object, column: str = "document_id") -> DataFrame:

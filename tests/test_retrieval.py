@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hybridspark.operators import fusion
 from hybridspark.operators.dense import dense_search, hashed_embedding, index_points
 from hybridspark.operators.engine import Corpus, HybridEngine, echo, health, render_prompts
-from hybridspark.operators.sparse import bm25_search, build_bm25, remove_document
+from hybridspark.operators.sparse import bm25_search, build_bm25, remove_document, top_per_query
 
 from .test_text import plain_tokens
 
@@ -73,6 +73,28 @@ def test_dense_search(spark):
     assert len(p.point_id) == 64 and abs(sum(x * x for x in p.vector) - 1) < 1e-6
 
 
+def test_dense_search_agrees_with_the_column_functions(spark, monkeypatch):
+    """Copies, null, short, endless and tiny vectors, over several shards and blocks; no product of all rows in one plan."""
+    from hybridspark.functions.numbers import cosine
+    from hybridspark.operators import dense
+
+    nan, inf, rng = float("nan"), float("inf"), random.Random(3)
+    odd = [None, [0.0, 0.0, 0.0], [1.0, None, 2.0], [nan, 1.0, 1.0], [inf, 1.0, 0.0], [1.0, 2.0], [], [1e-200, 0.0, 0.0], [1e-170, 2e-170, 0.0], [1e160, 1e160, 0.0]]
+    sound = [[rng.choice([-1.0, 0.5, 1.0, 3.0]) for _ in range(3)] for _ in range(150)] + [[1.0, 1.0, 1.0]] * 60
+    schema = "point_id string, vector array<double>"
+    points = spark.createDataFrame([(f"p{i}", v) for i, v in enumerate(odd + sound)], schema)
+    queries = spark.createDataFrame(list(enumerate(odd + sound[:30])), "query_id long, vector array<double>")
+    pairs = points.crossJoin(queries.select("query_id", F.col("vector").alias("v"))).withColumn("score", cosine("vector", "v"))
+    plain = lambda rows: sorted((r.query_id, r["rank"], r.point_id, str(r.score)) for r in rows.collect())
+    monkeypatch.setattr(dense, "SHARD", 120)
+    monkeypatch.setattr(dense, "BLOCK", 16)
+    for digits, k in ((None, 5), (6, 20), (1, 7), (6, 500)):
+        found = dense.dense_search(points, queries, k, digits=digits)
+        want = top_per_query(pairs.withColumn("score", F.round("score", digits)) if digits else pairs, k, F.desc("score"), F.col("point_id"))
+        assert plain(found) == plain(want)
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def ranked(spark, rows):
     return spark.createDataFrame(rows, "query_id int, retriever string, rank int, text string, metadata map<string,string>")
 
