@@ -35,10 +35,43 @@ def term_cosine(a: Column, b: Column) -> Column:
     return cosine(count(x), count(y))
 
 
+def _terms(text: Column) -> Column:
+    """A sentence's distinct tokens with their counts, in order, from where the runs of the sorted tokens begin."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        size = lambda f, k: (F.coalesce(F.get(f, k + 1), F.size(s)) - F.get(f, k)).cast("double")
+        counted = once(first, lambda f: F.transform(f, lambda i, k: F.struct(F.get(s, i).alias("t"), size(f, k).alias("n"))))
+        return F.when(F.size(s) > 0, counted).otherwise(F.array().cast("array<struct<t:string,n:double>>"))
+
+    return once(F.sort_array(tokens(text)), runs)
+
+
+def _terms_cosine(a: Column, b: Column) -> Column:
+    """term_cosine() of two sentences by their terms: equal tokens stand side by side once both lists are sorted as one."""
+    size = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, t: s + t["n"] * t["n"]))
+
+    def shared(both: Column) -> Column:
+        start = F.struct(F.lit("").alias("t"), F.lit(0.0).alias("n"), F.lit(0.0).alias("dot"))
+        step = lambda s, x: F.struct(x["t"].alias("t"), x["n"].alias("n"), F.when(x["t"] == s["t"], s["dot"] + s["n"] * x["n"]).otherwise(s["dot"]).alias("dot"))
+        return F.aggregate(both, start, step, lambda s: s["dot"])
+
+    long = size(a) * size(b)
+    return F.when(long > 0, shared(F.sort_array(F.concat(a, b))) / long).otherwise(0.0)
+
+
 def boundaries(parts: Column, similar: Callable[[Column, Column], Column] = term_cosine, threshold: float = THRESHOLD) -> Column:
-    """Where a sentence is less like the one before than threshold; positions count from 0."""
-    places = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(places, lambda i: similar(F.get(parts, i - 1), F.get(parts, i)) < threshold)
+    """Where a sentence is less like the one before than threshold; positions count from 0.
+
+    For term_cosine each sentence is cut into tokens and counted once, in time that grows with its length (but for sorting)."""
+
+    def cuts(xs: Column, alike: Callable[[Column, Column], Column]) -> Column:
+        places = F.when(F.size(xs) > 1, F.sequence(F.lit(1), F.size(xs) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(places, lambda i: alike(F.get(xs, i - 1), F.get(xs, i)) < threshold)
+
+    if similar is term_cosine:
+        return once(F.transform(parts, _terms), lambda xs: cuts(xs, _terms_cosine))
+    return cuts(parts, similar)
 
 
 def split_oversize(text: Column, max_size: int = MAX_SIZE) -> Column:

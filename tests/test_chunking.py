@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +72,18 @@ def test_boundaries_and_special_texts(spark):
     assert C.chunk(df, "fixed", max_size=40).where("doc_id = 1").count() > 1
     with pytest.raises(ValueError):
         C.chunk(df, "other")
+
+
+def test_term_counts_agree_with_the_pairwise_likeness(spark):
+    """Both ways give the same cuts, and a sentence of a hundred thousand kinds of words is counted in seconds."""
+    rng = random.Random(9)
+    words = ["alpha", "beta", "the", "gamma", "x1", "Alpha", "漢", "-", "d-e"]
+    rows = [(i, [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 9))) for _ in range(rng.randrange(0, 12))]) for i in range(120)] + [(120, None)]
+    df = spark.createDataFrame(rows, "i int, p array<string>")
+    pairwise = lambda a, b: C.term_cosine(a, b)
+    for r in df.select(C.boundaries(F.col("p")).alias("a"), C.boundaries(F.col("p"), pairwise).alias("b")).collect():
+        assert r.a == r.b
+    long = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ").alias("s"))
+    began = time.time()
+    assert long.select(C.boundaries(F.array("s", "s", F.lit("other"))).alias("c")).first().c == [2]
+    assert time.time() - began < 20
