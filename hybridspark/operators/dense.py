@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hybridspark.functions.text import query_prefix, tokens
-from hybridspark.operators.sparse import metadata_test, top_per_query
+from hybridspark.operators.sparse import can_be_first, metadata_test, top_per_query
 
 
 def point_id(document: Column, chunk_index: Column) -> Column:
@@ -80,22 +80,6 @@ class _Vectors:
         return score, unlike
 
 
-def _first(k: int, margin: float, by: np.ndarray, at: np.ndarray, score: np.ndarray, null: np.ndarray) -> np.ndarray:
-    """Which of these can be among the first k of their query: within margin of the k-th, of equal scores the first k."""
-    rank = np.where(null, -np.inf, np.where(np.isnan(score), np.inf, score))
-    order = np.lexsort((at, -rank, by))
-    by, rank = by[order], rank[order]
-    place = np.arange(len(by))
-    fresh = np.ones(len(by), dtype=bool)
-    fresh[1:] = by[1:] != by[:-1]
-    begin = np.maximum.accumulate(np.where(fresh, place, 0))
-    edge = rank[np.minimum(begin + k - 1, len(by) - 1)] if len(by) else rank
-    run = fresh.copy()
-    run[1:] |= rank[1:] != rank[:-1]
-    copies = place - np.maximum.accumulate(np.where(run, place, 0))
-    return order[(copies < k) & ((place - begin < k) | (rank >= edge - margin))]
-
-
 def _nearest(k: int, dim: int, margin: float, key: str):
     """A shard's points that can be among the first k of each query of a block: rough products in floats choose, exact ones in doubles score."""
 
@@ -106,7 +90,7 @@ def _nearest(k: int, dim: int, margin: float, key: str):
 
         def add(by: np.ndarray, at: np.ndarray, score: np.ndarray, null: np.ndarray | None = None) -> None:
             null = np.zeros(len(by), dtype=bool) if null is None else null
-            kept = _first(k, margin, by, at, score, null)
+            kept = can_be_first(k, margin, by, at, score, null)
             found.append((by[kept], at[kept], score[kept], null[kept]))
 
         whole = np.flatnonzero(q.sound)
@@ -131,7 +115,7 @@ def _nearest(k: int, dim: int, margin: float, key: str):
         for i in np.flatnonzero(~q.sound):
             add(np.full(len(every), i), every, *q.against(i, p, every))
         by, at, score, null = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool))
-        kept = _first(k, margin, by, at, score, null)
+        kept = can_be_first(k, margin, by, at, score, null)
         names = left[key].take(pa.array(at[kept], pa.int64()))
         return pa.table([right["query_id"].take(pa.array(by[kept], pa.int64())), names, pa.array(score[kept], pa.float64(), mask=null[kept])], names=["query_id", key, "score"])
 

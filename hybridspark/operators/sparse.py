@@ -6,8 +6,12 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from hybridspark.functions.text import once, tokens
@@ -85,16 +89,90 @@ def top_per_query(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def can_be_first(k: int, margin: float, by: np.ndarray, at: np.ndarray, score: np.ndarray, null: np.ndarray) -> np.ndarray:
+    """Which of these can be among the first k of their query: within margin of the k-th, of equal scores the first k."""
+    rank = np.where(null, -np.inf, np.where(np.isnan(score), np.inf, score))
+    order = np.lexsort((at, -rank, by))
+    by, rank = by[order], rank[order]
+    place = np.arange(len(by))
+    fresh = np.ones(len(by), dtype=bool)
+    fresh[1:] = by[1:] != by[:-1]
+    begin = np.maximum.accumulate(np.where(fresh, place, 0))
+    edge = rank[np.minimum(begin + k - 1, len(by) - 1)] if len(by) else rank
+    run = fresh.copy()
+    run[1:] |= rank[1:] != rank[:-1]
+    copies = place - np.maximum.accumulate(np.where(run, place, 0))
+    return order[(copies < k) & ((place - begin < k) | (rank >= edge - margin))]
+
+
+#: More queries than this are scored by shards of documents; documents of a shard, queries of a block that meets it.
+MANY, DOCUMENTS, BLOCK = 200, 16_384, 16_384
+
+
+def _best(k: int, margin: float):
+    """Of a shard's postings (doc, token, part) and a block's tokens (query_id, token, qtf): what can be among a query's first k."""
+
+    def coded(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+        column = column.combine_chunks().dictionary_encode(null_encoding="encode")
+        order = pc.sort_indices(column.dictionary, null_placement="at_start").to_numpy()
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        return column.dictionary.take(pa.array(order)), place[column.indices.to_numpy()]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (docs, at), (kinds, token), (ids, by) = coded(left["doc"]), coded(left["token"]), coded(right["query_id"])
+        order = np.argsort(token, kind="stable")
+        at, part = at[order], left["part"].to_numpy()[order]
+        ends = np.searchsorted(token[order], np.arange(len(kinds) + 1))
+        asked = pc.fill_null(pc.index_in(right["token"], value_set=kinds), -1).to_numpy()
+        times, found = right["qtf"].to_numpy(), []
+        there = np.flatnonzero(asked >= 0)
+        there = there[np.lexsort((asked[there], by[there]))]
+        for rows in np.split(there, np.flatnonzero(np.diff(by[there])) + 1) if len(there) else ():
+            lists = [slice(ends[t], ends[t + 1]) for t in asked[rows]]
+            score = np.bincount(np.concatenate([at[x] for x in lists]), weights=np.concatenate([f * part[x] for f, x in zip(times[rows], lists, strict=True)]))
+            best = np.flatnonzero(score > 0)
+            if len(best) > k:
+                best = best[score[best] >= np.partition(score[best], -k)[-k] - margin]
+            found.append((np.full(len(best), by[rows[0]]), best, score[best]))
+        q, d, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        kept = can_be_first(k, margin, q, d, s, np.zeros(len(q), dtype=bool))
+        return pa.table([ids.take(pa.array(q[kept], pa.int64())), docs.take(pa.array(d[kept], pa.int64())), pa.array(s[kept], pa.float64())], names=["query_id", "doc", "score"])
+
+    return run
+
+
+def _by_shards(index: Bm25Index, asked: DataFrame, part: Column, queries: int, top_k: int, digits: int | None) -> DataFrame:
+    """(query_id, doc, score) that can be among the first top_k: scores are added within a task that holds a shard of
+    documents, so no row for a posting and a query is ever made or shuffled."""
+    stats = index.stats.first()
+    n, cores = stats["n"], asked.sparkSession.sparkContext.defaultParallelism
+    shards, blocks = max(1, -(-n // DOCUMENTS), min(2 * cores, n // 1024)), -(-queries // BLOCK)
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    words = asked.select("token").distinct().join(index.vocabulary, "token").select("token", "idf")
+    left = index.postings.join(words, "token").withColumn("avgdl", F.lit(stats["avgdl"]))
+    left = left.select("doc", "token", part.cast("double").alias("part"), deal("doc", shards).alias("__shard"), every(blocks).alias("__block"))
+    right = asked.select("query_id", "token", "qtf", deal("query_id", blocks).alias("__block"), every(shards).alias("__shard"))
+    schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("doc", index.postings.schema["doc"].dataType), T.StructField("score", T.DoubleType())])
+    return left.groupBy("__shard", "__block").cogroup(right.groupBy("__shard", "__block")).applyInArrow(_best(top_k, 10.0**-digits if digits is not None else 0.0), schema)
+
+
 def bm25_search(index: Bm25Index, chunks: DataFrame | None, queries: DataFrame, top_k: int = 20, filters: Mapping[str, object] | None = None, key: str = "doc_id", query: str = "query", k1: float = K1, b: float = B, digits: int | None = None) -> DataFrame:
     """(query_id, rank, key, score, *columns of chunks) of the best chunks of each query (query_id, query).
 
     A token that a query repeats counts as often. Scores of 0 or less never match. Filters choose among the scored
     chunks and leave the corpus statistics alone. Ties go to the smaller key. digits rounds scores before ranking. Without
-    chunks the index alone is asked: no filters, no columns, and no join that tests whether rows exist."""
+    chunks the index alone is asked: no filters, no columns, and no join that tests whether rows exist. Queries are
+    counted; many at once, without filters, meet shards of documents."""
     asked = queries.select("query_id", F.explode(tokens(F.col(query))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    hits = asked.join(index.vocabulary, "token").join(index.postings, "token").join(F.broadcast(index.stats.select("avgdl")))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "doc").agg(F.sum(F.col("qtf") * weight).alias("score")).where("score > 0")
+    # filters choose after the scores, so that they need all of them
+    if not filters and (n := queries.count()) > MANY:
+        scored = _by_shards(index, asked, weight, n, top_k, digits)
+    else:
+        hits = asked.join(index.vocabulary, "token").join(index.postings, "token").join(F.broadcast(index.stats.select("avgdl")))
+        scored = hits.groupBy("query_id", "doc").agg(F.sum(F.col("qtf") * weight).alias("score")).where("score > 0")
     if digits is not None:
         scored = scored.withColumn("score", F.round("score", digits))
     return fetched(scored.withColumnRenamed("doc", key), chunks, key, filters, top_k)

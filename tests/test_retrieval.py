@@ -63,6 +63,23 @@ def test_filters_leave_statistics_alone(spark, corpus):
     assert remove_document(df, "a", "kind").where("kind is null").count() > 0
 
 
+def test_many_queries_by_shards(spark, corpus, monkeypatch):
+    """The same rows as by a join, over several shards and blocks, without a join of queries and postings."""
+    from hybridspark.operators import sparse
+
+    df = spark.createDataFrame([*corpus.items(), *((1000 + i, "t1 t1 t2") for i in range(40))], "doc_id int, text string")
+    queries = spark.createDataFrame([(i, f"t{i % 9} t{i % 5} t{i % 5} nowhere") for i in range(30)] + [(30, ""), (31, None)], "query_id int, query string")
+    index = build_bm25(df)
+    plain = lambda found: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in found.collect())
+    want = plain(bm25_search(index, None, queries, 7, digits=6))
+    monkeypatch.setattr(sparse, "MANY", 3)
+    monkeypatch.setattr(sparse, "DOCUMENTS", 16)
+    monkeypatch.setattr(sparse, "BLOCK", 10)
+    found = bm25_search(index, None, queries, 7, digits=6)
+    assert "FlatMapCoGroups" in found._jdf.queryExecution().executedPlan().toString()
+    assert plain(found) == want and len(want) > 100
+
+
 def test_dense_search(spark):
     points = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "b"), (3, [1.0, 1.0], None), (4, [0.0, 0.0], "a")], "point_id int, vector array<double>, kind string")
     queries = spark.createDataFrame([(7, [2.0, 0.0])], "query_id int, vector array<double>")
