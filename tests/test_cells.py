@@ -46,3 +46,27 @@ def test_few_and_no_points(spark):
     assert cell_search(fit_cells(none), queries).count() == 0
     one = spark.createDataFrame([(1, [1.0, 2.0])], "point_id int, vector array<double>")
     assert [r.point_id for r in cell_search(fit_cells(one), spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vector array<double>")).collect()] == [1]
+
+
+def test_no_row_for_a_query_and_a_point(spark, monkeypatch):
+    """Results are those of scores row by row, over small shards with a cell split among several; joins make no pairs."""
+    from hybridspark.functions.numbers import dot, norm
+    from hybridspark.operators import cells, dense
+    from hybridspark.operators.sparse import top_per_query
+
+    df = table(spark, 600)
+    df = df.unionByName(df.where("point_id < 80").select((5000 + F.col("point_id")).alias("point_id"), F.lit([1.0] * 24).alias("vector"), "kind"))
+    index = fit_cells(df, cells=12)
+    queries = df.where("point_id % 10 = 7").select(F.col("point_id").alias("query_id"), "vector")
+    monkeypatch.setattr(dense, "SHARD", 24 * 64)
+    monkeypatch.setattr(dense, "BLOCK", 20)
+    monkeypatch.setattr(dense, "TILE", 1000)
+    got = cell_search(index, queries, 8, probes=3, digits=6)
+    routed = queries.where("query_id < 600 or query_id >= 5000").withColumn("cell", F.explode(cells._nearest(index.centroids, 3)(F.col("vector"))))
+    pairs = routed.join(index.points.select("point_id", "cell", F.col("vector").alias("v")), "cell")
+    pairs = pairs.withColumn("score", F.round(dot(F.col("v"), F.col("vector")) / (norm(F.col("v")) * norm(F.col("vector"))), 6))
+    want = top_per_query(pairs, 8, F.desc("score"), F.col("point_id"))
+    rows = lambda x: {(r.query_id, r.rank, r.point_id, r.score) for r in x.collect()}
+    assert rows(got) == rows(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "aggregate(zip_with" not in plan
