@@ -142,7 +142,7 @@ def _within(k: int, dim: int, margin: float, key: str):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.take(pc.sort_indices(left, sort_keys=[(key, "ascending")], null_placement="at_start"))
-        p, q = (dense._Vectors(t["__vector"].combine_chunks(), dim) for t in (left, right))
+        p, q = (dense.Vectors(t["__vector"].combine_chunks(), dim) for t in (left, right))
         kinds, cell = np.unique(left["cell"].to_numpy(), return_inverse=True)
         lists = right["__cells"].combine_chunks()
         by, asked = np.repeat(np.arange(len(right)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()

@@ -5,15 +5,18 @@ The folds run inside one row with higher-order functions, so chunking neither sh
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from hybridspark.functions.numbers import cosine
 from hybridspark.functions.text import is_blank, once, sentences, split_words, tokens
-from hybridspark.sources.store import stored
+from hybridspark.operators.dense import Vectors
+from hybridspark.sources.store import spread
 
 MIN_SIZE, MAX_SIZE, THRESHOLD, OVERLAP = 200, 1500, 0.5, 1
 _STRINGS = "array<string>"
@@ -123,19 +126,56 @@ def semantic_chunks(parts: Column, cuts: Column, min_size: int = MIN_SIZE, max_s
     return F.flatten(F.transform(built, lambda c: F.when(F.length(c) > max_size, split_oversize(c, max_size)).otherwise(F.array(c))))
 
 
+def _cuts(threshold: float):
+    """A column function over sentences in their order: where a document's vectors are unlike, at its last sentence; else null.
+
+    It keeps the vector before from batch to batch, so it must see all rows, and no filter may be moved before it."""
+
+    @F.arrow_udf("array<int>")
+    def cuts(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        before, open_cuts = None, np.empty(0, np.int32)
+        for at, last, vectors in batches:
+            if not len(at):
+                yield pa.array([], pa.list_(pa.int32()))
+                continue
+            own = vectors.slice(0, 1) if before is None else before
+            v = Vectors(both := pa.concat_arrays([own, vectors]), int(pc.mode(pc.fill_null(pc.list_value_length(both), 0))[0].as_py()["mode"] or 1))
+            sound = v.sound[:-1] & v.sound[1:]
+            with np.errstate(all="ignore"):
+                score = np.einsum("ij,ij->i", v.rows[:-1], v.rows[1:]) / (v.sizes[:-1] * v.sizes[1:])
+            # near the threshold, and for vectors of other kinds, as the column functions have it
+            for i in np.flatnonzero(~sound | (np.abs(score - threshold) < 1e-6)):
+                (exact,), (unlike,) = v.against(i, v, np.array([i + 1]))
+                score[i] = np.nan if unlike else exact
+            places, ends = at.to_numpy(), np.flatnonzero(last.to_numpy(zero_copy_only=False))
+            apart = (places > 0) & ~pc.is_null(both).to_numpy(zero_copy_only=False)[:-1] & (score < threshold)
+            where = np.flatnonzero(apart)
+            found = np.concatenate([open_cuts, places[where].astype(np.int32)])
+            upto = len(open_cuts) + np.searchsorted(where, ends, side="right")
+            done = int(upto[-1]) if len(ends) else 0
+            values = np.zeros(len(at) + 1, dtype=np.int32)
+            values[ends + 1] = np.diff(np.concatenate([[0], upto]))
+            mask = np.ones(len(at), dtype=bool)
+            mask[ends] = False
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum(values), pa.int32()), pa.array(found[:done], pa.int32()), mask=pa.array(mask))
+            before, open_cuts = vectors.slice(len(vectors) - 1), found[done:]
+
+    return cuts.asNondeterministic()
+
+
 def vector_boundaries(docs: DataFrame, embed: Callable[[Column], Column], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with __parts (sentences) and __cuts, where a sentence's vector is less like the one before than threshold.
 
     embed maps sentences to vectors and may be a pandas UDF of a model: sentences are rows here, each is embedded once and
-    compared with the one before it. Rows of docs are numbered for that, so docs may have any columns."""
-    rows = docs.where(~is_blank(F.col(text))).withColumn("__row", F.monotonically_increasing_id()).withColumn("__parts", sentences(F.col(text)))
-    # written, as the numbers must be the same wherever they are used
-    rows = stored(rows)
-    each = rows.select("__row", F.posexplode("__parts").alias("__at", "__sentence")).withColumn("__vector", embed(F.col("__sentence"))).drop("__sentence")
-    before = F.lag("__vector").over(Window.partitionBy("__row").orderBy("__at"))
-    apart = each.withColumn("__before", before).where(F.col("__before").isNotNull() & (cosine(F.col("__before"), F.col("__vector")) < threshold))
-    cuts = apart.groupBy("__row").agg(F.sort_array(F.collect_list("__at")).alias("__cuts"))
-    return rows.join(cuts, "__row", "left").drop("__row").withColumn("__cuts", F.coalesce("__cuts", F.array().cast("array<int>")))
+    compared with the one before it, which is the row before. A document's sentences stay together and in order, so nothing
+    is shuffled or written; its last sentence carries its columns. docs may have any columns."""
+    rows = spread(docs.where(~is_blank(F.col(text)))).withColumn("__parts", sentences(F.col(text)))
+    whole = F.struct(*(F.col(f"`{c}`") for c in [*docs.columns, "__parts"]))
+    last = F.size("__parts") - 1
+    # made before the rows are, so that a text isn't copied into each of its sentences' rows; outer, lest Spark cuts texts again to test for empty lists
+    each = F.transform("__parts", lambda s, i: F.struct(i.alias("__at"), s.alias("__sentence"), (i == last).alias("__last"), F.when(i == last, whole).alias("__doc")))
+    each = rows.select(F.inline_outer(each)).select("__at", "__last", "__doc", embed(F.col("__sentence")).alias("__vector"))
+    return each.select("__doc", _cuts(threshold)("__at", "__last", "__vector").alias("__cuts")).where("__cuts is not null").select("__doc.*", "__cuts")
 
 
 def chunk(docs: DataFrame, mode: str = "semantic", text: str = "text", min_size: int = MIN_SIZE, max_size: int = MAX_SIZE, threshold: float = THRESHOLD, overlap: int = OVERLAP, similar: Callable[[Column, Column], Column] = term_cosine, embed: Callable[[Column], Column] | None = None) -> DataFrame:

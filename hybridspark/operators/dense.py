@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -44,7 +43,7 @@ def _score(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return np.where((sizes > 0) | np.isnan(sizes), in_order(a, b) / sizes, 0.0)
 
 
-class _Vectors:
+class Vectors:
     """Vectors as rows of a matrix, and their lengths; null, one with a null and one of another size are rows of zeros.
 
     sound: those of this size, finite, whose length is far from what a double can hold. none: null or with a null."""
@@ -60,13 +59,14 @@ class _Vectors:
         self.fits = (sizes == dim) & ~self.none
         self.rows = np.zeros((n, dim))
         self.rows[self.fits] = flat[np.repeat(self.fits, sizes)].reshape(-1, dim)
-        self.sizes = np.sqrt(in_order(self.rows, self.rows))
+        wide = np.asfortranarray(self.rows)  # a component of all vectors side by side
+        self.sizes = np.sqrt(in_order(wide, wide))
         self.others = {i: flat[starts[i] : starts[i + 1]] for i in np.flatnonzero(~self.fits & ~self.none)}
         for i, v in self.others.items():
             self.sizes[i] = np.sqrt(in_order(v, v))
         self.sound = self.fits & (self.sizes > 1e-100) & (self.sizes < 1e100)
 
-    def against(self, i: int, other: _Vectors, these: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def against(self, i: int, other: Vectors, these: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores of the vector i and these others, of any kind, as the column functions give them, and which are null."""
         with np.errstate(all="ignore"):
             sizes = self.sizes[i] * other.sizes[these]
@@ -85,7 +85,7 @@ def _nearest(k: int, dim: int, margin: float, key: str):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.take(pc.sort_indices(left, sort_keys=[(key, "ascending")], null_placement="at_start"))
-        p, q = (_Vectors(t["__vector"].combine_chunks(), dim) for t in (left, right))
+        p, q = (Vectors(t["__vector"].combine_chunks(), dim) for t in (left, right))
         sound, found = np.flatnonzero(p.sound), []
 
         def add(by: np.ndarray, at: np.ndarray, score: np.ndarray, null: np.ndarray | None = None) -> None:
@@ -161,17 +161,23 @@ def query_embedding(query: Column, embed: Callable[[Column], Column] | None = No
 def hashed_embedding(text: Column, dim: int = 256) -> Column:
     """A deterministic stand-in for an embedding model: token counts by hashed place, of length 1.
 
-    Any pandas UDF from string to array<float> can take its place."""
-
-    @F.pandas_udf("array<float>")
-    def embed(lists: pd.Series) -> pd.Series:
-        def one(places) -> np.ndarray:
-            v = np.zeros(dim, dtype=np.float32)
-            if places is not None and len(places):
-                np.add.at(v, np.asarray(places, dtype=np.int64), 1)
-            size = float(np.linalg.norm(v))
-            return v / size if size else v
-
-        return lists.map(one)
+    Any pandas or Arrow UDF from string to array<float> can take its place."""
+
+    @F.arrow_udf("array<float>")
+    def embed(lists: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        places, starts = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
+        out = np.zeros((len(lists), dim), dtype=np.float32)
+        step = max(1, TILE // dim)
+        for lo in range(0, len(lists), step):
+            hi = min(lo + step, len(lists))
+            at = np.repeat(np.arange(hi - lo) * dim, sizes[lo:hi]) + places[starts[lo] : starts[hi]]
+            v = np.bincount(at, minlength=(hi - lo) * dim).reshape(hi - lo, dim).astype(np.float32)
+            squares = np.einsum("ij,ij->i", v, v)
+            size = np.sqrt(squares)
+            for i in np.flatnonzero(squares >= 2**24):  # sums up to there are whole and exact in any order
+                size[i] = np.linalg.norm(v[i])
+            np.divide(v, size[:, None], out=out[lo:hi], where=size[:, None] > 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * dim, pa.int32()), pa.array(out.ravel()))
 
     return embed(F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim))))

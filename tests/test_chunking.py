@@ -87,3 +87,36 @@ def test_term_counts_agree_with_the_pairwise_likeness(spark):
     began = time.time()
     assert long.select(C.boundaries(F.array("s", "s", F.lit("other"))).alias("c")).first().c == [2]
     assert time.time() - began < 20
+
+
+def test_vector_boundaries_need_no_shuffle_and_span_batches(spark):
+    """Cuts are those of cosines row by row, over nulls and vectors of several sizes, with batches smaller than a text."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    from hybridspark.functions.numbers import cosine
+    from hybridspark.functions.text import sentences
+    from hybridspark.operators import chunking as C
+
+    @F.pandas_udf("array<double>")
+    def embed(texts):
+        def one(t):
+            n = int(t.strip("s.")) % 11
+            return None if n == 3 else [1.0, None] if n == 5 else [0.0, 0.0] if n == 7 else [1.0, 2.0, 3.0] if n in (8, 9) else [1e200, 1.0] if n == 10 else [float(n), 2.0 - n]
+
+        return texts.map(one)
+
+    docs = spark.createDataFrame([(k, " ".join(f"s{(7 * k + i * i) % 101}." for i in range(1 + 9 * k)), "x") for k in range(12)] + [(50, None, "x"), (51, " ", "x")], "doc_id long, text string, other string").repartition(3).cache()
+    each = docs.where("doc_id < 50").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("at", "s")).withColumn("v", embed("s"))
+    near = each.withColumn("b", F.lag("v").over(Window.partitionBy("doc_id").orderBy("at"))).where(F.col("b").isNotNull() & (cosine(F.col("b"), F.col("v")) < 0.5))
+    want = {(r.doc_id, r["at"]) for r in near.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = C.vector_boundaries(docs, embed)
+        rows = got.where("doc_id <> 4").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.doc_id, a) for r in rows for a in r["__cuts"]} == {x for x in want if x[0] != 4} and sorted(r.doc_id for r in rows) == [k for k in range(12) if k != 4]
+    assert got.columns == ["doc_id", "text", "other", "__parts", "__cuts"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
