@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hybridspark.operators.relational import with_children
+from hybridspark.sources.store import dealt
 
 
 @dataclass(frozen=True)
@@ -52,17 +53,19 @@ class Relations:
         """tables without the rows of table whose keys gone has, and without all that cascades from them, however deep.
 
         Level by level, parents first: a table's rows go if any cascading relation names a row that goes, by semi-joins
-        on keys. Rows that refer to nothing stay."""
+        on keys. Rows that refer to nothing stay. Tables with a cascading relation are counted, and keys that go are dealt to
+        partitions by that, so that the join's tasks don't grow with the table."""
         keys = gone.select(F.col(self.keys[table]).alias("__gone")).where("__gone is not null").distinct()
         left, going = dict(tables), {table: keys}
         left[table] = tables[table].join(keys, tables[table][self.keys[table]] == keys["__gone"], "left_anti")
         for name in self.order:
-            for r in self._of(tables, child=name):
-                if r.cascade and r.parent in going:
-                    df, ids = tables[name], going[r.parent]
-                    hit = df.join(ids, df[r.column] == ids["__gone"], "left_semi").select(F.col(self.keys[name]).alias("__gone")).where("__gone is not null")
-                    going[name] = hit.distinct() if name not in going else going[name].unionByName(hit).distinct()
-                    left[name] = left[name].join(ids, left[name][r.column] == ids["__gone"], "left_anti")
+            cascading = [r for r in self._of(tables, child=name) if r.cascade and r.parent in going]
+            n = tables[name].count() if cascading else 0
+            for r in cascading:
+                df, ids = tables[name], dealt(going[r.parent], "__gone", rows=n)
+                hit = df.join(ids, df[r.column] == ids["__gone"], "left_semi").select(F.col(self.keys[name]).alias("__gone")).where("__gone is not null")
+                going[name] = dealt(hit if name not in going else going[name].unionByName(hit), "__gone", rows=n).distinct()
+                left[name] = left[name].join(ids, left[name][r.column] == ids["__gone"], "left_anti")
             if name in going and name != table:
                 # what goes by one relation is gone for all: its key stands in no other row
                 left[name] = left[name].join(going[name], left[name][self.keys[name]] == going[name]["__gone"], "left_anti")

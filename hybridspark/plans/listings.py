@@ -12,6 +12,7 @@ from hybridspark.operators.relations import Relation, Relations
 from hybridspark.operators.substring import build_trigrams, substring_matches
 from hybridspark.plans.registry import query, table
 from hybridspark.sources.schemas import DEFAULT_SECTIONS
+from hybridspark.sources.store import dealt
 
 AS_OF = "1998-06-01 12:00:00"
 
@@ -93,7 +94,7 @@ def usage_increment(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT 'order' AS kind, o_orderkey AS id, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2
 UNION ALL SELECT 'line', l_orderkey, count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1, 2""")
 def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
-    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    orders, lines = dealt(table(spark, d, "orders"), "o_orderkey"), dealt(table(spark, d, "lineitem"), "l_orderkey")
     left = R.delete_cascade(orders, orders.where("o_orderstatus = 'F'"), "o_orderkey", {"lines": (lines, "l_orderkey")})
     count = lambda df, kind, key: df.groupBy(F.lit(kind).alias("kind"), F.col(key).alias("id")).agg(F.count("*").alias("n"))
     return count(left["parents"], "order", "o_orderkey").unionByName(count(left["lines"], "line", "l_orderkey"))
@@ -198,7 +199,8 @@ def cascade_levels(spark: SparkSession, d: str) -> DataFrame:
     """Customers take their orders with them, and those their lines."""
     tables = _related(spark, d)
     left = _RELATIONS.delete(tables, "customer", tables["customer"].where("c_mktsegment = 'BUILDING'"))
-    count = lambda name, key: left[name].groupBy(F.lit(name).alias("kind"), F.col(key).cast("string").alias("id")).agg(F.count("*").alias("n"))
+    ids = lambda name, key: dealt(left[name].select(F.col(key).cast("string").alias("id")), "id", rows=tables[name].count())
+    count = lambda name, key: ids(name, key).groupBy(F.lit(name).alias("kind"), "id").agg(F.count("*").alias("n"))
     return count("customer", "c_custkey").unionByName(count("orders", "o_orderkey")).unionByName(count("lineitem", "line_id"))
 
 

@@ -43,6 +43,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows of a partition that rows are dealt to by key.
+ROWS = 1_000_000
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows: as many as the session has by default, and more where they would grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+
+
+def dealt(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """df dealt by keys to partitions of bounded size, so that sorts and groups by these keys hold as much of a small table
+    as of a large one. Rows are counted, if their number isn't given."""
+    return df.repartition(parts_for(df.sparkSession, df.count() if rows is None else rows), *keys)
+
+
 class Collections:
     """Collections of points by name, in one folder; each changes by whole snapshots, see snapshots.py."""
 

@@ -58,3 +58,33 @@ def test_unique_keys_at_write_time(spark):
     assert sorted(map(str, map(tuple, stored.collect()))) == ["('a', 1)", "('b', 4)", "('c', 6)", "(None, 2)"]
     assert sorted((r.reason, r.v) for r in refused.collect()) == [("no key", 7), ("no key", 7), ("repeated", 4), ("repeated", 5), ("stored already", 3)]
     assert stored.count() + refused.count() == known.count() + rows.count()
+
+
+def test_tasks_of_cascades_do_not_grow_with_the_tables(spark, tmp_path, monkeypatch):
+    """The joins and counts of both cascades have as many partitions as their tables' rows need, not the session's number."""
+    import re
+
+    from hybridspark.plans.listings import cascade_delete, cascade_levels
+    from hybridspark.sources import store
+
+    monkeypatch.setattr(store, "ROWS", 100)
+    columns = {
+        "customer": (50, ["id AS c_custkey", "IF(id % 3 = 0, 'BUILDING', 'x') AS c_mktsegment"]),
+        "orders": (400, ["id AS o_orderkey", "id % 50 AS o_custkey", "IF(id % 2 = 0, 'F', 'O') AS o_orderstatus"]),
+        "lineitem": (1300, ["id % 400 AS l_orderkey", "id AS l_linenumber", "id AS l_partkey", "id AS l_suppkey"]),
+        "part": (10, ["id AS p_partkey"]),
+    }
+    for name, (n, made) in columns.items():
+        spark.range(n).selectExpr(*made).write.parquet(f"{tmp_path}/{name}.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for f, rows in ((cascade_delete, 200 + 200), (cascade_levels, None)):
+            got = f(spark, str(tmp_path))
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "13" in re.findall(r"hashpartitioning\(.*?, (\d+)\)", plan)
+            found = got.collect()
+            assert rows is None or len(found) == rows
+            assert all(r.n == 1 for r in found if r.kind != "line")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
