@@ -50,3 +50,28 @@ def test_trigrams_and_candidates(spark):
     index = build_trigrams(df, "id", F.array("t"))
     asked = spark.createDataFrame([(1, "CAB"), (2, "zzz"), (3, "漢xé")], "query_id int, query string")
     assert sorted(map(tuple, candidates(index, asked).collect())) == [(1, 1), (3, 4)]
+
+
+def test_no_frequent_trigram_meets_in_one_task(spark, monkeypatch):
+    """Lists are joined to a broadcast of the asked trigrams, and what they find is dealt by row over partitions by its number."""
+    from pyspark.sql import functions as F
+
+    from hybridspark.operators import substring as S
+    from hybridspark.sources import store
+
+    rows = spark.createDataFrame([(i % 90, f"common part {i}", None if i % 2 else "brass") for i in range(100)] + [(200, None, None)], "id int, name string, kind string")
+    index = S.build_trigrams(rows, "id", F.array("name", "kind"))
+    want = {(r.id, g) for r in rows.collect() for t in (r.name, r.kind) if t for g in (t[i : i + 3] for i in range(len(t) - 2))}
+    assert sorted((r.id, r.gram) for r in index.postings.collect()) == sorted(want)
+    asked = spark.createDataFrame([(1, "common"), (2, "brass"), (3, "zzz")], "query_id int, query string")
+    monkeypatch.setattr(store, "ROWS", 50)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = S.candidates(index, asked)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert {(r.query_id, r.id) for r in got.collect()} == {(1, i) for i in range(90)} | {(2, r.id) for r in rows.where("kind is not null").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan, plan
+    assert ", 10), REPARTITION_BY_NUM" in plan and "hashpartitioning(id" in plan, plan
