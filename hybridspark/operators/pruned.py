@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from hybridspark.functions.text import tokens
 from hybridspark.operators.sparse import B, K1, Bm25Index, top_per_query
-from hybridspark.sources.store import shared_folder, stored
+from hybridspark.sources.store import parts_for, shared_folder, stored
 
 #: Chunks of a block, and folders that blocks are dealt to.
 BLOCK_CHUNKS, PARTS = 64, 32
@@ -36,16 +36,22 @@ def _weight(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Colum
 
 
 def build_blocks(index: Bm25Index, folder: str | None = None, block_chunks: int = BLOCK_CHUNKS, parts: int = PARTS, k1: float = K1, b: float = B) -> BlockIndex:
-    """The blocks of an index, written once. Their number follows the corpus, so a block has some block_chunks chunks at any size."""
+    """The blocks of an index, written once. Their number follows the corpus, so a block has some block_chunks chunks at any size.
+
+    Postings are moved once: dealt by blocks, so that a task has whole blocks of few folders, of about as many rows at any size."""
     spark = index.postings.sparkSession
     folder = folder or shared_folder(spark)
     sized = F.broadcast(index.stats.select("avgdl", F.greatest(F.ceil(F.col("n") / block_chunks), F.lit(1)).cast("long").alias("__blocks")))
     rows = index.postings.crossJoin(sized)
-    rows = rows.select("token", F.pmod(F.xxhash64("doc"), F.col("__blocks")).alias("block"), F.struct("doc", _weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b).alias("weight")).alias("p"))
-    found = rows.groupBy("token", "block").agg(F.max("p.weight").alias("most"), F.collect_list("p").alias("postings"))
-    found = found.withColumn("part", F.pmod("block", F.lit(parts)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("__blocks")))
+    buckets = parts * -(-parts_for(spark, index.postings.count()) // parts)
+    # blocks of one bucket have one part
+    rows = rows.withColumn("__bucket", F.pmod("block", F.lit(buckets)).cast("int")).repartition(buckets, "__bucket")
+    rows = rows.select("token", "block", "__bucket", F.struct("doc", _weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b).alias("weight")).alias("p"))
+    found = rows.groupBy("__bucket", "token", "block").agg(F.max("p.weight").alias("most"), F.collect_list("p").alias("postings"))
+    found = found.drop("__bucket").withColumn("part", F.pmod("block", F.lit(parts)).cast("int"))
     # in the order of tokens, so that files and pages of other tokens are passed over
-    found.hint("rebalance", "part").sortWithinPartitions("part", "token", "block").write.partitionBy("part").parquet(f"{folder}/blocks")
+    found.sortWithinPartitions("part", "token", "block").write.partitionBy("part").parquet(f"{folder}/blocks")
     stored(index.vocabulary, f"{folder}/vocabulary")
     stored(index.stats.coalesce(1), f"{folder}/stats")
     return read_blocks(spark, folder, index.postings.schema["doc"].dataType.simpleString())
@@ -61,7 +67,8 @@ def _scored(index: BlockIndex, picks: DataFrame, asked: DataFrame) -> DataFrame:
     """(query_id, doc, score) of all chunks in the picked (query_id, block); only folders that a pick lies in are listed."""
     parts = [r[0] for r in picks.select("part").distinct().collect()]
     blocks = index.blocks.where(F.col("part").isin(parts))
-    hits = picks.select("query_id", "block").join(asked, "query_id").join(blocks, ["token", "block"])
+    # the few asked tokens first, as the picks times the tokens would seem too many to Spark and all blocks were shuffled
+    hits = blocks.join(asked, "token").join(picks.select("query_id", "block"), ["query_id", "block"])
     each = hits.select("query_id", F.explode("postings").alias("p"), (F.col("qtf") * F.col("idf")).alias("__w"))
     return each.groupBy("query_id", F.col("p.doc").alias("doc")).agg(F.sum(F.col("__w") * F.col("p.weight")).alias("score"))
 

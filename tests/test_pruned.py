@@ -37,3 +37,21 @@ def test_most_of_a_frequent_words_list_stays_closed(spark):
 def test_empty(spark):
     blocks = build_blocks(build_bm25(spark.createDataFrame([], "doc_id long, text string")))
     assert pruned_search(blocks, spark.createDataFrame([(1, "x y")], "query_id int, query string")).count() == 0
+
+
+def test_blocks_are_not_shuffled_to_be_searched(spark):
+    """Picks times tokens are more than Spark broadcasts; asked tokens and picks on their own are few."""
+    from hybridspark.operators.pruned import _scored
+    from hybridspark.sources.store import stored
+
+    blocks = build_blocks(build_bm25(corpus(spark, 500)), block_chunks=4, parts=8)
+    assert blocks.blocks.groupBy("token", "block").count().where("count > 1").isEmpty()
+    asked = stored(blocks.vocabulary.where("token in ('common', 'w3')").selectExpr("1 AS query_id", "token", "idf", "1L AS qtf"))
+    picks = stored(blocks.blocks.where("token = 'common'").selectExpr("1 AS query_id", "block", "part").distinct())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        plan = _scored(blocks, picks, asked)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
