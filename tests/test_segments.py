@@ -76,3 +76,29 @@ def test_empty_indexes(spark):
     assert index.search(queries).count() == 0 and index.index().stats.first()["n"] == 0
     with pytest.raises(ValueError):
         index.search(queries, filters={"lang": "en"})
+
+
+def test_a_words_documents_lie_in_few_rows_and_only_removed_lists_are_moved(spark, monkeypatch):
+    """Removed numbers are broadcast a few at a time, or lists are moved if a bucket has many; scores are those of a rebuild."""
+    from hybridspark.operators import segments
+
+    rng = random.Random(8)
+    live = {f"{d}:{i}": (d, f"common {prose(rng)}") for d in range(60) for i in range(3)}
+    df = lambda rows: spark.createDataFrame([(d, k, t) for k, (d, t) in rows.items()], KIND)
+    for at_once, buckets in ((7, 8), (1, 2)):
+        monkeypatch.setattr(segments, "AT_ONCE", at_once)
+        index = SegmentedIndex(Snapshots(spark, shared_folder(spark)), buckets=buckets, slots=4)
+        # of rows with one key the greatest text stays
+        index.add(df(live).unionByName(spark.createDataFrame([(0, "0:0", "a lesser text")], KIND)))
+        path = index.log.manifest()[1]["keywords"]["segments"][0]["path"]
+        common = spark.read.parquet(f"{path}/postings").where("token = 'common'")
+        assert common.count() <= buckets and common.selectExpr("sum(size(nos))").first()[0] == 180
+        index.remove(spark.createDataFrame([(d,) for d in range(1, 12)], "document_id long"))
+        agree(spark, index, {k: v for k, v in live.items() if not 1 <= v[0] < 12})
+
+
+def test_an_index_of_another_form_is_refused(spark):
+    log = Snapshots(spark, shared_folder(spark))
+    log.update(lambda m: {"keywords": {"segments": []}})
+    with pytest.raises(ValueError):
+        SegmentedIndex(log).index()
