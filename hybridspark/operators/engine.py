@@ -15,7 +15,7 @@ from hybridspark.operators.dense import dense_search, index_points
 from hybridspark.operators.graph import Graph, graph_search
 from hybridspark.operators.segments import SegmentedIndex
 from hybridspark.operators.sparse import Bm25Index, bm25_search
-from hybridspark.sources.snapshots import Points
+from hybridspark.sources.snapshots import Manifest, Points
 from hybridspark.sources.store import Collections, stored
 
 #: Results of the dense, sparse and graph retrievers, and of the whole.
@@ -154,8 +154,13 @@ def index_chunks(collections: Collections, name: str, chunks: DataFrame, vector:
     they were. Vectors are worked out once; what other documents have is neither embedded nor tokenised again."""
     log = collections.log(name)
     points, words = Points(log, document), SegmentedIndex(log, "point_id", document)
-    rows = stored(index_points(chunks, vector, document, chunk_index))
-    log.update(lambda m: words.changed(points.replaced(m, rows), rows))
+    rows = index_points(chunks, vector, document, chunk_index)
+
+    def change(m: Manifest) -> Manifest:
+        part = points.written(m, rows)
+        return words.changed(points.placed(m, part), points.rows(part), dealt=True)
+
+    log.update(change)
     return points.read(), words.index()
 
 

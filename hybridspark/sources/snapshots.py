@@ -97,24 +97,54 @@ class Snapshots:
         return gone
 
 
+#: Parts that a bucket's rows may lie in, and parts that may say what is gone; one more, and the buckets are written anew.
+MOST_PARTS = 16
+
+
+def _kind(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 class Points:
-    """Stored points in buckets of documents. A change rewrites the buckets that it touches and shares all others.
+    """Stored points in buckets of documents. A change writes its own rows, and of earlier ones in their buckets the
+    numbers of those that are gone: what stays is neither moved nor written again. Buckets that a change does not name are shared.
 
     document names what a point belongs to, key the point. A null document is none: such points are told apart by key."""
 
-    def __init__(self, log: Snapshots, document: str = "document_id", key: str = "point_id", buckets: int = 64) -> None:
-        self.log, self.document, self.key, self.buckets = log, document, key, buckets
+    def __init__(self, log: Snapshots, document: str = "document_id", key: str = "point_id", buckets: int = 64, most: int = MOST_PARTS) -> None:
+        self.log, self.document, self.key, self.buckets, self.most = log, document, key, buckets, most
 
     def _bucket(self, n: int) -> Column:
         return F.pmod(F.xxhash64(F.coalesce(F.col(self.document).cast("string"), F.col(self.key).cast("string"))), F.lit(n)).cast("int").alias("__bucket")
 
+    def _live(self, m: Manifest, part: str, buckets: list[str]) -> DataFrame:
+        """The rows of a part in these buckets that are not gone, with __no, their number in it, and __bucket."""
+        rows = self.rows({"path": part, "schema": m["parts"][part]}).where(F.col("__bucket").isin([int(b) for b in buckets]))
+        gone = [f"{g['path']}/gone" for g in m["gone"] if part in g["of"]]
+        if not gone:
+            return rows
+        return rows.join(self.log.spark.read.schema("__part string, __no long").parquet(*gone).where(F.col("__part") == part).select("__no"), "__no", "left_anti")
+
+    def _parts(self, m: Manifest, buckets: list[str] | None = None) -> dict[str, list[str]]:
+        """The buckets of each part that has some of these."""
+        if "parts" not in m:
+            raise ValueError("the collection is empty or of an earlier version of this library")
+        found: dict[str, list[str]] = {}
+        for b, parts in m["points"].items():
+            for p in parts if buckets is None or b in buckets else []:
+                found.setdefault(p, []).append(b)
+        return found
+
     def _read(self, m: Manifest, buckets: list[str] | None = None) -> DataFrame:
-        paths = [p for b, p in m["points"].items() if buckets is None or b in buckets]
-        reader = self.log.spark.read.schema(m["schema"])
-        return reader.parquet(*paths) if paths else self.log.spark.createDataFrame([], m["schema"])
+        out = self.log.spark.createDataFrame([], m["schema"])
+        for part, own in self._parts(m, buckets).items():
+            out = out.unionByName(self._live(m, part, own).drop("__no", "__bucket"), allowMissingColumns=True)
+        return out
 
     def ensured(self, m: Manifest, schema: str) -> Manifest:
-        return m if "points" in m else {**m, "schema": schema, "buckets": self.buckets, "points": {}}
+        if "points" in m:
+            return m
+        return {**m, "schema": schema, "buckets": self.buckets, "points": {}, "parts": {}, "gone": []}
 
     def ensure(self, schema: str) -> int:
         """An empty collection of this schema, if there is none; one that is there stays."""
@@ -123,29 +153,75 @@ class Points:
     def read(self, version: int | None = None) -> DataFrame:
         return self._read(self.log.manifest(version)[1])
 
-    def _changed(self, m: Manifest, gone: DataFrame, rows: DataFrame | None) -> Manifest:
-        """gone: (document, key, __bucket) of what goes: a document's points, or without one the point of that key."""
+    def _write(self, m: Manifest, rows: DataFrame) -> Manifest:
+        part = {"path": self.log.new_part(), "schema": _kind(rows)}
+        # dealt by bucket; a bucket that is too large for a task is split
+        dealt = rows.withColumn("__bucket", self._bucket(m.get("buckets", self.buckets))).hint("rebalance", "__bucket")
+        dealt.withColumn("__no", F.monotonically_increasing_id()).write.option("compression", "zstd").partitionBy("__bucket").parquet(f"{part['path']}/rows")
+        return part
+
+    def written(self, m: Manifest, rows: DataFrame) -> Manifest:
+        """A part of rows that no version names yet. Of rows with one key the one with the greatest text, or else any, stays.
+
+        rows are worked out once, as vectors may come from a model. They meet by key only if a key repeats; to see that, keys alone are moved."""
+        part = self._write(m, rows)
+        stored = self.rows(part).drop("__no", "__bucket")
+        if stored.groupBy(self.key).count().where("count > 1").isEmpty():
+            return part
+        order = F.coalesce(F.col("text").cast("string"), F.lit("")) if "text" in rows.columns else F.lit(0)
+        one = stored.groupBy(F.col(self.key).alias("__key")).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in stored.columns)), order).alias("r")).select("r.*")
+        return self._write(m, one)
+
+    def rows(self, part: Manifest) -> DataFrame:
+        """All rows of a part, those of a bucket together, with __no and __bucket."""
+        return self.log.spark.read.schema(f"{part['schema']}, __no long, __bucket int").parquet(f"{part['path']}/rows")
+
+    def _changed(self, m: Manifest, gone: DataFrame, new: Manifest | None) -> Manifest:
+        """gone: (document, key, __bucket) of what goes: a document's points, or without one the point of that key. new: a part of what comes."""
         touched = [str(r[0]) for r in gone.select("__bucket").distinct().collect()]  # as many as there are buckets at most
         if not touched:
             return m
-        old = self._read(m, touched)
-        documents = gone.where(F.col(self.document).isNotNull()).select(self.document).distinct()
-        kept = old.join(documents, self.document, "left_anti").join(gone.select(self.key).where(F.col(self.key).isNotNull()).distinct(), self.key, "left_anti").withColumn("__bucket", self._bucket(m["buckets"]))
-        new = kept if rows is None else kept.unionByName(rows, allowMissingColumns=True)
-        path = self.log.new_part()
-        # dealt by bucket; a bucket that is too large for a task is split
-        new.hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(path)
-        parts = {b: p for b, p in m["points"].items() if b not in touched} | {b: p for b in touched if self.log.has(p := f"{path}/__bucket={b}")}
-        return {**m, "schema": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.drop("__bucket").schema), "points": parts}
+        path = new["path"] if new else self.log.new_part()
+        schema = m["schema"] if new is None else _kind(self.log.spark.createDataFrame([], m["schema"]).unionByName(self.log.spark.createDataFrame([], new["schema"]), allowMissingColumns=True))
+        old, left, dead = None, set(), set()
+        for part, own in self._parts(m, touched).items():
+            rows = self._live(m, part, own).select(F.lit(part).alias("__part"), self.document, self.key, "__no", "__bucket")
+            old = rows if old is None else old.unionByName(rows)
+        if old is not None:
+            named = lambda c, flag: gone.select(c).where(F.col(c).isNotNull()).distinct().withColumn(flag, F.lit(True))
+            marked = old.join(named(self.document, "__by_document"), self.document, "left").join(named(self.key, "__by_key"), self.key, "left")
+            marked = stored(marked.select("__part", "__no", "__bucket", F.coalesce("__by_document", "__by_key", F.lit(False)).alias("__gone")))
+            for r in marked.groupBy("__part", "__bucket").agg(F.max("__gone").alias("some"), F.min("__gone").alias("all")).collect():
+                left |= set() if r["all"] else {(r["__part"], str(r["__bucket"]))}
+                dead |= {r["__part"]} if r["some"] else set()
+            if dead:
+                marked.where("__gone").select("__part", "__no").write.parquet(f"{path}/gone")
+        points = {b: [p for p in parts if b not in touched or (p, b) in left] + ([path] if new and b in touched else []) for b, parts in (dict.fromkeys(touched, []) | m["points"]).items()}
+        points = {b: parts for b, parts in points.items() if parts}
+        held = {p for parts in points.values() for p in parts}
+        parts = {p: k for p, k in (m["parts"] | ({path: new["schema"]} if new else {})).items() if p in held}
+        notes = [g for g in [*m["gone"], *([{"path": path, "of": sorted(dead)}] if dead else [])] if held & {*g["of"]}]
+        return self._few({**m, "schema": schema, "points": points, "parts": parts, "gone": notes})
+
+    def _few(self, m: Manifest) -> Manifest:
+        """With buckets of too many parts as one part."""
+        noted = {p for g in m["gone"] for p in g["of"]} if len(m["gone"]) > self.most else set()
+        crowded = [b for b, parts in m["points"].items() if len(parts) > self.most or noted & {*parts}]
+        if not crowded:
+            return m
+        new = self._write(m, self._read(m, crowded))
+        points = m["points"] | {b: [new["path"]] for b in crowded}
+        held = {p for parts in points.values() for p in parts}
+        return {**m, "points": points, "parts": {p: k for p, k in (m["parts"] | {new["path"]: new["schema"]}).items() if p in held}, "gone": [g for g in m["gone"] if held & {*g["of"]}]}
+
+    def placed(self, m: Manifest, part: Manifest) -> Manifest:
+        """With the rows of a part in place of all points of their documents."""
+        m = self.ensured(m, part["schema"])
+        return self._changed(m, self.rows(part).select(self.document, self.key, "__bucket"), part)
 
     def replaced(self, m: Manifest, rows: DataFrame) -> Manifest:
         """With rows in place of all points of their documents. Of rows with one key the one with the greatest text, or else any, stays."""
-        m = self.ensured(m, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
-        order = F.col("text") if "text" in rows.columns else F.lit(0)
-        one = rows.groupBy(F.col(self.key).alias("__key")).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), order).alias("r")).select("r.*")
-        # written once, as vectors may come from a model
-        one = stored(one.withColumn("__bucket", self._bucket(m["buckets"])))
-        return self._changed(m, one.select(self.document, self.key, "__bucket"), one)
+        return self.placed(m, self.written(m, rows))
 
     def replace(self, rows: DataFrame) -> int:
         """Stores rows in place of all points of their documents; the new version's number."""

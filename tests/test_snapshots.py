@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +80,36 @@ def test_two_writers_do_not_overwrite_one_another(spark):
     with pytest.raises(Conflict):
         log.update(slow)
     assert held(points) == [("1:0", "fast")]
+
+
+def test_what_stays_is_not_written_again(spark):
+    log = Snapshots(spark, shared_folder(spark))
+    points = Points(log, buckets=1)
+    points.replace(rows(spark, *((d, 0, "t") for d in range(200))))
+    points.replace(rows(spark, (3, 0, "u"), (200, 0, "v")))
+    first, second = log.manifest()[1]["points"]["0"]
+    assert [spark.read.parquet(f"{p}/rows").count() for p in (first, second)] == [200, 2]
+    points.delete(spark.createDataFrame([(3,), (4,)], "document_id long"))
+    assert log.manifest()[1]["points"]["0"] == [first, second] and log.vacuum(keep=1) == 0
+    assert held(points) == sorted([(f"{d}:0", "t") for d in range(200) if d not in (3, 4)] + [("200:0", "v")])
+
+
+def test_many_changes_agree_with_a_dictionary_and_leave_few_parts(spark):
+    rng = random.Random(4)
+    log = Snapshots(spark, shared_folder(spark))
+    points, want = Points(log, buckets=3, most=2), {}
+    for step in range(9):
+        if step % 3 == 2:
+            out = {rng.randrange(12) for _ in range(2)}
+            points.delete(spark.createDataFrame([(d,) for d in out], "document_id long"))
+            want = {k: v for k, v in want.items() if v[0] not in out}
+        else:
+            new = {f"{d}:{i}": (d, f"{step} {d} {i}") for d in {rng.randrange(12) for _ in range(4)} for i in range(rng.randrange(1, 3))}
+            named = {d for d, _ in new.values()}
+            new["x"] = (None, f"{step} nobody's")
+            # each row comes again with a lesser text, another with none
+            points.replace(spark.createDataFrame([(d, k, t) for k, (d, t) in new.items()] + [(d, k, "") for k, (d, _) in new.items()] + [(99, "99:0", None)], KIND))
+            want = {k: v for k, v in want.items() if v[0] not in named} | new | {"99:0": (99, None)}
+        m = log.manifest()[1]
+        assert all(len(p) <= 2 for p in m["points"].values()) and len(m["gone"]) <= 2
+    assert held(points) == sorted((k, t) for k, (_, t) in want.items())
