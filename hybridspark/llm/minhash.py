@@ -84,11 +84,9 @@ def sketch(text: Column, k: int = K) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """The estimated Jaccard likeness of two sketches, from 0 to 1."""
     ones = F.expr("1229782938247303441L")  # the lowest bit of each group of four
-    equal = F.lit(BINS)
-    for j in range(_LONGS):
-        x = F.get(a, F.lit(j)).bitwiseXOR(F.get(b, F.lit(j)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-        equal = equal - F.bit_count(x.bitwiseAND(ones))
+    # lanes in a fold: written one after the other they make a method that is too large for the JVM to compile
+    unlike = lambda x: F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3)).bitwiseAND(ones))
+    equal = F.lit(BINS) - F.aggregate(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda acc, x: acc + unlike(x))
     chance = 1 / (1 << BITS)
     return F.greatest(F.lit(0.0), (equal.cast("double") / BINS - chance) / (1 - chance))
 

@@ -9,25 +9,30 @@ members are linked to its smallest one, which keeps every connection with a numb
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, let, read
-from .minhash import likeness, shingle_hashes, sketch
+from .minhash import likeness
+from .shingles import distinct, prints
 
 #: A-Z to a-z, all other bytes as they are.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose bits are counted at a time, which bounds memory for very long texts.
 _BLOCK = 65536
-#: Fingerprints whose balls a task makes.
-_FPS = 16384
+#: Fingerprints whose balls a task makes, and rows of balls that a task takes.
+_FPS, _ROWS = 16384, 1 << 19
+#: Keys that are broadcast to choose rows; the rows of more are shuffled.
+_SENT = 1_000_000
 
 
 def simhash(text: str | None, k: int = 3) -> int:
@@ -72,13 +77,30 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     if radius % 2 or not 0 <= radius <= 4:
         raise ValueError("radius must be 0, 2 or 4")
     fps = cut(prints.select("fingerprint").distinct())
+    n = fps.count()
     # as many tasks as their balls need: the fingerprints alone look small
-    fps = fps.repartition(max(1, fps.count() // _FPS), "fingerprint")
+    fps = fps.repartition(max(1, n // _FPS), "fingerprint")
     spread = fps.select("fingerprint", F.explode(ball(F.col("fingerprint"), radius // 2)).alias("variant"))
-    # each bucket: its members, bounded by the size of a ball, so they are shuffled as they are
-    buckets = spread.repartition("variant").groupBy("variant").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("z"), F.collect_list("fingerprint").alias("members")).where("a < z")
-    pairs = buckets.select("a", F.explode("members").alias("b")).where("a < b")
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
+    # each bucket holds as many members as a ball at most, and a task so many rows
+    dealt = spread.repartition(max(1, -(-n * _size(radius // 2) // _ROWS)), "variant")
+    return dealt.mapInArrow(lambda batches: _stars(batches, radius), "a long, b long").distinct()
+
+
+def _size(radius: int, width: int = 64) -> int:
+    return sum(comb(width, r) for r in range(radius + 1))
+
+
+def _stars(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) of a task's rows (fingerprint, variant): each bucket's least fingerprint with those within the radius."""
+    table = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    fps, variants = (np.concatenate([np.zeros(0, dtype=np.int64), *(t[i] for t in table)]) for i in range(2))
+    order = np.lexsort((fps, variants))
+    fps, variants = fps[order], variants[order]
+    first = np.ones(len(fps), dtype=bool)
+    first[1:] = variants[1:] != variants[:-1]
+    least = fps[np.maximum.accumulate(np.where(first, np.arange(len(fps)), 0))]
+    linked = (least < fps) & (np.bitwise_count((least ^ fps).view(np.uint64)) <= radius)
+    yield pa.RecordBatch.from_arrays([pa.array(least[linked]), pa.array(fps[linked])], names=["a", "b"])
 
 
 #: A key is made of so many groups of four bins of a MinHash sketch; keys of a text.
@@ -112,7 +134,13 @@ def shared(rows: DataFrame) -> DataFrame:
     single keys nor a hot one are gathered."""
     hashes = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
     sets = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n"), *hashes).where("a < z")
-    return rows.join(sets.groupBy("a", "z", "n", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "key")
+    return only(rows, sets.groupBy("a", "z", "n", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "key")
+
+
+def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among these, which are distinct: up to a million are broadcast, so that only what stays is shuffled."""
+    keys = cut(keys.select(key))
+    return rows.join(F.broadcast(keys) if keys.count() <= _SENT else keys, key, "left_semi")
 
 
 def decide(members: DataFrame, likely: Callable[[Column, Column], Column], alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -198,18 +226,17 @@ def near_texts(docs: DataFrame, k: int = 5, similar: float = 0.8, text: str = "t
     md5 = F.md5(F.coalesce(text, F.lit(""))).alias("md5")
     number = F.conv(F.substring("md5", 1, 16), 16, -10).cast("long").alias("id")
     rank = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), "md5")
-    prints = F.pandas_udf(lambda s: pd.Series([simhash(t, k) for t in s], dtype="int64"), "long")
-    rows = docs.select(key, md5, prints(F.col(text)).alias("fingerprint"), sketch(F.lower(F.coalesce(text, F.lit(""))), k).alias("sketch"))
-    texts = cut(rows.groupBy("md5").agg(F.min(rank).alias("first"), F.first("fingerprint").alias("fingerprint"), F.first("sketch").alias("sketch")).select(number, "md5", "first", "fingerprint", "sketch"))
+    rows = docs.select(key, md5, prints(F.col(text), k).alias("p"))
+    texts = rows.groupBy("md5").agg(F.min(rank).alias("first"), F.first("p").alias("p"))
+    texts = cut(texts.select(number, "md5", "first", "p.fingerprint", "p.sketch", "p.few"))
     groups = components(links(texts)).select(F.col("node").alias("fingerprint"), F.col("root").alias("group"))
     balls = texts.select("id", "fingerprint").join(groups, "fingerprint", "left").select(F.coalesce("group", "fingerprint").alias("key"), "id")
-    banded = texts.select(F.explode(bands(F.col("sketch"))).alias("key"), "id")
+    banded = texts.select(F.explode(F.when(F.col("few").isNull(), bands(F.col("sketch"))).otherwise(F.array("few"))).alias("key"), "id")
     met = cut(shared(banded.unionByName(balls)))
     degrees = met.groupBy("id").agg(F.count("*").alias("degree"), F.collect_list("key").alias("keys")).join(texts.select("id", F.col("sketch").alias("s")), "id")
     members = cut(met.join(degrees, "id"))
-    wanted = texts.join(met.select("id").distinct(), "id", "left_semi").select("id", "md5")
-    shingles = docs.select(md5, F.col(text).alias("text")).join(wanted, "md5").dropDuplicates(["md5"])
-    shingles = cut(shingles.select("id", F.array_distinct(shingle_hashes(F.lower("text"), k)).alias("s")))
+    wanted = only(docs.select(md5, F.col(text).alias("text")).select(number, "text"), met.select("id").distinct(), "id")
+    shingles = cut(wanted.dropDuplicates(["id"]).select("id", distinct(F.col("text"), k).alias("s")))
 
     def alike(pairs: DataFrame) -> DataFrame:
         both = bring(cut(pairs), shingles)
