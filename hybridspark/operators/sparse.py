@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -106,11 +106,27 @@ def can_be_first(k: int, margin: float, by: np.ndarray, at: np.ndarray, score: n
 
 
 #: More queries than this are scored by shards of documents; documents of a shard, queries of a block that meets it.
-MANY, DOCUMENTS, BLOCK = 200, 16_384, 16_384
+MANY, DOCUMENTS, BLOCK = 200, 16_384, 65_536
+#: Words that are broadcast to the postings; the postings of more are shuffled.
+WORDS = 1_000_000
 
 
-def _best(k: int, margin: float):
-    """Of a shard's postings (doc, token, part) and a block's tokens (query_id, token, qtf): what can be among a query's first k."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, dl, words, tfs) of (doc, dl, no, tf): a row for each run of a document's postings, which lie side by side in an index."""
+    for batch in batches:
+        doc, dl = batch.column("doc"), batch.column("dl")
+        first = np.ones(len(doc), dtype=bool)
+        for c in (doc, dl):
+            first[1:] &= pc.fill_null(pc.equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
+        first[1:] = ~first[1:]
+        start = np.flatnonzero(first)
+        ends = pa.array(np.append(start, len(doc)), pa.int32())
+        lists = (pa.ListArray.from_arrays(ends, batch.column(c)) for c in ("no", "tf"))
+        yield pa.RecordBatch.from_arrays([doc.take(pa.array(start)), dl.take(pa.array(start)), *lists], names=["doc", "dl", "words", "tfs"])
+
+
+def _best(k: int, margin: float, avgdl: float, k1: float, b: float):
+    """Of a shard's documents (doc, dl, words, tfs) and a block's queries (query_id, words, times, idfs): what can be among a query's first k."""
 
     def coded(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
         column = column.combine_chunks().dictionary_encode(null_encoding="encode")
@@ -119,22 +135,36 @@ def _best(k: int, margin: float):
         place[order] = np.arange(len(order))
         return column.dictionary.take(pa.array(order)), place[column.indices.to_numpy()]
 
+    flat = lambda t, c: t[c].combine_chunks().flatten().to_numpy()
+    sizes = lambda t, c: pc.list_value_length(t[c].combine_chunks()).to_numpy()
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        (docs, at), (kinds, token), (ids, by) = coded(left["doc"]), coded(left["token"]), coded(right["query_id"])
-        order = np.argsort(token, kind="stable")
-        at, part = at[order], left["part"].to_numpy()[order]
-        ends = np.searchsorted(token[order], np.arange(len(kinds) + 1))
-        asked = pc.fill_null(pc.index_in(right["token"], value_set=kinds), -1).to_numpy()
-        times, found = right["qtf"].to_numpy(), []
-        there = np.flatnonzero(asked >= 0)
-        there = there[np.lexsort((asked[there], by[there]))]
-        for rows in np.split(there, np.flatnonzero(np.diff(by[there])) + 1) if len(there) else ():
-            lists = [slice(ends[t], ends[t + 1]) for t in asked[rows]]
-            score = np.bincount(np.concatenate([at[x] for x in lists]), weights=np.concatenate([f * part[x] for f, x in zip(times[rows], lists, strict=True)]))
+        docs, at = coded(left["doc"])
+        asked, times, ids = flat(right, "words"), flat(right, "times"), right["query_id"]
+        idf = np.zeros(int(asked.max(initial=-1)) + 2)
+        known = np.zeros(len(idf), dtype=bool)
+        idf[asked], known[asked] = flat(right, "idfs"), True
+        # postings of the words that are asked for, by word
+        word, length = flat(left, "words"), sizes(left, "words")
+        word = np.minimum(word, len(idf) - 1)
+        some = np.flatnonzero(known[word])
+        some = some[np.argsort(word[some], kind="stable")]
+        word, row = word[some], np.repeat(np.arange(left.num_rows), length)[some]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(idf)))])
+        tf = flat(left, "tfs")[some].astype(np.float64)
+        with np.errstate(all="ignore"):
+            norm = k1 * (1 - b + b * left["dl"].to_numpy() / avgdl)
+            part = idf[word] * tf * (k1 + 1) / (tf + norm[row])
+        at, found = at[row], []
+        starts = np.concatenate([[0], np.cumsum(sizes(right, "words"))]).tolist()
+        for i, (lo, hi) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+            lists = [slice(ends[t], ends[t + 1]) for t in asked[lo:hi].tolist()]
+            score = np.bincount(np.concatenate([at[:0], *(at[x] for x in lists)]), weights=np.concatenate([part[:0], *(f * part[x] for f, x in zip(times[lo:hi].tolist(), lists, strict=True))]))
             best = np.flatnonzero(score > 0)
             if len(best) > k:
                 best = best[score[best] >= np.partition(score[best], -k)[-k] - margin]
-            found.append((np.full(len(best), by[rows[0]]), best, score[best]))
+            if len(best):
+                found.append((np.full(len(best), i), best, score[best]))
         q, d, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         kept = can_be_first(k, margin, q, d, s, np.zeros(len(q), dtype=bool))
         return pa.table([ids.take(pa.array(q[kept], pa.int64())), docs.take(pa.array(d[kept], pa.int64())), pa.array(s[kept], pa.float64())], names=["query_id", "doc", "score"])
@@ -142,20 +172,31 @@ def _best(k: int, margin: float):
     return run
 
 
-def _by_shards(index: Bm25Index, asked: DataFrame, part: Column, queries: int, top_k: int, digits: int | None) -> DataFrame:
+def _by_shards(index: Bm25Index, asked: DataFrame, queries: int, top_k: int, digits: int | None, k1: float, b: float) -> DataFrame:
     """(query_id, doc, score) that can be among the first top_k: scores are added within a task that holds a shard of
-    documents, so no row for a posting and a query is ever made or shuffled."""
+    documents, so no row for a posting and a query is ever made or shuffled.
+
+    What queries ask for is written when this is called. Words get numbers, which are broadcast, and a document's postings
+    of such words are packed into one row where they are read: that row alone is moved to its shard."""
     stats = index.stats.first()
     n, cores = stats["n"], asked.sparkSession.sparkContext.defaultParallelism
     shards, blocks = max(1, -(-n // DOCUMENTS), min(2 * cores, n // 1024)), -(-queries // BLOCK)
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = stored(asked)
     words = asked.select("token").distinct().join(index.vocabulary, "token").select("token", "idf")
-    left = index.postings.join(words, "token").withColumn("avgdl", F.lit(stats["avgdl"]))
-    left = left.select("doc", "token", part.cast("double").alias("part"), deal("doc", shards).alias("__shard"), every(blocks).alias("__block"))
-    right = asked.select("query_id", "token", "qtf", deal("query_id", blocks).alias("__block"), every(shards).alias("__shard"))
-    schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("doc", index.postings.schema["doc"].dataType), T.StructField("score", T.DoubleType())])
-    return left.groupBy("__shard", "__block").cogroup(right.groupBy("__shard", "__block")).applyInArrow(_best(top_k, 10.0**-digits if digits is not None else 0.0), schema)
+    words = stored(words.coalesce(1).select("token", "idf", F.monotonically_increasing_id().cast("int").alias("no")))
+    numbers = words.select("token", "no")
+    postings = index.postings.join(F.broadcast(numbers) if numbers.count() <= WORDS else numbers, "token")
+    kind = index.postings.schema["doc"].dataType
+    left = postings.select("doc", "dl", "no", F.col("tf").cast("int").alias("tf")).mapInArrow(_packed, f"doc {kind.simpleString()}, dl long, words array<int>, tfs array<int>")
+    left = left.select("*", deal("doc", shards).alias("__shard"), every(blocks).alias("__block"))
+    lists = F.array_sort(F.collect_list(F.struct("no", "qtf", "idf"))).alias("w")
+    right = asked.join(words, "token").groupBy("query_id").agg(lists).select("query_id", F.col("w.no").alias("words"), F.col("w.qtf").alias("times"), F.col("w.idf").alias("idfs"))
+    right = right.select("*", deal("query_id", blocks).alias("__block"), every(shards).alias("__shard"))
+    schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("doc", kind), T.StructField("score", T.DoubleType())])
+    run = _best(top_k, 10.0**-digits if digits is not None else 0.0, stats["avgdl"] or 1.0, k1, b)
+    return left.groupBy("__shard", "__block").cogroup(right.groupBy("__shard", "__block")).applyInArrow(run, schema)
 
 
 def bm25_search(index: Bm25Index, chunks: DataFrame | None, queries: DataFrame, top_k: int = 20, filters: Mapping[str, object] | None = None, key: str = "doc_id", query: str = "query", k1: float = K1, b: float = B, digits: int | None = None) -> DataFrame:
@@ -164,12 +205,12 @@ def bm25_search(index: Bm25Index, chunks: DataFrame | None, queries: DataFrame,
     A token that a query repeats counts as often. Scores of 0 or less never match. Filters choose among the scored
     chunks and leave the corpus statistics alone. Ties go to the smaller key. digits rounds scores before ranking. Without
     chunks the index alone is asked: no filters, no columns, and no join that tests whether rows exist. Queries are
-    counted; many at once, without filters, meet shards of documents."""
+    counted; many at once, without filters, are written and meet shards of documents."""
     asked = queries.select("query_id", F.explode(tokens(F.col(query))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     # filters choose after the scores, so that they need all of them
     if not filters and (n := queries.count()) > MANY:
-        scored = _by_shards(index, asked, weight, n, top_k, digits)
+        scored = _by_shards(index, asked, n, top_k, digits, k1, b)
     else:
         hits = asked.join(index.vocabulary, "token").join(index.postings, "token").join(F.broadcast(index.stats.select("avgdl")))
         scored = hits.groupBy("query_id", "doc").agg(F.sum(F.col("qtf") * weight).alias("score")).where("score > 0")

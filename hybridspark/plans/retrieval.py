@@ -19,7 +19,7 @@ from hybridspark.operators.segments import SegmentedIndex
 from hybridspark.operators.sparse import append, bm25_search, build_bm25, remove_document
 from hybridspark.plans.registry import ORACLES, query, table, token_list
 from hybridspark.sources.snapshots import Points, Snapshots
-from hybridspark.sources.store import shared_folder
+from hybridspark.sources.store import shared_folder, stored
 
 ASKED = {1: "the license of the software and its terms", 2: "contact the support team by email or phone", 3: "der und die von erber der"}
 
@@ -234,7 +234,7 @@ def hybrid_search_many(spark: SparkSession, d: str) -> DataFrame:
     """Every row whose id is divisible by 20 asks with its vector and the start of its document."""
     corpus, _ = _corpus(spark, d)
     texts = table(spark, d, "documents").where("doc_id % 20 = 0").select((F.col("doc_id") + 1).alias("query_id"), F.left("text", F.lit(80)).alias("query"))
-    found = HybridEngine(corpus, digits=6).search(texts.join(_many(spark, d)[1], "query_id"))
+    found = HybridEngine(corpus, digits=6).search(stored(texts.join(_many(spark, d)[1], "query_id")))
     return found.select("query_id", "rank", F.round("score", 9).alias("score"), "original_score", F.array_join("sources", ",").alias("sources"), F.md5("text").alias("text_md5"))
 
 

@@ -80,6 +80,28 @@ def test_many_queries_by_shards(spark, corpus, monkeypatch):
     assert plain(found) == want and len(want) > 100
 
 
+@pytest.mark.parametrize(("words", "order"), [(10**6, None), (10**6, "token"), (3, None)])
+def test_many_queries_move_no_postings(spark, corpus, monkeypatch, words, order):
+    """A document's postings go to its shard in one row; they may also lie apart, or ask for too many words to broadcast."""
+    from hybridspark.operators import sparse
+
+    df = spark.createDataFrame([*corpus.items(), *((1000 + i, "t1 t1 t2") for i in range(40)), (None, "t3 t4"), (None, "t4 t5 t5")], "doc_id int, text string")
+    queries = spark.createDataFrame([(i, f"t{i % 9} t{i % 5} t{i % 5} nowhere") for i in range(30)] + [(30, ""), (31, None), (None, "t4 t7")], "query_id int, query string")
+    index = build_bm25(df)
+    if order:
+        index = sparse.Bm25Index(index.postings.repartition(3, order).sortWithinPartitions(order), index.vocabulary, index.stats)
+    plain = lambda found: sorted(((r.query_id, r["rank"], r.doc_id, r.score) for r in found.collect()), key=str)
+    want = plain(bm25_search(index, None, queries, 7, digits=6))
+    for name, value in {"MANY": 3, "DOCUMENTS": 16, "BLOCK": 10, "WORDS": words}.items():
+        monkeypatch.setattr(sparse, name, value)
+    found = bm25_search(index, None, queries, 7, digits=6)
+    assert plain(found) == want and len(want) > 100
+    assert "MapInArrow _packed" in found._jdf.queryExecution().executedPlan().toString()
+    if not order:
+        batches = index.postings.selectExpr("doc", "dl", "1 no", "cast(tf as int) tf").toArrow().to_batches()
+        assert sum(b.num_rows for b in sparse._packed(batches)) <= df.count() + len(batches) < index.postings.count() / 2
+
+
 def test_dense_search(spark):
     points = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "b"), (3, [1.0, 1.0], None), (4, [0.0, 0.0], "a")], "point_id int, vector array<double>, kind string")
     queries = spark.createDataFrame([(7, [2.0, 0.0])], "query_id int, vector array<double>")
