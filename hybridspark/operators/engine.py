@@ -113,7 +113,9 @@ class HybridEngine:
 
     def search(self, queries: DataFrame, top_k: int | None = None, filters: Mapping[str, object] | None = None, rerank: bool = True) -> DataFrame:
         """(query_id, rank, text, score, metadata, sources, ...): at most 20 results a query, whatever top_k says."""
-        fused = fusion.rrf(self.retrieve(queries, top_k, filters), self.weights, self.k, digits=self.digits)
+        # a query has a bounded number of hits: dealt by query once, their texts are not moved again to be fused and ranked
+        hits = self.retrieve(queries, top_k, filters).repartition("query_id")
+        fused = fusion.rrf(hits, self.weights, self.k, digits=self.digits)
         if rerank:
             found = self._part("scorer", lambda: fusion.rerank(fused, queries, self.scorer, top_k or TOP["final"]))
             if found is not None:
